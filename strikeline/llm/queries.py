@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strikeline.llm import decontaminate, exact_dedup, sharding, simhash
+from strikeline.llm import bpe, decontaminate, exact_dedup, langid, sharding, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,6 +18,18 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def vocabulary() -> str:
+    """The path of the public tokenizer file that op4 and the pipeline use."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode_and_decode(_read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = sharding.shard(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
@@ -29,11 +41,17 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), langid.fold(5) == 0
+    found = langid.identify(docs.select("doc_id", "text"), langid.fit(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(_read(spark, sf_dir, "documents"), latest=True).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op7_sharding, op8_simhash, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op4_bpe, op7_sharding, op8_simhash, op9_langid, op10_exact_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op10_exact_dedup": """
