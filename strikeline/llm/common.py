@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Text bytes that a Python task works on at once.
 SLICE_BYTES = 4 << 20
@@ -86,6 +87,25 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def map_texts(docs: DataFrame, function, added: list[T.StructField]) -> DataFrame:
+    """docs plus the added columns. function maps batches of (row, text) to batches of (row, text, added...); row holds
+    all other columns of docs and is handed through."""
+    others = [F.col(c) for c in docs.columns if c != "text"] or [F.lit(None).cast("int").alias("_none")]
+    rows = docs.select(F.struct(*others).alias("row"), "text")
+    out = rows.mapInArrow(function, T.StructType([rows.schema["row"], rows.schema["text"], *added]))
+    return out.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns], *[f.name for f in added])
+
+
+def without(docs: DataFrame, dropped: DataFrame, *keys: str) -> DataFrame:
+    """The rows of docs whose keys are not among those of dropped; nulls are equal."""
+    dropped = materialise(dropped.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct(), "dropped")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    condition = same[0]
+    for more in same[1:]:
+        condition = condition & more
+    return docs.join(small(dropped), condition, "left_anti")
+
+
 def byte_table(word_bytes: set[int]) -> np.ndarray:
     """Maps A-Z to a-z, keeps word bytes and turns all others into 0."""
     table = np.zeros(256, np.uint8)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from strikeline.llm.common import Words, byte_table, materialise, slices, small
+from strikeline.llm.common import Words, byte_table, materialise, slices, small, without
 
 #: After A-Z became a-z: digits, a-z and everything beyond ASCII.
 WORD_BYTES = byte_table({*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)})
@@ -216,9 +216,10 @@ def annotate(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS) -> Dat
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs, texts included, whose text is not contaminated."""
-    kept = annotate(docs.withColumn("_text", F.col("text")), items).filter("not contaminated")
-    return kept.select(*[F.col("_text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    """The rows of docs, all columns, whose text is not contaminated. Rows are told apart by doc_id and text."""
+    marked = docs.withColumn("_text_key", F.xxhash64("text"))
+    judged = annotate(marked.select("doc_id", "_text_key", "text"), items)
+    return without(marked, judged.filter("contaminated"), "doc_id", "_text_key").drop("_text_key")
 
 
 def phrase_search(index: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFrame:

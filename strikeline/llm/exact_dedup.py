@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strikeline.llm.common import materialise, shuffle_parts
+from strikeline.llm.common import materialise, shuffle_parts, without
 
 LEADING_CHARS = 16
 #: Keys are salted from this many rows, or a quarter of a partition's share if that is more.
@@ -83,6 +83,6 @@ def _first_salt(latest: bool) -> Column:
 
 
 def deduplicate(docs: DataFrame, text: Column | None = None, latest: bool = False) -> DataFrame:
-    """The rows of docs whose text has no equal with a smaller doc_id (larger with `latest`); ids must be unique and not null."""
-    kept = groups(docs, text, latest).filter("kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi")
+    """The rows of docs whose text has no equal with a smaller doc_id (larger with `latest`). Ids must be unique; of rows
+    with a null id all go whose text another row keeps."""
+    return without(docs, groups(docs, text, latest).filter("not kept"), "doc_id")

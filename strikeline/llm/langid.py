@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strikeline.llm.common import Words, byte_table, slices
+from strikeline.llm.common import Words, byte_table, map_texts, slices
 
 #: Letters of ASCII in lower case, and all bytes of other characters.
 LETTERS = byte_table({*range(0x61, 0x7B), *range(0x80, 0x100)})
@@ -181,8 +181,8 @@ def _predict(model):
                     known[i] = any(map(str.isalpha, text))
                 pred = [m.langs[k] if ok else UNKNOWN for k, ok in zip(p.argmax(axis=1), known, strict=True)]
             score = np.where(known, best, 0.0)
-            columns = [batch.column("row"), pa.array(pred, pa.string()), pa.array(score), pa.array(~known | (score < threshold))]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "lang_pred", "lang_score", "lang_rejected"])
+            columns = [batch.column("row"), texts, pa.array(pred, pa.string()), pa.array(score), pa.array(~known | (score < threshold))]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "text", "lang_pred", "lang_score", "lang_rejected"])
 
     return run
 
@@ -195,9 +195,8 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("lang_pred", "lang_score", "lang_rejected")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_rejected", T.BooleanType())])
-    return rows.mapInArrow(_predict(shared), schema).select("row.*", "lang_pred", "lang_score", "lang_rejected")
+    added = [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_rejected", T.BooleanType())]
+    return map_texts(docs, _predict(shared), added)
 
 
 def fold(modulus: int, column: str = "doc_id") -> Column:

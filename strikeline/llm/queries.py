@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strikeline.llm import bpe, decontaminate, exact_dedup, langid, sharding, simhash
+from strikeline.llm import bpe, chat, decontaminate, exact_dedup, langid, pii, quality, sharding, simhash, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,6 +18,17 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = _read(spark, sf_dir, "documents").select("doc_id", "text"), langid.fold(4) == 2
+    found = quality.classify(docs, quality.fit(docs, _read(spark, sf_dir, "labels"), ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_good").cast("int").alias("predicted"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.sanitise(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans", F.sha2("sanitised", 256).alias("sanitised_sha256"))
+
+
 def vocabulary() -> str:
     """The path of the public tokenizer file that op4 and the pipeline use."""
     import public_tokenizers
@@ -30,6 +41,16 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat.repair(_read(spark, sf_dir, "conversations"))
+    return rows.select("conv_id", "turn", "action", "role_out", "inserted", "cost", F.sha2("fragment", 256).alias("fragment_sha256"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.read_archives(warc.write_archives(_read(spark, sf_dir, "pages")))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = sharding.shard(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
@@ -51,7 +72,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(_read(spark, sf_dir, "documents"), latest=True).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op4_bpe, op7_sharding, op8_simhash, op9_langid, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality, op3_pii, op4_bpe, op5_chat, op6_warc, op7_sharding, op8_simhash, op9_langid, op10_exact_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op10_exact_dedup": """
@@ -59,6 +80,12 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
+    "op6_warc": """
+        SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+               CASE WHEN strlen(coalesce(html, '')) >= 100 AND page_id <> min(page_id) OVER w THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN strlen(coalesce(html, '')) >= 100 AND page_id <> min(page_id) OVER w THEN min(page_id) OVER w END AS refers_to
+        FROM pages WINDOW w AS (PARTITION BY coalesce(html, ''))
+    """,
     "op1_decontamination": r"""
         WITH words AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),

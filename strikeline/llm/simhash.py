@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strikeline.llm.common import materialise, slices, text_bytes
+from strikeline.llm.common import materialise, slices, text_bytes, without
 from strikeline.llm.components import connect
 
 BITS = 64
@@ -149,6 +149,5 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, radius: int = RA
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose doc_id names their component: one document of each group."""
-    kept = near_duplicates(docs, **options).filter("doc_id = component_id").select(F.col("doc_id").alias("_id"))
-    return docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi")
+    """The rows of docs whose doc_id names their component: one document of each group. Rows without an id stay."""
+    return without(docs, near_duplicates(docs, **options).filter("doc_id <> component_id"), "doc_id")
