@@ -20,23 +20,8 @@ LEADING_CHARS = 16
 SALT_ROWS = 200
 
 
-def _sorted_runs(docs: DataFrame, text: Column, latest: bool) -> DataFrame:
-    spark = docs.sparkSession
-    rows = docs.withColumns({"_text": F.coalesce(text, F.lit(""))})
-    rows = rows.withColumns({"_head": F.substring("_text", 1, LEADING_CHARS), "_digest": F.xxhash64("_text")})
-    counts = rows.groupBy("_head", "_digest").agg(F.count("*").alias("_rows")).filter(F.col("_rows") >= SALT_ROWS)
-    counts = materialise(counts, "many_copies")
-    total = counts.agg(F.sum("_rows")).first()[0] or 0
-    # Of the keys over the threshold there are at most 4 per partition, so the side that is broadcast is bounded.
-    share = max(SALT_ROWS, total // (4 * shuffle_parts(spark)))
-    hot = counts.filter(F.col("_rows") >= share).withColumn("_salts", F.ceil(F.col("_rows") / share).cast("int"))
-    rows = rows.join(F.broadcast(hot.select("_head", "_digest", "_salts")), ["_head", "_digest"], "left")
-    salt = F.when(F.col("_salts") > 1, F.pmod(F.xxhash64("doc_id"), F.col("_salts")).cast("int")).otherwise(F.lit(0))
-    ranged = rows.withColumn("_salt", salt).repartitionByRange("_head", "_digest", "_salt")
-    order = F.col("doc_id").desc_nulls_last() if latest else F.col("doc_id").asc_nulls_last()
-    near = Window.partitionBy("_head", "_digest", "_salt").orderBy("_text", order)
-    before = F.lag("_text").over(near)
-    return ranged.withColumn("_opens", (before.isNull() | (before != F.col("_text"))).cast("int")).withColumn("_run", F.sum("_opens").over(near.rowsBetween(Window.unboundedPreceding, 0)))
+def _order(latest: bool) -> Column:
+    return F.col("doc_id").desc_nulls_last() if latest else F.col("doc_id").asc_nulls_last()
 
 
 def groups(docs: DataFrame, text: Column | None = None, latest: bool = False) -> DataFrame:
@@ -46,40 +31,32 @@ def groups(docs: DataFrame, text: Column | None = None, latest: bool = False) ->
     column as it is); null counts as empty. Of rows with the same text and id one is kept; a null id stays only if its
     group has no other. No rows give no rows; other columns of docs do not matter.
     """
-    ranged = _sorted_runs(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")), F.col("text") if text is None else text, latest)
-    runs = ranged.select(
-        "doc_id",
-        "_head",
-        "_digest",
-        "_salt",
-        "_run",
-        F.sha2(F.col("_text").cast("binary"), 256).alias("text_sha256"),
-        F.when((F.col("_opens") == 1) & F.col("_salts").isNotNull(), F.col("_text")).alias("_opening"),
-        F.col("_salts").isNotNull().alias("_split"),
-    )
-    key = ["_head", "_digest", "_salt", "_run"]
-    group = Window.partitionBy(*key)
-    order = F.col("doc_id").desc_nulls_last() if latest else F.col("doc_id").asc_nulls_last()
-    runs = runs.withColumns(
-        {
-            "_best": (F.max if latest else F.min)("doc_id").over(group),
-            "_size": F.count(F.lit(1)).over(group),
-            "_place": F.row_number().over(group.orderBy(order)),
-        }
-    )
-    runs = materialise(runs, "sorted_runs")
-    # One row per run of a split key: at most a few for each partition and each of its salts.
-    openings = runs.filter(F.col("_opening").isNotNull())
-    whole = openings.groupBy("_opening").agg((F.max if latest else F.min)("_best").alias("_all_best"), F.sum("_size").alias("_all_size"), F.min_by("_salt", _first_salt(latest)).alias("_first"))
-    split = openings.join(whole, "_opening").select(*key, "_all_best", "_all_size", "_first")
-    joined = runs.join(F.broadcast(split), key, "left")
-    kept = (F.col("_place") == 1) & (F.coalesce("_first", "_salt") == F.col("_salt"))
-    return joined.select("doc_id", F.coalesce("_all_best", "_best").alias("keep_id"), F.coalesce("_all_size", "_size").alias("group_size"), kept.alias("kept"), "text_sha256")
-
+    best = F.max if latest else F.min
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text") if text is None else text, F.lit("")).alias("_text"))
+    rows = rows.withColumns({"_head": F.substring("_text", 1, LEADING_CHARS), "_digest": F.xxhash64("_text")})
+    # Keys of a quarter of a partition's share or more: at most 4 per partition, so the side that is broadcast is bounded.
+    share = max(SALT_ROWS, docs.count() // (4 * shuffle_parts(docs.sparkSession)))
+    hot = rows.groupBy("_head", "_digest").agg(F.count("*").alias("_rows")).filter(F.col("_rows") >= share)
+    hot = materialise(hot.select("_head", "_digest", F.ceil(F.col("_rows") / share).cast("int").alias("_salts")), "many_copies")
+    rows = rows.join(F.broadcast(hot), ["_head", "_digest"], "left")
+    sha = F.sha2(F.col("_text").cast("binary"), 256)
+    # The copies under such a key combine before they move; each of its texts is compared whole.
+    whole = rows.filter("_salts > 1").groupBy("_head", "_digest", "_text").agg(best("doc_id").alias("_all_best"), F.count("*").alias("_all_size"))
+    whole = whole.select("_head", "_digest", sha.alias("text_sha256"), "_all_best", "_all_size")
 
-def _first_salt(latest: bool) -> Column:
-    best = -F.col("_best") if latest else F.col("_best")
-    return F.struct(F.col("_best").isNull(), best, "_salt")
+    salt = F.when(F.col("_salts") > 1, F.pmod(F.xxhash64("doc_id"), F.col("_salts")).cast("int")).otherwise(F.lit(0))
+    ranged = rows.select("doc_id", "_text", "_head", "_digest", salt.alias("_salt")).repartitionByRange("_head", "_digest", "_salt")
+    near = Window.partitionBy("_head", "_digest", "_salt").orderBy("_text", _order(latest))
+    before = F.lag("_text").over(near)
+    opens = (before.isNull() | (before != F.col("_text"))).cast("int")
+    runs = ranged.select("doc_id", "_head", "_digest", "_salt", sha.alias("text_sha256"), "_text", opens.alias("_opens"))
+    runs = runs.withColumn("_run", F.sum("_opens").over(near.rowsBetween(Window.unboundedPreceding, 0))).drop("_text", "_opens")
+    group = Window.partitionBy("_head", "_digest", "_salt", "_run")
+    runs = runs.withColumns({"_best": best("doc_id").over(group), "_size": F.count(F.lit(1)).over(group), "_place": F.row_number().over(group.orderBy(_order(latest)))})
+    joined = runs.join(F.broadcast(whole), ["_head", "_digest", "text_sha256"], "left")
+    keep = F.when(F.col("_all_size").isNotNull(), F.col("_all_best")).otherwise(F.col("_best"))
+    kept = (F.col("_place") == 1) & F.col("doc_id").eqNullSafe(keep)
+    return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("_all_size", "_size").alias("group_size"), kept.alias("kept"), "text_sha256")
 
 
 def deduplicate(docs: DataFrame, text: Column | None = None, latest: bool = False) -> DataFrame:
