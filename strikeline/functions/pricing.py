@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,3 +98,39 @@ def implied_vol(market: Column, is_call: Column, spot: Column, strike: Column, y
         .when(market > price(*terms, F.lit(VOL_HIGH)), VOL_HIGH)
         .otherwise(root)
     )
+
+
+def implied_vol_bulk(market: Column, is_call: Column, spot: Column, strike: Column, years: Column, rate: Column, dividend: Column) -> Column:
+    """The same root for many rows: halvings of whole Arrow batches in numpy instead of a loop in each row's expression."""
+    from pyspark.sql.types import DoubleType
+
+    return F.pandas_udf(_halve_batch, DoubleType())(market, is_call, spot, strike, years, rate, dividend)
+
+
+def _cdf_batch(x):
+    t = 1 / (1 + CDF_P * np.abs(x) / math.sqrt(2))
+    series = 0.0
+    for a in reversed(CDF_A):
+        series = (series + a) * t
+    tail = 0.5 * series * np.exp(-x * x / 2)
+    return np.where(x < 0, tail, 1 - tail)
+
+
+def _halve_batch(market: pd.Series, is_call: pd.Series, spot: pd.Series, strike: pd.Series, years: pd.Series, rate: pd.Series, dividend: pd.Series) -> pd.Series:
+    m, s, k, t, r, q = (x.to_numpy(dtype=float, na_value=np.nan) for x in (market, spot, strike, years, rate, dividend))
+    sign = np.where(is_call.fillna(False).to_numpy(dtype=bool), 1.0, -1.0)
+    with np.errstate(all="ignore"):
+        valid = (m > 0) & (s > 0) & (k > 0) & (t > 0) & ~np.isnan(r + q) & is_call.notna().to_numpy()
+
+        def price_at(vol):
+            a = (np.log(s / k) + (r - q + 0.5 * vol * vol) * t) / (vol * np.sqrt(t))
+            return np.maximum(0, sign * (s * np.exp(-q * t) * _cdf_batch(sign * a) - k * np.exp(-r * t) * _cdf_batch(sign * (a - vol * np.sqrt(t)))))
+
+        lo, hi = np.full(len(m), VOL_LOW), np.full(len(m), VOL_HIGH)
+        for _ in range(HALVINGS):
+            middle = (lo + hi) / 2
+            low = price_at(middle) < m
+            lo, hi = np.where(low, middle, lo), np.where(low, hi, middle)
+        out = np.where(m > price_at(VOL_HIGH), VOL_HIGH, (lo + hi) / 2)
+        out = np.where((m <= np.maximum(0, sign * (s - k))) | (m < price_at(VOL_LOW)), VOL_LOW, out)
+    return pd.Series(np.where(valid, out, np.nan)).astype("Float64").where(valid)

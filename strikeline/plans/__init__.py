@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("scans", "relations")
+MODULES = ("scans", "relations", "domain", "serving")
 
 
 def load() -> tuple[dict, dict]:
