@@ -5,8 +5,8 @@ of all its words. Only training sees a sample, of at most about TRAIN_DOCS label
 mean, workers get the product of embeddings and weights, whose size depends on buckets and languages alone, and score whole
 texts by adding up its rows.
 
-Confidence is calibrated on texts kept out of the training: a temperature, and the lowest confidence at which what stays
-above it is right but for MAX_RISK. Below it, and where a text has no letter, the text is rejected.
+Confidence is calibrated on texts kept out of the training: a temperature, and the confidence below which only REJECT_PART
+of their rightly named stretches lie, at most REJECT_BELOW. Below it, and where a text has no letter, the text is rejected.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ GRAMS = (2, 3, 4)
 #: The bound of the labelled sample that training sees, in texts, and in snippets of them.
 TRAIN_DOCS = 3000
 TRAIN_SNIPPETS = 9000
-MAX_RISK = 0.005
+REJECT_PART, REJECT_BELOW = 0.001, 0.5
 UNKNOWN = "und"
 
 
@@ -146,10 +146,7 @@ def calibrate(model: Model, texts: list[str], target: list[int]) -> Model:
     model.temperature = min(np.geomspace(0.25, 8, 41), key=lambda t: -np.log(np.maximum(softmax(raw / t)[np.arange(len(y)), y], 1e-12)).mean())
     p = softmax(raw / model.temperature)
     confidence, right = p.max(axis=1), p.argmax(axis=1) == y
-    order = np.argsort(-confidence, kind="stable")
-    risk = np.cumsum(~right[order]) / np.arange(1, len(y) + 1)
-    safe = np.flatnonzero(risk <= MAX_RISK)
-    model.threshold = float(confidence[order[safe[-1]]]) if len(safe) and safe[-1] < len(y) - 1 else 0.0
+    model.threshold = min(REJECT_BELOW, float(np.quantile(confidence[right], REJECT_PART))) if right.any() else 0.0
     return model
 
 
