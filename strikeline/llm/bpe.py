@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strikeline.llm.common import slices
+from strikeline.llm.common import map_arrow, slices
 
 #: Unicode White_Space, as the vocabulary's normaliser takes it.
 _SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -175,4 +175,4 @@ def encode_and_decode(docs: DataFrame, vocabulary: str) -> DataFrame:
     docs = docs.drop("n_tokens", "ids", "decoded")
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("row"), "text")
     schema = T.StructType([rows.schema["row"], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
-    return rows.mapInArrow(_round_trip(shared), schema).select("row.*", "n_tokens", "ids", "decoded")
+    return map_arrow(rows, _round_trip(shared), schema).select("row.*", "n_tokens", "ids", "decoded")

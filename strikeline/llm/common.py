@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Text bytes that a Python task works on at once.
-SLICE_BYTES = 4 << 20
+#: Text bytes that a Python task works on at once, and rows that it is handed at once.
+SLICE_BYTES = 2 << 20
+BATCH_ROWS = 1000
 #: A side is broadcast only when it was counted and has no more rows than this.
 BROADCAST_ROWS = 1_000_000
 
@@ -58,6 +59,15 @@ def ascii_lower(col) -> F.Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """mapInArrow over rows with texts. Such rows are long: unless the session has a number of its own, fewer of them than
+    Spark's default go into a batch, which bounds the memory of both sides."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(function, schema)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a slice holds about `limit` bytes of text, or a single longer row."""
     for batch in batches:
@@ -72,6 +82,20 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        pa.default_memory_pool().release_unused()
+
+
+def gathered(batches: Iterator[pa.RecordBatch], limit: int, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Put batches together until they hold `limit` bytes of text."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += pc.sum(pc.binary_length(batch.column(batch.schema.get_field_index(column)))).as_py() or 0
+        if size >= limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +116,7 @@ def map_texts(docs: DataFrame, function, added: list[T.StructField]) -> DataFram
     all other columns of docs and is handed through."""
     others = [F.col(c) for c in docs.columns if c != "text"] or [F.lit(None).cast("int").alias("_none")]
     rows = docs.select(F.struct(*others).alias("row"), "text")
-    out = rows.mapInArrow(function, T.StructType([rows.schema["row"], rows.schema["text"], *added]))
+    out = map_arrow(rows, function, T.StructType([rows.schema["row"], rows.schema["text"], *added]))
     return out.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns], *[f.name for f in added])
 
 
@@ -129,8 +153,7 @@ class Words:
         opens[heads] = inside[heads]
         self.starts = np.flatnonzero(opens)
         compact = mapped[inside]
-        before = np.cumsum(inside) - inside
-        lengths_from = before[self.starts]
+        lengths_from = np.cumsum(inside, dtype=np.int32)[self.starts] - 1
         ends = np.append(lengths_from, len(compact)).astype(np.int32)
         self.tokens = pa.Array.from_buffers(pa.binary(), len(self.starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(compact))])
         self.first = np.searchsorted(self.starts, offsets)

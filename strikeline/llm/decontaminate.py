@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from strikeline.llm.common import Words, byte_table, materialise, slices, small, without
+from strikeline.llm.common import Words, byte_table, gathered, map_arrow, materialise, slices, small, without
 
 #: After A-Z became a-z: digits, a-z and everything beyond ASCII.
 WORD_BYTES = byte_table({*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)})
@@ -29,7 +29,7 @@ CONTAMINATED_PART = 20
 #: Rarest terms of a phrase whose lists are intersected before its words are compared with the text.
 RAREST = 3
 GAP = 64
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 
 INDEX = T.StructType(
     [
@@ -51,7 +51,7 @@ def _task_ids() -> Iterator[int]:
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ids = _task_ids()
-    for batch in slices(batches, limit=BLOCK_BYTES):
+    for batch in slices(gathered(batches, BLOCK_BYTES), limit=BLOCK_BYTES):
         words, block = Words(batch.column("text"), WORD_BYTES), next(ids)
         starts = words.first[:-1] + GAP * np.arange(batch.num_rows)
         where = (np.arange(len(words.tokens)) + GAP * np.repeat(np.arange(batch.num_rows), words.counts)).astype(np.int32)
@@ -75,7 +75,7 @@ def _rows(block: int, *columns: pa.Array) -> pa.RecordBatch:
 
 def build_index(docs: DataFrame) -> DataFrame:
     """Store the positions of every word of every document: rows (block, term, n, positions) and a header per block."""
-    return materialise(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_index, INDEX), "postings")
+    return materialise(map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), _index, INDEX), "postings")
 
 
 def _cut(size: int):
@@ -95,7 +95,7 @@ def _cut(size: int):
 def windows_of(items: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
     """(phrase, item_id as string, words): every `size` consecutive words of an item; all words of a shorter one."""
     rows = items.select(F.col("item_id").cast("string"), "text")
-    return materialise(rows.mapInArrow(_cut(size), "phrase long, item_id string, words array<string>"), "windows")
+    return materialise(map_arrow(rows, _cut(size), "phrase long, item_id string, words array<string>"), "windows")
 
 
 def _unpack(raw: bytes) -> np.ndarray:
@@ -211,7 +211,7 @@ def annotate(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS) -> Dat
     carried = F.struct(*[F.col(c) for c in docs.columns if c != "text"])
     rows = joined.select(carried.alias("row"), "text", "places")
     schema = T.StructType([rows.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType()))])
-    judged = rows.mapInArrow(_matches(known), schema)
+    judged = map_arrow(rows, _matches(known), schema)
     return judged.select("row.*", "n_words", "n_hit", "items", ((F.col("n_hit") > 0) & (F.col("n_hit") * CONTAMINATED_PART >= F.col("n_words"))).alias("contaminated"))
 
 

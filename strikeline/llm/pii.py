@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strikeline.llm.common import Words, byte_table, materialise, slices, small
+from strikeline.llm.common import Words, byte_table, gathered, map_arrow, materialise, slices, small
 
 KINDS = ("email", "ip", "card", "phone", "term")
 CONTEXT_WORDS = 4
@@ -31,6 +31,8 @@ MIN_SUPPORT = 3
 GENERALISE_AT, REMOVE_AT = 0.75, 0.95
 #: Terms that workers hold as a set; with more, texts and terms are joined.
 HELD_TERMS = 500_000
+#: Text bytes whose terms are counted together.
+COUNT_BYTES = 8 << 20
 #: Letters only, so that a mention's own digits and signs are not terms.
 LETTERS = byte_table({*range(0x61, 0x7B), *range(0x80, 0x100)})
 
@@ -135,7 +137,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(term, texts): in how many texts of a slice each term stands."""
-    for batch in slices(batches, limit=16 << 20):
+    for batch in slices(gathered(batches, COUNT_BYTES), limit=COUNT_BYTES):
         words = Words(batch.column("text"), LETTERS)
         coded = words.tokens.dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -155,13 +157,13 @@ def disclosing_terms(docs: DataFrame, min_support: int = MIN_SUPPORT, generalise
     """
     docs = docs.select("text")
     n = docs.count()
-    seen = materialise(docs.mapInArrow(_contexts, "entity string, term string, context binary"), "contexts")
+    seen = materialise(map_arrow(docs, _contexts, "entity string, term string, context binary"), "contexts")
     pairs = seen.groupBy("entity", "term").agg(F.countDistinct("context").alias("together"))
     pairs = materialise(pairs.filter(F.col("together") >= min_support), "supported")
     of_entity = pairs.filter("term is null").select("entity", F.col("together").alias("mentions"))
     linked = pairs.filter("term is not null").join(of_entity, "entity")
     wanted = materialise(linked.select("term").distinct(), "wanted")
-    counts = docs.mapInArrow(_term_counts, "term string, texts long").join(small(wanted), "term", "left_semi").groupBy("term").agg(F.sum("texts").alias("texts"))
+    counts = map_arrow(docs, _term_counts, "term string, texts long").join(small(wanted), "term", "left_semi").groupBy("term").agg(F.sum("texts").alias("texts"))
     total = F.lit(float(max(n, 1)))
     pmi = F.log2(total * F.col("together") / (F.col("texts") * F.col("mentions")))
     information = -F.log2(F.col("mentions") / total)
@@ -242,8 +244,8 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
         held = spark.sparkContext.broadcast({r.term: (r.kind, r.disclosure) for r in terms.toLocalIterator()})
     else:
         named = rows.withColumn("copy", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-        pairs = named.select("copy", "text").mapInArrow(_doc_terms, "copy string, term string").distinct().join(terms, "term")
+        pairs = map_arrow(named.select("copy", "text"), _doc_terms, "copy string, term string").distinct().join(terms, "term")
         own = pairs.groupBy("copy").agg(F.collect_list(F.struct("term", "kind", "disclosure")).alias("terms"))
         rows = named.join(own, "copy", "left").select("row", "text", "terms")
     schema = T.StructType([rows.schema["row"], *(T.StructField(c, T.LongType()) for c in added[:4]), *(T.StructField(c, T.StringType()) for c in added[4:])])
-    return rows.mapInArrow(_sanitise(held), schema).select("row.*", *added)
+    return map_arrow(rows, _sanitise(held), schema).select("row.*", *added)

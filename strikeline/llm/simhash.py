@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strikeline.llm.common import materialise, slices, text_bytes, without
+from strikeline.llm.common import map_arrow, materialise, slices, text_bytes, without
 from strikeline.llm.components import connect
 
 BITS = 64
@@ -83,7 +83,7 @@ def _fingerprints(size: int, seed: int):
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints(size, seed), "doc_id long, fp long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _fingerprints(size, seed), "doc_id long, fp long")
 
 
 def _stars(radius: int):

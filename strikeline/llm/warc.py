@@ -18,7 +18,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strikeline.llm.common import materialise, scratch_path, shuffle_parts, slices, small
+from strikeline.llm.common import map_arrow, materialise, scratch_path, shuffle_parts, slices, small
 
 #: Smaller payloads are always stored whole.
 REVISIT_FROM = 100
@@ -161,7 +161,7 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
     marked = rows.join(small(firsts), "digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     marked = marked.select("page_id", "url", "html", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
-    return materialise(marked.mapInArrow(_write(folder), "path string, records long, bytes long"), "archives")
+    return materialise(map_arrow(marked, _write(folder), "path string, records long, bytes long"), "archives")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,4 +188,4 @@ def read_archives(archives: DataFrame) -> DataFrame:
     """Every record of the listed archives (a table with their path), in any order: page_id, url, record_type,
     payload_digest, payload_bytes, refers_to and payload (null for revisits). A broken archive stops the job."""
     paths = archives.select("path").repartition(shuffle_parts(archives.sparkSession), "path")
-    return paths.mapInArrow(_read, "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary")
+    return map_arrow(paths, _read, "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary")
