@@ -153,4 +153,6 @@ def tail_percentile(rank: Column) -> Column:
 
 
 def range_rank(value: Column, low: Column, high: Column) -> Column:
-    return F.when(known(value, low, high), F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.try_divide(value - low, high - low) * 100)))
+    """Null where the range is empty."""
+    rank = F.try_divide(value - low, high - low) * 100
+    return F.when(rank.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), rank)))

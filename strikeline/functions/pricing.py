@@ -93,7 +93,7 @@ def implied_vol(market: Column, is_call: Column, spot: Column, strike: Column, y
     intrinsic = F.greatest(F.lit(0.0), F.when(is_call, spot - strike).otherwise(strike - spot))
     terms = (is_call, spot, strike, years, rate, dividend)
     return (
-        F.when(~(market > 0) | price(*terms, F.lit(0.2)).isNull(), None)
+        F.when(~F.coalesce(market > 0, F.lit(False)) | price(*terms, F.lit(0.2)).isNull(), None)
         .when((market <= intrinsic) | (market < price(*terms, F.lit(VOL_LOW))), VOL_LOW)
         .when(market > price(*terms, F.lit(VOL_HIGH)), VOL_HIGH)
         .otherwise(root)

@@ -27,7 +27,7 @@ def iv_stats(vol: DataFrame, current: DataFrame) -> DataFrame:
         (F.count_if(F.col("iv") <= F.col("current")) / F.count("*") * 100).alias("percentile"),
     )
     rank = F.try_divide(F.col("current") - F.col("min_iv"), F.col("max_iv") - F.col("min_iv"))
-    return g.withColumn("rank", F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), rank)), F.lit(0.5)))
+    return g.withColumn("rank", F.when(rank.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), rank))))
 
 
 def last_points(vol: DataFrame, n: int) -> DataFrame:

@@ -15,12 +15,12 @@ from strikeline.operators import ivstats, modelling
 from strikeline.plans.registry import add
 
 C = F.col
-CALL = C("call_put") == "C"
+CALL = lambda: C("call_put") == "C"
 r9 = lambda c: F.round(c, 9)
 
 # pricing: exp and ln differ in the last digits between engines
-T = F.datediff("expiration", "date") / 365
-TERMS = (C("spot"), C("strike"), T, F.lit(0.05), F.lit(0.01), C("vol"))
+T = lambda: F.datediff("expiration", "date") / 365
+TERMS = lambda: (C("spot"), C("strike"), T(), F.lit(0.05), F.lit(0.01), C("vol"))
 OPTIONS = lambda t: t.chain.filter("vol is not null")
 
 
@@ -42,19 +42,19 @@ B = """WITH b0 AS (SELECT id, call_put, spot, strike, vol, (expiration - date) /
 PRICE = f"greatest(0e0, g * (spot * exp(-0.01e0 * t) * {cdf('(g * d1)')} - strike * exp(-0.05e0 * t) * {cdf('(g * d2)')}))"
 add("bsm01_norm_cdf", lambda t: t.chain.select("id", r9(P.norm_cdf(C("delta") * 4)).alias("cdf")), f"SELECT id, round({cdf('(delta * 4)')}, 9) AS cdf FROM chain")
 add("bsm02_norm_pdf", lambda t: t.chain.select("id", r9(P.norm_pdf(C("delta") * 4)).alias("pdf")), f"SELECT id, round({pdf('(delta * 4)')}, 9) AS pdf FROM chain")
-add("bsm03_d1_d2", lambda t: OPTIONS(t).select("id", r9(P.d1(*TERMS)).alias("d1"), r9(P.d2(*TERMS)).alias("d2")), B + "SELECT id, round(d1, 9) AS d1, round(d2, 9) AS d2 FROM b")
-add("bsm04_price", lambda t: OPTIONS(t).select("id", r9(P.price(CALL, *TERMS)).alias("price")), B + f"SELECT id, round({PRICE}, 9) AS price FROM b")
-add("bsm05_delta", lambda t: OPTIONS(t).select("id", r9(P.delta(CALL, *TERMS)).alias("delta")), B + f"SELECT id, round(g * exp(-0.01e0 * t) * {cdf('(g * d1)')}, 9) AS delta FROM b")
-add("bsm06_gamma", lambda t: OPTIONS(t).select("id", r9(P.gamma(*TERMS)).alias("gamma")), B + f"SELECT id, round(exp(-0.01e0 * t) * {pdf('d1')} / (spot * vol * sqrt(t)), 9) AS gamma FROM b")
-add("bsm07_theta", lambda t: OPTIONS(t).select("id", r9(P.theta(CALL, *TERMS)).alias("theta")),
+add("bsm03_d1_d2", lambda t: OPTIONS(t).select("id", r9(P.d1(*TERMS())).alias("d1"), r9(P.d2(*TERMS())).alias("d2")), B + "SELECT id, round(d1, 9) AS d1, round(d2, 9) AS d2 FROM b")
+add("bsm04_price", lambda t: OPTIONS(t).select("id", r9(P.price(CALL(), *TERMS())).alias("price")), B + f"SELECT id, round({PRICE}, 9) AS price FROM b")
+add("bsm05_delta", lambda t: OPTIONS(t).select("id", r9(P.delta(CALL(), *TERMS())).alias("delta")), B + f"SELECT id, round(g * exp(-0.01e0 * t) * {cdf('(g * d1)')}, 9) AS delta FROM b")
+add("bsm06_gamma", lambda t: OPTIONS(t).select("id", r9(P.gamma(*TERMS())).alias("gamma")), B + f"SELECT id, round(exp(-0.01e0 * t) * {pdf('d1')} / (spot * vol * sqrt(t)), 9) AS gamma FROM b")
+add("bsm07_theta", lambda t: OPTIONS(t).select("id", r9(P.theta(CALL(), *TERMS())).alias("theta")),
     B + f"SELECT id, round((-spot * exp(-0.01e0 * t) * {pdf('d1')} * vol / (2 * sqrt(t)) + g * (0.01e0 * spot * exp(-0.01e0 * t) * {cdf('(g * d1)')} - 0.05e0 * strike * exp(-0.05e0 * t) * {cdf('(g * d2)')})) / 365, 9) AS theta FROM b")
-add("bsm08_vega", lambda t: OPTIONS(t).select("id", r9(P.vega(*TERMS)).alias("vega")), B + f"SELECT id, round(spot * exp(-0.01e0 * t) * {pdf('d1')} * sqrt(t) / 100, 9) AS vega FROM b")
-add("bsm09_rho", lambda t: OPTIONS(t).select("id", r9(P.rho(CALL, *TERMS)).alias("rho")), B + f"SELECT id, round(g * strike * t * exp(-0.05e0 * t) * {cdf('(g * d2)')} / 100, 9) AS rho FROM b")
+add("bsm08_vega", lambda t: OPTIONS(t).select("id", r9(P.vega(*TERMS())).alias("vega")), B + f"SELECT id, round(spot * exp(-0.01e0 * t) * {pdf('d1')} * sqrt(t) / 100, 9) AS vega FROM b")
+add("bsm09_rho", lambda t: OPTIONS(t).select("id", r9(P.rho(CALL(), *TERMS())).alias("rho")), B + f"SELECT id, round(g * strike * t * exp(-0.05e0 * t) * {cdf('(g * d2)')} / 100, 9) AS rho FROM b")
 
 
 def _implied(t):
-    priced = OPTIONS(t).withColumn("price", P.price(CALL, *TERMS))
-    return priced.select("id", F.round(P.implied_vol_bulk(C("price"), CALL, *TERMS[:-1]), 5).alias("implied_vol"))
+    priced = OPTIONS(t).withColumn("price", P.price(CALL(), *TERMS()))
+    return priced.select("id", F.round(P.implied_vol_bulk(C("price"), CALL(), *TERMS()[:-1]), 5).alias("implied_vol"))
 
 
 add("bsm10_implied_vol", _implied)
@@ -94,9 +94,9 @@ add("emv08_baseline_forecasts", lambda t: em.baseline_forecasts(t.vol, t.chain,
 FIRST = EM_SQL + ", u AS (SELECT act_symbol, spot, (cm + pm) * 0.85e0 AS mv FROM j QUALIFY row_number() OVER (PARTITION BY act_symbol ORDER BY expiration) = 1) "
 add("emv09_live_straddle", lambda t: em.live_straddle(t.latest_chain).select("act_symbol", "spot", *[r9(c).alias(c) for c in ("straddle", "daily", "weekly", "monthly")], "confidence"),
     FIRST + "SELECT act_symbol, spot, round(mv, 9) AS straddle, round(mv / 30, 9) AS daily, round(mv / 4, 9) AS weekly, round(mv, 9) AS monthly, CASE WHEN mv > 0 THEN 'medium' ELSE 'low' END AS confidence FROM u")
-NAMES = F.element_at(F.array(*map(F.lit, ("AAPL", "TSLA", "KO", "XYZ", "ABC"))), (C("c_custkey") % 5 + 1).cast("int"))
-SECTORS = F.when(C("c_custkey") % 3 == 0, "Energy").when(C("c_custkey") % 3 == 1, "Utilities")
-QUOTED = lambda t: t.read("customer").filter("c_custkey < 300").select(NAMES.alias("symbol"), SECTORS.alias("sector"), (100 + C("c_custkey")).cast("double").alias("price"))
+NAMES = lambda: F.element_at(F.array(*map(F.lit, ("AAPL", "TSLA", "KO", "XYZ", "ABC"))), (C("c_custkey") % 5 + 1).cast("int"))
+SECTORS = lambda: F.when(C("c_custkey") % 3 == 0, "Energy").when(C("c_custkey") % 3 == 1, "Utilities")
+QUOTED = lambda t: t.read("customer").filter("c_custkey < 300").select(NAMES().alias("symbol"), SECTORS().alias("sector"), (100 + C("c_custkey")).cast("double").alias("price"))
 _values = lambda rows: ", ".join("(" + ", ".join(v if v.replace(".", "").isdigit() and v[0].isdigit() else f"'{v}'" for v in row) + ")" for row in rows)
 VOL_SQL = f"""WITH sym(symbol, av, sec_, ad, hi, lo, beta, rk) AS (VALUES {_values(lines(SYMBOL_VOLATILITY))}), sct(sector, av2, ad2, lo2, hi2, beta2, rk2) AS (VALUES {_values(lines(SECTOR_VOLATILITY))}),
     q AS (SELECT ['AAPL', 'TSLA', 'KO', 'XYZ', 'ABC'][CAST(c_custkey % 5 + 1 AS INTEGER)] AS symbol, CASE WHEN c_custkey % 3 = 0 THEN 'Energy' WHEN c_custkey % 3 = 1 THEN 'Utilities' ELSE 'Technology' END AS sector, CAST(100 + c_custkey AS DOUBLE) AS price FROM customer WHERE c_custkey < 300),
@@ -122,7 +122,7 @@ add("emv14_realised_moves", lambda t: em.realised_moves(SPOTS(t), 5).select("sym
 CURRENT = lambda t: t.vol.groupBy("symbol").agg(F.max_by("iv", "date").alias("current"))
 STATS = lambda t: ivstats.iv_stats(t.vol, CURRENT(t))
 STATS_SQL = """WITH c AS (SELECT symbol, arg_max(iv, date) AS cur FROM vol GROUP BY 1), st AS (SELECT v.symbol, max(cur) AS current, min(iv) AS min_iv, max(iv) AS max_iv, avg(iv) AS mean_iv, median(iv) AS median_iv, round(stddev_pop(iv), 9) AS std_iv, count(*) AS days,
-    count(*) FILTER (iv <= cur) / count(*) * 100 AS percentile, coalesce(greatest(0, least(1, (max(cur) - min(iv)) / nullif(max(iv) - min(iv), 0))), 0.5e0) AS rank FROM vol v JOIN c USING (symbol) WHERE iv > 0 AND iv < 10 GROUP BY 1) """
+    count(*) FILTER (iv <= cur) / count(*) * 100 AS percentile, CASE WHEN max(iv) = min(iv) THEN 0.5e0 ELSE greatest(0, least(1, (max(cur) - min(iv)) / nullif(max(iv) - min(iv), 0))) END AS rank FROM vol v JOIN c USING (symbol) WHERE iv > 0 AND iv < 10 GROUP BY 1) """
 add("ivs01_iv_stats", lambda t: STATS(t).withColumn("std_iv", r9("std_iv")), STATS_SQL + "SELECT * FROM st")
 add("agg23_iv_summary", lambda t: STATS(t).select("symbol", "min_iv", "max_iv", "mean_iv", "median_iv", "days"), STATS_SQL + "SELECT symbol, min_iv, max_iv, mean_iv, median_iv, days FROM st")
 _case = lambda k: "CASE " + " ".join(f"WHEN percentile >= {row[0]} THEN {k(row)}" for row in IV_LEVELS[:-1]) + f" ELSE {k(IV_LEVELS[-1])} END"
@@ -135,7 +135,7 @@ TODAY = lambda t: t.vol.filter("symbol < 'SYM4'").select("symbol", F.date_add(t.
 add("win11_sparkline", lambda t: ivstats.sparkline(t.vol, TODAY(t), 20), """WITH k AS (SELECT symbol, date, iv FROM vol QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) <= 20), a AS (SELECT * FROM k UNION ALL SELECT symbol, CAST(d + 1 AS DATE), max(iv) FROM vol, clock WHERE symbol < 'SYM4' GROUP BY 1, 2)
     SELECT symbol, date, iv, date = max(date) OVER (PARTITION BY symbol) AS is_last FROM a""")
 add("ivs04_range_rank", lambda t: STATS(t).select("symbol", X.tail_percentile(X.range_rank(C("current"), C("min_iv"), C("max_iv"))).alias("percentile")),
-    STATS_SQL + ", r AS (SELECT symbol, greatest(0, least(100, (current - min_iv) / nullif(max_iv - min_iv, 0) * 100)) AS rk FROM st) SELECT symbol, CASE WHEN rk < 20 THEN rk * 0.8e0 WHEN rk > 80 THEN 80 + (rk - 80) * 0.8e0 ELSE rk END AS percentile FROM r")
+    STATS_SQL + ", r AS (SELECT symbol, CASE WHEN max_iv > min_iv THEN greatest(0, least(100, (current - min_iv) / nullif(max_iv - min_iv, 0) * 100)) END AS rk FROM st) SELECT symbol, CASE WHEN rk < 20 THEN rk * 0.8e0 WHEN rk > 80 THEN 80 + (rk - 80) * 0.8e0 ELSE rk END AS percentile FROM r")
 add("ivs05_fallback_stats", lambda t: STATS(t).select("symbol", X.round_half_up(C("percentile")).cast("long").alias("percentile"), X.round_half_up(C("percentile")).cast("long").alias("rank")), STATS_SQL + "SELECT symbol, CAST(floor(percentile + 0.5e0) AS BIGINT) AS percentile, CAST(floor(percentile + 0.5e0) AS BIGINT) AS rank FROM st")
 add("ivs06_stored_stats", lambda t: t.vol.groupBy("symbol").agg(F.max_by(F.struct("iv", "hv"), "date").alias("s")).select("symbol", "s.*"), "SELECT symbol, iv, hv FROM vol QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1")
 add("ivs07_series", lambda t: t.vol.filter((C("symbol") == "SYM3") & (C("date") >= F.date_sub(t.as_of, 15))).orderBy("date").limit(1000).select("date", "iv"), "SELECT date, iv FROM vol, clock WHERE symbol = 'SYM3' AND date >= d - 15")

@@ -13,7 +13,7 @@ C = F.col
 KEY = ["date", "act_symbol", "expiration", "strike", "call_put"]
 EMKEY = ["underlying", "quote_ts", "exp_date", "horizon"]
 BANDS = ["band68_low", "band68_high", "band95_low", "band95_high"]
-CALL = C("call_put") == "C"
+CALL = lambda: C("call_put") == "C"
 
 # joins
 add("jon01_atm_options", lambda t: views.atm_options(t.chain).select("id", "avg_strike"),
@@ -99,11 +99,11 @@ add("agg19_latest_quote", lambda t: t.em.groupBy("underlying").agg(F.max("quote_
 add("agg20_latest_date", lambda t: t.chain.filter("act_symbol = 'SYM7'").agg(F.max("date").alias("date")), "SELECT max(date) AS date FROM chain WHERE act_symbol = 'SYM7'")
 add("agg21_duplicates", lambda t: views.duplicates(t.chain, KEY), "SELECT date, act_symbol, expiration, strike, call_put, count(*) AS n FROM chain GROUP BY ALL HAVING count(*) > 1")
 add("agg22_partition_counts", lambda t: t.chain.groupBy("act_symbol", F.year("date").alias("year"), F.month("date").alias("month")).agg(F.count("*").alias("n")), "SELECT act_symbol, year(date) AS year, month(date) AS month, count(*) AS n FROM chain GROUP BY 1, 2, 3")
-add("agg24_percentile_bands", lambda t: t.vol.filter("iv > 0 and iv < 10").groupBy("symbol").agg(F.percentile("iv", F.array(*map(F.lit, (0.1, 0.25, 0.5, 0.75, 0.9)))).alias("p")).select("symbol", *[C("p")[k].alias(f"p{q}") for k, q in enumerate((10, 25, 50, 75, 90))]),
-    "SELECT symbol, " + ", ".join(f"quantile_cont(iv, {q / 100}) AS p{q}" for q in (10, 25, 50, 75, 90)) + " FROM vol WHERE iv > 0 AND iv < 10 GROUP BY 1")
+add("agg24_percentile_bands", lambda t: t.vol.filter("iv > 0 and iv < 10").groupBy("symbol").agg(F.percentile("iv", F.array(*map(F.lit, (0.1, 0.25, 0.5, 0.75, 0.9)))).alias("p")).select("symbol", *[F.round(C("p")[k], 9).alias(f"p{q}") for k, q in enumerate((10, 25, 50, 75, 90))]),
+    "SELECT symbol, " + ", ".join(f"round(quantile_cont(iv, {q / 100}), 9) AS p{q}" for q in (10, 25, 50, 75, 90)) + " FROM vol WHERE iv > 0 AND iv < 10 GROUP BY 1")
 add("agg25_expiration_rollup", lambda t: views.expiration_rollup(t.latest_chain), "SELECT act_symbol, expiration, count(*) AS n_contracts, count(*) FILTER (call_put = 'C') AS n_calls, count(*) FILTER (call_put = 'P') AS n_puts, min(strike) AS min_strike, max(strike) AS max_strike, count(DISTINCT strike) AS n_strikes FROM latest_chain GROUP BY 1, 2")
 add("agg26_strike_spacing", lambda t: views.strike_spacing(t.latest_chain), "SELECT act_symbol, min(strike) AS min_strike, max(strike) AS max_strike, count(DISTINCT strike) AS n_strikes, coalesce((max(strike) - min(strike)) / nullif(count(DISTINCT strike) - 1, 0), 0) AS avg_spacing FROM latest_chain GROUP BY 1")
-add("agg27_type_counts", lambda t: t.latest_chain.agg(F.count_if(CALL).alias("calls"), F.count_if(~CALL).alias("puts")), "SELECT count(*) FILTER (call_put = 'C') AS calls, count(*) FILTER (call_put = 'P') AS puts FROM latest_chain")
+add("agg27_type_counts", lambda t: t.latest_chain.agg(F.count_if(CALL()).alias("calls"), F.count_if(~CALL()).alias("puts")), "SELECT count(*) FILTER (call_put = 'C') AS calls, count(*) FILTER (call_put = 'P') AS puts FROM latest_chain")
 add("agg28_iv_range", lambda t: t.vol.filter(C("date") >= F.date_sub(t.as_of, 252)).groupBy("symbol").agg(F.max("iv").alias("high"), F.min("iv").alias("low")), "SELECT symbol, max(iv) AS high, min(iv) AS low FROM vol, clock WHERE date >= d - 252 GROUP BY 1")
 add("agg29_mean_positive_iv", lambda t: t.chain.groupBy("act_symbol").agg(F.coalesce(F.avg(F.when(C("delta") > 0, C("vol"))), F.lit(0.3)).alias("iv")), "SELECT act_symbol, coalesce(avg(CASE WHEN delta > 0 THEN vol END), 0.3e0) AS iv FROM chain GROUP BY 1")
 add("agg31_outcomes", lambda t: t.chain.agg(F.count_if(C("bid") > 0).alias("succeeded"), F.count_if(C("bid") == 0).alias("failed"), F.count("*").alias("total")), "SELECT count(*) FILTER (bid > 0) AS succeeded, count(*) FILTER (bid = 0) AS failed, count(*) AS total FROM chain")

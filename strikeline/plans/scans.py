@@ -43,35 +43,35 @@ add("prj05_days_ahead", lambda t: t.chain.select("id", X.days_ahead(C("expiratio
     "SELECT id, CAST(greatest(1, ceil((epoch(CAST(expiration AS TIMESTAMP)) - epoch(TIMESTAMP '2024-02-08 10:00:00')) / 86400)) AS INTEGER) AS dte FROM chain")
 add("prj06_spread", lambda t: t.chain.select("id", (C("ask") - C("bid")).alias("spread"), X.spread_percent(C("bid"), C("ask"), X.mid(C("bid"), C("ask"))).alias("spread_percent")),
     "SELECT id, ask - bid AS spread, CASE WHEN (bid + ask) / 2 > 0 THEN (ask - bid) / ((bid + ask) / 2) * 100 ELSE 0 END AS spread_percent FROM chain")
-IS_CALL = C("call_put") == "C"
-INTRINSIC = X.intrinsic_value(IS_CALL, C("spot"), C("strike"))
-add("prj07_intrinsic_time", lambda t: t.chain.select("id", INTRINSIC.alias("intrinsic"), X.time_value(C("ask"), INTRINSIC).alias("time_value")),
+IS_CALL = lambda: C("call_put") == "C"
+INTRINSIC = lambda: X.intrinsic_value(IS_CALL(), C("spot"), C("strike"))
+add("prj07_intrinsic_time", lambda t: t.chain.select("id", INTRINSIC().alias("intrinsic"), X.time_value(C("ask"), INTRINSIC()).alias("time_value")),
     "WITH v AS (SELECT id, ask, greatest(0, CASE WHEN call_put = 'C' THEN spot - strike ELSE strike - spot END) AS intrinsic FROM chain) SELECT id, intrinsic, greatest(0, ask - intrinsic) AS time_value FROM v")
-add("prj08_in_the_money", lambda t: t.chain.select("id", X.in_the_money(IS_CALL, C("spot"), C("strike")).alias("itm")), "SELECT id, CASE WHEN call_put = 'C' THEN spot > strike ELSE spot < strike END AS itm FROM chain")
-add("prj09_moneyness", lambda t: t.chain.select("id", X.moneyness(IS_CALL, C("spot"), C("strike")).alias("moneyness")),
+add("prj08_in_the_money", lambda t: t.chain.select("id", X.in_the_money(IS_CALL(), C("spot"), C("strike")).alias("itm")), "SELECT id, CASE WHEN call_put = 'C' THEN spot > strike ELSE spot < strike END AS itm FROM chain")
+add("prj09_moneyness", lambda t: t.chain.select("id", X.moneyness(IS_CALL(), C("spot"), C("strike")).alias("moneyness")),
     "SELECT id, CASE WHEN abs(spot - strike) / spot * 100 < 2 THEN 'ATM' WHEN (call_put = 'C' AND spot > strike) OR (call_put = 'P' AND spot < strike) THEN 'ITM' ELSE 'OTM' END AS moneyness FROM chain")
 add("prj10_distance", lambda t: t.chain.select("id", F.abs(C("spot") - C("strike")).alias("distance"), (F.abs(C("spot") - C("strike")) / C("spot") * 100).alias("distance_percent")),
     "SELECT id, abs(spot - strike) AS distance, abs(spot - strike) / spot * 100 AS distance_percent FROM chain")
-SPREAD = X.spread_percent(C("bid"), C("ask"), X.mid(C("bid"), C("ask")))
-add("prj11_liquidity", lambda t: t.chain.select("id", X.liquidity_score(C("volume"), C("open_interest"), SPREAD).alias("score")),
+SPREAD = lambda: X.spread_percent(C("bid"), C("ask"), X.mid(C("bid"), C("ask")))
+add("prj11_liquidity", lambda t: t.chain.select("id", X.liquidity_score(C("volume"), C("open_interest"), SPREAD()).alias("score")),
     """SELECT id, least(100e0, volume * 0.3e0 + least(open_interest / 100, 50e0) * 0.5e0 + greatest(0e0, 50 - (CASE WHEN (bid + ask) / 2 > 0 THEN (ask - bid) / ((bid + ask) / 2) * 100 ELSE 0e0 END) * 10) * 0.2e0) AS score FROM chain""")
-DTE = X.days_between(C("date"), C("expiration"))
-MONEY = X.moneyness(IS_CALL, C("spot"), C("strike"))
-add("prj12_risk_levels", lambda t: t.chain.select("id", X.risk_level(DTE).alias("risk"), X.time_decay_risk(DTE).alias("decay"), X.profit_potential(MONEY, DTE).alias("profit")),
+DTE = lambda: X.days_between(C("date"), C("expiration"))
+MONEY = lambda: X.moneyness(IS_CALL(), C("spot"), C("strike"))
+add("prj12_risk_levels", lambda t: t.chain.select("id", X.risk_level(DTE()).alias("risk"), X.time_decay_risk(DTE()).alias("decay"), X.profit_potential(MONEY(), DTE()).alias("profit")),
     """WITH v AS (SELECT id, expiration - date AS dte, CASE WHEN abs(spot - strike) / spot * 100 < 2 THEN 'ATM' WHEN (call_put = 'C' AND spot > strike) OR (call_put = 'P' AND spot < strike) THEN 'ITM' ELSE 'OTM' END AS m FROM chain)
        SELECT id, CASE WHEN dte > 30 THEN 'Low' WHEN dte > 7 THEN 'Medium' ELSE 'High' END AS risk, CASE WHEN dte > 45 THEN 'Low' WHEN dte > 14 THEN 'Medium' ELSE 'High' END AS decay,
               CASE WHEN m = 'OTM' AND dte < 7 THEN 'Low' WHEN m = 'ATM' THEN 'High' ELSE 'Medium' END AS profit FROM v""")
 add("prj13_range", lambda t: t.chain.select("id", X.band(C("spot"), C("ask")).alias("b")).select("id", "b.*"), "SELECT id, ask AS move, ask / spot * 100 AS percentage, spot - ask AS lower, spot + ask AS upper FROM chain")
 add("prj14_defaults", lambda t: t.chain.select("id", F.coalesce(F.nanvl("vol", F.lit(0.0)), F.lit(0.0)).alias("vol")), "SELECT id, coalesce(vol, 0e0) AS vol FROM chain")
 add("prj15_upper", lambda t: t.chain.select("id", F.upper(F.lower("act_symbol")).alias("symbol")), "SELECT id, upper(lower(act_symbol)) AS symbol FROM chain")
-WINDOW_TEXT = F.element_at(F.array(*map(F.lit, ("30d", " 7D ", "0d", "x", "-4", "120"))), (C("id") % 6 + 1).cast("int"))
-add("prj16_window_days", lambda t: t.chain.select("id", X.window_days(WINDOW_TEXT).alias("days")), "SELECT id, [30, 7, 1, 90, 1, 120][CAST(id % 6 + 1 AS INTEGER)] AS days FROM chain")
+WINDOW_TEXT = lambda: F.element_at(F.array(*map(F.lit, ("30d", " 7D ", "0d", "x", "-4", "120"))), (C("id") % 6 + 1).cast("int"))
+add("prj16_window_days", lambda t: t.chain.select("id", X.window_days(WINDOW_TEXT()).alias("days")), "SELECT id, [30, 7, 1, 90, 1, 120][CAST(id % 6 + 1 AS INTEGER)] AS days FROM chain")
 add("prj17_money_text", lambda t: t.chain.select("id", X.signed_money(C("spot"), C("strike") / 2).alias("label")), "SELECT id, printf('±$%.2f (%.1f%%)', spot, strike / 2) AS label FROM chain")
 add("prj18_keys", lambda t: t.chain.select("id", X.cache_key(F.lit("em_forecast"), C("act_symbol"), X.horizons_key(F.array(F.lit("to_exp"), F.lit("1d"), F.lit("5d")))).alias("key")),
     "SELECT id, 'em_forecast:' || act_symbol || ':1d:5d:to_exp' AS key FROM chain")
 add("prj19_date_key", lambda t: t.chain.select("id", X.date_key(C("date")).alias("key")), "SELECT id, strftime(date, '%Y%m%d') AS key FROM chain")
-HORIZON = F.element_at(F.array(*map(F.lit, ("daily", "weekly", "monthly"))), (C("id") % 3 + 1).cast("int"))
-add("prj20_bar_width", lambda t: t.chain.select("id", X.bar_width(C("theta") * 8, HORIZON).alias("width")), "SELECT id, least(abs(theta * 8) / [5e0, 15e0, 25e0][CAST(id % 3 + 1 AS INTEGER)] * 100, 100) AS width FROM chain")
+HORIZON = lambda: F.element_at(F.array(*map(F.lit, ("daily", "weekly", "monthly"))), (C("id") % 3 + 1).cast("int"))
+add("prj20_bar_width", lambda t: t.chain.select("id", X.bar_width(C("theta") * 8, HORIZON()).alias("width")), "SELECT id, least(abs(theta * 8) / [5e0, 15e0, 25e0][CAST(id % 3 + 1 AS INTEGER)] * 100, 100) AS width FROM chain")
 
 # filters
 def latest_for(t, symbol="SYM3"):
@@ -113,7 +113,7 @@ add("flt17_latest_rows", lambda t: t.em.join(t.em.groupBy("underlying").agg(F.ma
 add("flt18_prefix", lambda t: pick(t.chain.filter(F.lower("call_put").startswith("c"))), f"SELECT {ALL} FROM chain WHERE starts_with(lower(call_put), 'c')")
 add("flt19_ticker_format", lambda t: t.bars.filter(C("sym").startswith("O:") & C("sym").endswith("B")).select("event_id", "sym"), "SELECT event_id, sym FROM bars WHERE sym LIKE 'O:%B'")
 PAIR = ["act_symbol", "expiration", "strike"]
-add("flt20_complete_strikes", lambda t: t.latest_chain.groupBy(*PAIR).agg(F.count_if(IS_CALL).alias("calls"), F.count_if(~IS_CALL).alias("puts")).filter("calls > 0 and puts > 0").select(*PAIR),
+add("flt20_complete_strikes", lambda t: t.latest_chain.groupBy(*PAIR).agg(F.count_if(IS_CALL()).alias("calls"), F.count_if(~IS_CALL()).alias("puts")).filter("calls > 0 and puts > 0").select(*PAIR),
     "SELECT act_symbol, expiration, strike FROM latest_chain GROUP BY ALL HAVING count(DISTINCT call_put) = 2")
 
 

@@ -65,10 +65,10 @@ add("srv16_iv_defaults", lambda t: t.vol.filter("symbol = 'SYM3'").select("date"
 # streams, over a table
 BARS = lambda t: t.bars.select("event_id", F.lit("AM").alias("ev"), "sym", "o", "h", "l", "c", "v", F.lit(None).cast("double").alias("vw"), "s", "e")
 add("str03_minute_bars", lambda t: feed.minute_bars(BARS(t)).select("sym", "open", "close", "volume", "duration_ms", F.unix_millis("window_end").alias("end_ms")), "SELECT sym, o AS open, c AS close, v AS volume, e - s AS duration_ms, e AS end_ms FROM bars")
-FRAME = F.when(C("event_id") % 11 == 0, "{bad").when(C("event_id") % 3 == 0, F.to_json(F.array(F.struct("ev", "sym", "c"), F.struct(F.lit("status").alias("ev"), "sym", "c")))).otherwise(F.to_json(F.struct("ev", "sym", "c")))
-add("str01_parse_frames", lambda t: feed.parse_frames(BARS(t).select(FRAME.alias("value"))).groupBy("ev").agg(F.count("*").alias("n")),
+FRAME = lambda: F.when(C("event_id") % 11 == 0, "{bad").when(C("event_id") % 3 == 0, F.to_json(F.array(F.struct("ev", "sym", "c"), F.struct(F.lit("status").alias("ev"), "sym", "c")))).otherwise(F.to_json(F.struct("ev", "sym", "c")))
+add("str01_parse_frames", lambda t: feed.parse_frames(BARS(t).select(FRAME().alias("value"))).groupBy("ev").agg(F.count("*").alias("n")),
     "SELECT 'AM' AS ev, count(*) AS n FROM bars WHERE event_id % 11 <> 0 UNION ALL SELECT 'status', count(*) FROM bars WHERE event_id % 11 <> 0 AND event_id % 3 = 0")
-add("str02_statuses", lambda t: feed.parse_frames(BARS(t).select(FRAME.alias("value"))).filter("ev = 'AM'").select("sym", "c"), "SELECT sym, c FROM bars WHERE event_id % 11 <> 0")
+add("str02_statuses", lambda t: feed.parse_frames(BARS(t).select(FRAME().alias("value"))).filter("ev = 'AM'").select("sym", "c"), "SELECT sym, c FROM bars WHERE event_id % 11 <> 0")
 SUBS = lambda t: t.bars.select("sym").distinct().filter(C("sym") < "O:SYMH")
 add("str04_subscriptions", lambda t: feed.activity(feed.subscribed(feed.minute_bars(BARS(t)), SUBS(t))).select("sym", "messages", F.unix_millis("last_update").alias("last_ms")), "SELECT sym, count(*) AS messages, max(e) AS last_ms FROM bars WHERE sym < 'O:SYMH' GROUP BY 1")
 LIMITED = lambda t: feed.limit_requests(t.read("events").select((C("user_id") % 50).cast("string").alias("key"), C("event_id").alias("id"), F.unix_millis(C("ts").cast("timestamp")).alias("ms")), 2, 21_600_000)
@@ -82,11 +82,11 @@ add("str12_hourly_ohlc", lambda t: feed.rolled_up(feed.minute_bars(BARS(t)), "1
 JOINED = lambda df: df.select("id", F.array_join("errors", "; ").alias("errors"), "valid")
 _sql = lambda *rules: "concat_ws('; ', " + ", ".join(f"CASE WHEN coalesce({ok}, false) THEN NULL ELSE '{m}' END" for m, ok in rules) + ")"
 _both = lambda e, rest="FROM chain": f"SELECT id, {e} AS errors, {e} = '' AS valid {rest}"
-NAME = F.when(C("id") % 5 == 0, F.concat("act_symbol", F.lit("$"))).when(C("id") % 7 == 0, F.repeat("act_symbol", 4)).otherwise(C("act_symbol"))
+NAME = lambda: F.when(C("id") % 5 == 0, F.concat("act_symbol", F.lit("$"))).when(C("id") % 7 == 0, F.repeat("act_symbol", 4)).otherwise(C("act_symbol"))
 SQL_NAME = "CASE WHEN id % 5 = 0 THEN act_symbol || '$' WHEN id % 7 = 0 THEN repeat(act_symbol, 4) ELSE act_symbol END"
-add("val01_symbols", lambda t: JOINED(quality.validated(t.chain, *quality.symbol_rules(NAME))), _both(_sql(("symbol: must have 1 to 10 characters", f"length({SQL_NAME}) BETWEEN 1 AND 10"), ("symbol: may have letters, digits, dots and hyphens only", f"regexp_matches({SQL_NAME}, '^[A-Za-z0-9.-]+$')"))))
-DAY = F.when(C("id") % 5 == 0, "soon").otherwise(C("expiration").cast("string"))
-add("val02_expiries", lambda t: JOINED(quality.validated(t.chain, *quality.expiry_rules(DAY, F.lit("2024-02-10").cast("date")))),
+add("val01_symbols", lambda t: JOINED(quality.validated(t.chain, *quality.symbol_rules(NAME()))), _both(_sql(("symbol: must have 1 to 10 characters", f"length({SQL_NAME}) BETWEEN 1 AND 10"), ("symbol: may have letters, digits, dots and hyphens only", f"regexp_matches({SQL_NAME}, '^[A-Za-z0-9.-]+$')"))))
+DAY = lambda: F.when(C("id") % 5 == 0, "soon").otherwise(C("expiration").cast("string"))
+add("val02_expiries", lambda t: JOINED(quality.validated(t.chain, *quality.expiry_rules(DAY(), F.lit("2024-02-10").cast("date")))),
     _both(_sql(("expiry: must be in YYYY-MM-DD format", "id % 5 <> 0"), ("expiry: must be in the future", "CASE WHEN id % 5 <> 0 THEN expiration > DATE '2024-02-10' END"))))
 add("val03_quotes", lambda t: JOINED(quality.validated(t.chain, *quality.quote_rules(C("strike"), C("delta"), C("bid") - 2, C("ask"), C("vol") - 0.25, C("volume"), C("open_interest") - 5))),
     _both(_sql(("strike: must be positive", "strike > 0"), ("mid: cannot be negative", "delta >= 0"), ("bid: cannot be negative", "bid - 2 >= 0"), ("ask: cannot be negative", "ask >= 0"), ("iv: must be positive", "vol IS NULL OR vol - 0.25 > 0"), ("volume: cannot be negative", "volume >= 0"), ("openInterest: cannot be negative", "open_interest - 5 >= 0"))))

@@ -19,3 +19,18 @@ def build(name: str = "strikeline", master: str | None = None, **settings: str)
         **settings,
     }
     return builder.config(map=conf).getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make the package importable in Python workers that do not start in its folder. Once per session."""
+    import shutil
+    import tempfile
+    from pathlib import Path
+
+    context = spark.sparkContext
+    if getattr(context, "_strikeline_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="spark-")) / "strikeline_package"), "zip", package.parent, package.name)
+    context.addPyFile(archive)
+    context._strikeline_shipped = True
