@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,14 +120,15 @@ def map_texts(docs: DataFrame, function, added: list[T.StructField]) -> DataFram
     return out.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns], *[f.name for f in added])
 
 
-def without(docs: DataFrame, dropped: DataFrame, *keys: str) -> DataFrame:
-    """The rows of docs whose keys are not among those of dropped; nulls are equal."""
-    dropped = materialise(dropped.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct(), "dropped")
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    condition = same[0]
-    for more in same[1:]:
-        condition = condition & more
-    return docs.join(small(dropped), condition, "left_anti")
+def without(docs: DataFrame, dropped: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """The rows of docs for which no row of dropped has the values of these columns in its columns of those names; nulls are
+    equal."""
+    dropped = materialise(dropped.select(*keys).distinct(), "dropped")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.struct(*[c.alias(k) for k, c in keys.items()]).alias("own"))
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & F.col(f"own.{k}").eqNullSafe(F.col(k))
+    return rows.join(small(dropped), condition, "left_anti").select("row.*")
 
 
 def byte_table(word_bytes: set[int]) -> np.ndarray:

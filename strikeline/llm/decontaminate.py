@@ -207,9 +207,8 @@ def annotate(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS) -> Dat
     else:
         places = found.join(phrases, "phrase").select("doc_id", F.struct("pos", "item_id", "words").alias("place"))
     places = places.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("place").alias("places"))
-    joined = docs.join(small(places, n_found), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
     carried = F.struct(*[F.col(c) for c in docs.columns if c != "text"])
-    rows = joined.select(carried.alias("row"), "text", "places")
+    rows = docs.select(carried.alias("row"), "text").join(small(places, n_found), F.col("row.doc_id").cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
     schema = T.StructType([rows.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType()))])
     judged = map_arrow(rows, _matches(known), schema)
     return judged.select("row.*", "n_words", "n_hit", "items", ((F.col("n_hit") > 0) & (F.col("n_hit") * CONTAMINATED_PART >= F.col("n_words"))).alias("contaminated"))
@@ -217,9 +216,8 @@ def annotate(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS) -> Dat
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs, all columns, whose text is not contaminated. Rows are told apart by doc_id and text."""
-    marked = docs.withColumn("_text_key", F.xxhash64("text"))
-    judged = annotate(marked.select("doc_id", "_text_key", "text"), items)
-    return without(marked, judged.filter("contaminated"), "doc_id", "_text_key").drop("_text_key")
+    judged = annotate(docs.select("doc_id", F.xxhash64("text").alias("digest"), "text"), items).filter("contaminated")
+    return without(docs, judged, {"doc_id": F.col("doc_id"), "digest": F.xxhash64("text")})
 
 
 def phrase_search(index: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFrame:

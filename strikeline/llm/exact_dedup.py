@@ -62,4 +62,4 @@ def groups(docs: DataFrame, text: Column | None = None, latest: bool = False) ->
 def deduplicate(docs: DataFrame, text: Column | None = None, latest: bool = False) -> DataFrame:
     """The rows of docs whose text has no equal with a smaller doc_id (larger with `latest`). Ids must be unique; of rows
     with a null id all go whose text another row keeps."""
-    return without(docs, groups(docs, text, latest).filter("not kept"), "doc_id")
+    return without(docs, groups(docs, text, latest).filter("not kept"), {"doc_id": F.col("doc_id")})

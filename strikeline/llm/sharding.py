@@ -37,12 +37,11 @@ class Interval:
 
 
 def _line(docs: DataFrame, id_column: str) -> DataFrame:
-    return docs.withColumns(
-        {
-            "_digest": F.xxhash64(F.coalesce("text", F.lit(""))),
-            "_id": F.coalesce(F.col(id_column).cast("long"), F.lit(LOW)),
-            "_size": F.coalesce(F.octet_length("text").cast("long"), F.lit(0)) + 1,
-        }
+    return docs.select(
+        F.struct(*docs.columns).alias("_row"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("_digest"),
+        F.coalesce(F.col(id_column).cast("long"), F.lit(LOW)).alias("_id"),
+        (F.coalesce(F.octet_length("text").cast("long"), F.lit(0)) + 1).alias("_size"),
     )
 
 
@@ -129,8 +128,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_column: str = "doc_id") -> D
     moved = rows.withColumn("_piece", piece).repartitionByRange(shards * per_shard, "_piece")
     order = Window.partitionBy("_piece").orderBy("_digest", "_id")
     out = moved.withColumn("_at", F.row_number().over(order))
-    keep = [c for c in docs.columns if c not in ("size", "shard", "slot")]
-    return out.select(*keep, F.col("_size").alias("size"), F.floor(F.col("_piece") / per_shard).cast("int").alias("shard"), (F.col("_at") - 1 + offset).alias("slot"))
+    return out.select("_row.*", F.col("_size").alias("size"), F.floor(F.col("_piece") / per_shard).cast("int").alias("shard"), (F.col("_at") - 1 + offset).alias("slot"))
 
 
 def boundary_of(places: list[tuple[int, int]], digest: int, id_: int) -> int:

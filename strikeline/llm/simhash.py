@@ -150,4 +150,4 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, radius: int = RA
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs whose doc_id names their component: one document of each group. Rows without an id stay."""
-    return without(docs, near_duplicates(docs, **options).filter("doc_id <> component_id"), "doc_id")
+    return without(docs, near_duplicates(docs, **options).filter("doc_id <> component_id"), {"doc_id": F.col("doc_id")})
