@@ -189,11 +189,11 @@ def _matches(size_known: dict[int, tuple[str, list[bytes]]] | None):
 
 
 def annotate(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
-    """docs plus n_words, n_hit, items (ids of items with an occurring window, sorted as strings) and contaminated.
+    """docs without text, plus n_words, n_hit, items (ids of items with an occurring window, sorted as strings) and contaminated.
 
     Null and empty texts have no words and are never contaminated; an item without words has no window; a null item id is
     dropped. Rows with the same doc_id are judged each by its own text, null ids included. Columns of docs with the
-    names of the results are replaced; all others are kept.
+    names of the results are replaced; all other columns are kept.
     """
     docs = docs.drop("n_words", "n_hit", "items", "contaminated")
     phrases = windows_of(items.filter(F.col("item_id").isNotNull()), size)
