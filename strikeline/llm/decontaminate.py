@@ -102,27 +102,23 @@ def _unpack(raw: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(raw, np.int32), dtype=np.int32)
 
 
-def _begin(positions: pd.Series, offset: pd.Series) -> pd.Series:
-    return pd.Series([(_unpack(p) - np.int32(o)).tobytes() for p, o in zip(positions, offset, strict=True)], dtype=object)
-
-
-def _meet(begins: pd.Series, positions: pd.Series, offset: pd.Series, slop: pd.Series) -> pd.Series:
+def _meet(begins: pd.Series, shift: pd.Series, positions: pd.Series, offset: pd.Series, slop: pd.Series) -> pd.Series:
     out = []
-    for raw, p, o, s in zip(begins, positions, offset, slop, strict=True):
-        own, other = np.frombuffer(raw, np.int32), _unpack(p) - np.int32(o)
+    for raw, b, p, o, s in zip(begins, shift, positions, offset, slop, strict=True):
+        own, other = _unpack(raw) - np.int32(b), _unpack(p) - np.int32(o)
         if s:  # some occurrence at most s words from where the phrase has it
             at = np.searchsorted(other, own - s)
-            good = (at < len(other)) & (other[np.minimum(at, len(other) - 1)] <= own + s)
-            out.append(own[good].tobytes())
+            met = own[(at < len(other)) & (other[np.minimum(at, len(other) - 1)] <= own + s)]
         else:
-            out.append(np.intersect1d(own, other, assume_unique=True).tobytes())
+            met = np.intersect1d(own, other, assume_unique=True)
+        out.append(np.diff(met, prepend=np.int32(0)).astype(np.int32).tobytes())
     return pd.Series(out, dtype=object)
 
 
-def _in_docs(begins: pd.Series, starts: pd.Series, docs: pd.Series) -> pd.Series:
+def _in_docs(begins: pd.Series, shift: pd.Series, starts: pd.Series, docs: pd.Series) -> pd.Series:
     out = []
-    for raw, s, ids in zip(begins, starts, docs, strict=True):
-        own, s = np.frombuffer(raw, np.int32), np.frombuffer(s, np.int32)
+    for raw, b, s, ids in zip(begins, shift, starts, docs, strict=True):
+        own, s = _unpack(raw) - np.int32(b), np.frombuffer(s, np.int32)
         doc = np.maximum(np.searchsorted(s, own, side="right") - 1, 0)
         out.append([{"doc_id": None if pd.isna(ids[d]) else int(ids[d]), "pos": int(p - s[d])} for d, p in zip(doc, own, strict=True)])
     return pd.Series(out)
@@ -149,19 +145,19 @@ def candidates(index: DataFrame, phrases: DataFrame, slop: int = 0, rarest: int
     )
     anchors = materialise(anchors, "anchors")
     lists = materialise(terms.select("term", "block", "positions").join(small(anchors.select("term").distinct()), "term", "left_semi"), "lists")
-    found = anchors.filter("rank = 1").join(lists, "term").select("phrase", "block", F.pandas_udf(_begin, "binary")("positions", "offset").alias("begins"))
+    found = anchors.filter("rank = 1").join(lists, "term").select("phrase", "block", F.col("positions").alias("begins"), F.col("offset").alias("shift"))
     for rank in range(2, rarest + 1):
         more = anchors.filter(F.col("rank") == rank).select("phrase", "term", "offset")
         step = found.join(more, "phrase", "left")
         met = (
             step.filter(F.col("term").isNotNull())
             .join(lists, ["term", "block"])
-            .select("phrase", "block", F.pandas_udf(_meet, "binary")("begins", "positions", "offset", F.lit(slop)).alias("begins"))
+            .select("phrase", "block", F.pandas_udf(_meet, "binary")("begins", "shift", "positions", "offset", F.lit(slop)).alias("begins"), F.lit(0).alias("shift"))
             .filter(F.length("begins") > 0)
         )
-        found = materialise(met.unionByName(step.filter(F.col("term").isNull()).select("phrase", "block", "begins")), f"met{rank}")
+        found = materialise(met.unionByName(step.filter(F.col("term").isNull()).select("phrase", "block", "begins", "shift")), f"met{rank}")
     heads = index.filter(F.col("term").isNull()).select("block", F.col("positions").alias("starts"), "doc_ids")
-    return found.join(heads, "block").select("phrase", F.explode(F.pandas_udf(_in_docs, "array<struct<doc_id:bigint,pos:int>>")("begins", "starts", "doc_ids")).alias("at")).select("phrase", "at.doc_id", "at.pos")
+    return found.join(heads, "block").select("phrase", F.explode(F.pandas_udf(_in_docs, "array<struct<doc_id:bigint,pos:int>>")("begins", "shift", "starts", "doc_ids")).alias("at")).select("phrase", "at.doc_id", "at.pos")
 
 
 def _matches(size_known: dict[int, tuple[str, list[bytes]]] | None):
