@@ -56,8 +56,9 @@ def measures(column: pa.Array) -> np.ndarray:
     if len(owner):
         codes = lettered.tokens.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
         kinds, most = _distinct(codes, owner, rows)
-        pairs = (codes[:-1] * 1_000_003 + codes[1:]) & 0xFFFFFFFF
-        two, most_two = _distinct(pairs, owner[:-1], rows) if len(pairs) else (np.zeros(rows), np.zeros(rows))
+        inside = owner[1:] == owner[:-1]
+        pairs = np.unique((codes[:-1] * (codes.max() + 1) + codes[1:])[inside], return_inverse=True)[1]
+        two, most_two = _distinct(pairs, owner[1:][inside], rows) if len(pairs) else (np.zeros(rows), np.zeros(rows))
     else:
         kinds = most = two = most_two = np.zeros(rows)
     n = np.maximum(lettered.counts, 1)
@@ -134,7 +135,7 @@ def estimate_prior(p: np.ndarray, u: np.ndarray, audited: float | None) -> float
 def train(positive: list[str], unlabelled: list[str], audited: float | None = None, seed: int = 11, epochs: int = 60) -> Model | None:
     if not positive or not unlabelled:
         return None
-    p, u = (measures(pa.array(x, pa.string())) for x in (positive, unlabelled))
+    p, u = (np.vstack([measures(s.column("text")) for s in slices([pa.record_batch({"text": pa.array(x, pa.string())})])]) for x in (positive, unlabelled))
     both = np.vstack([p, u])
     mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-3
     p, u = _wide(p, mean, scale), _wide(u, mean, scale)
