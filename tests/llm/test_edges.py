@@ -69,6 +69,14 @@ def test_quality(spark, docs, none):
     assert {r.quality_score for r in quality.classify(docs, None).collect()} == {0.5}
 
 
+def test_measures_of_a_text_do_not_depend_on_its_neighbours():
+    import pyarrow as pa
+
+    whole = quality.measures(pa.array([t[:3000] if t else t for t in TEXTS], pa.string()))
+    for k, text in enumerate(TEXTS):
+        assert np.allclose(quality.measures(pa.array([text[:3000] if text else text], pa.string()))[0], whole[k])
+
+
 def test_personal_data(spark, docs, none):
     found = pii.sanitise(docs.withColumn("key", F.col("doc_id")))
     base = {r.key: r.base_spans for r in found.collect()}
