@@ -137,3 +137,10 @@ def earnings_stats(symbols: DataFrame, history: DataFrame) -> DataFrame:
     )
     defaults = {"beat_rate": 0.6, "avg_beat": 0.0, "revenue_beat_rate": 0.65, "avg_revenue_beat": 0.0}
     return symbols.join(g, "symbol", "left").select("symbol", *[F.coalesce(c, F.lit(d)).alias(c) for c, d in defaults.items()])
+
+
+def price_reactions(events: DataFrame, prices: DataFrame) -> DataFrame:
+    """events(symbol, date) with the price of the day before and of the day after, and the move in per cent; null without both."""
+    side = lambda shift, name: prices.select("symbol", F.date_add("date", shift).alias("date"), F.col("spot").alias(name))
+    both = events.select("symbol", "date").join(side(1, "before"), ["symbol", "date"], "left").join(side(-1, "after"), ["symbol", "date"], "left")
+    return both.withColumn("move_percent", F.try_divide(F.col("after") - F.col("before"), F.col("before")) * 100)

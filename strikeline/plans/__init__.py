@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("scans", "relations", "domain", "serving")
+MODULES = ("scans", "relations", "domain", "serving", "stores")
 
 
 def load() -> tuple[dict, dict]:

@@ -34,3 +34,25 @@ def ship(spark: SparkSession) -> None:
     archive = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="spark-")) / "strikeline_package"), "zip", package.parent, package.name)
     context.addPyFile(archive)
     context._strikeline_shipped = True
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The folder all executors share; a local one is made only for local sessions that name none."""
+    import tempfile
+
+    conf = spark.sparkContext.getConf()
+    root = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    spark.conf.set("spark.checkpoint.dir", root)
+    return root
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in that folder."""
+    import uuid
+
+    return f"{scratch_root(spark)}/strikeline/{name}-{uuid.uuid4().hex}"

@@ -164,3 +164,8 @@ def describe(spark: SparkSession, tables: list[str]) -> DataFrame:
     """(table, position, column, type) of the session's tables."""
     rows = [(t, k, f.name, f.dataType.simpleString()) for t in tables for k, f in enumerate(spark.table(t).schema)]
     return spark.createDataFrame(rows, "table string, position int, column string, type string")
+
+
+def tables_like(spark: SparkSession, pattern: str) -> DataFrame:
+    """Names of the session's tables and views that match a pattern of SHOW TABLES, such as 'options_chain_*'."""
+    return spark.sql(f"SHOW TABLES LIKE '{pattern.replace(chr(39), '')}'").select(F.col("tableName").alias("table"))

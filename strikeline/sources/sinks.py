@@ -47,6 +47,11 @@ def export_volatility(vol: DataFrame, path: str, **options) -> int:
     return export(vol.withColumn("year", F.year("date")), path, ["year"], ["date", "symbol"], **options)
 
 
+def export_table(df: DataFrame, path: str) -> None:
+    """A whole table in the order of its first column, over as many files as its size asks for."""
+    df.orderBy(df.columns[0]).write.mode("overwrite").option("compression", "snappy").parquet(path)
+
+
 def clean_quotes(chain: DataFrame) -> DataFrame:
     """Quotes fit for modelling, with mid and days to expiry, keyed for the per-symbol layout."""
     good = chain.filter("bid > 0 and ask > bid and vol > 0")
@@ -103,11 +108,30 @@ def reconcile(source: DataFrame, written: DataFrame, by: list[str]) -> DataFrame
     return both.withColumn("mismatch", F.col("source_rows") != F.col("written_rows"))
 
 
-def save_table(df: DataFrame, name: str) -> DataFrame:
-    """Replace a materialised table by the rows of df."""
-    df.write.mode("overwrite").saveAsTable(name)
+def save_table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Replace a materialised table by the rows of df; at the path, or in the warehouse."""
+    writer = df.write.mode("overwrite")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
     return df.sparkSession.table(name)
 
 
 def write_metadata(spark: SparkSession, path: str, **facts) -> None:
     spark.createDataFrame([tuple(map(str, facts.values()))], ", ".join(f"`{k}` string" for k in facts)).coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_schema(spark: SparkSession, path: str, tables: list[str]) -> None:
+    """A line of text for each table: its name, and its columns in order with their types."""
+    lines = [(f"{t} ({', '.join(f'{c} {k}' for c, k in spark.table(t).dtypes)})",) for t in tables]
+    spark.createDataFrame(lines, "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "overwrite", batch: int = 100, **options: str) -> None:
+    df.write.format("jdbc").options(url=url, dbtable=table, batchsize=batch, **options).mode(mode).save()
+
+
+def upsert_jdbc(new: DataFrame, url: str, table: str, staging: str, keys: list[str], **options: str) -> DataFrame:
+    """Merge rows with a database table into a staging table beside it, which the database then swaps in; what it holds."""
+    from strikeline.sources.readers import jdbc
+
+    write_jdbc(keyed_union(jdbc(new.sparkSession, url, table, **options), new, keys), url, staging, **options)
+    return jdbc(new.sparkSession, url, staging, **options)

@@ -94,3 +94,14 @@ def test_narrow_table_and_metadata(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/t")
     got = readers.file_summary(spark.read.parquet(f"{tmp_path}/t")).agg(F.sum("rows"), F.min("bytes")).first()
     assert got[0] == 2 and got[1] > 0
+
+
+def test_jdbc_upsert(spark, sf_dir):
+    url = f"jdbc:derby:memory:strikeline{id(spark)};create=true"
+    em, keys = Tables(spark, sf_dir).em.filter("underlying < 'SYM3'"), ["underlying", "quote_ts", "exp_date", "horizon"]
+    sinks.write_jdbc(em.withColumn("n", F.dayofmonth("quote_ts")), url, "forecasts")
+    ranged = readers.jdbc(spark, url, "forecasts", "n", 1, 31, 4)
+    assert ranged.rdd.getNumPartitions() == 4 and ranged.count() == em.count()
+    changed = em.limit(5).withColumn("em_baseline", F.lit(9.0)).withColumn("n", F.lit(0))
+    after = sinks.upsert_jdbc(changed, url, "forecasts", "forecasts_staging", keys)
+    assert after.count() == em.count() and after.filter("em_baseline = 9.0").count() == 5
