@@ -32,10 +32,12 @@ def quote_map(chain: DataFrame) -> DataFrame:
 
 def split_legs(chain: DataFrame) -> DataFrame:
     """Two-sided quotes of each symbol's newest day, with the day's mean strike and each leg's distance from it."""
-    newest = Window.partitionBy("act_symbol")
-    rows = chain.filter("bid > 0 and ask > 0").withColumn("_d", F.max("date").over(newest)).filter("date = _d")
-    mean = F.avg("strike").over(newest)
-    return rows.select("id", "act_symbol", "call_put", "strike", mean.alias("mean_strike"), F.abs(F.col("strike") - mean).alias("distance"))
+    quoted = chain.filter("bid > 0 and ask > 0").select("id", "act_symbol", "call_put", "strike", "date")
+    # Sums combine before they move, so a symbol however frequent is no task of its own.
+    newest = quoted.groupBy("act_symbol").agg(F.max("date").alias("date"))
+    rows = quoted.join(newest, ["act_symbol", "date"], "left_semi")
+    mean = rows.groupBy("act_symbol").agg(F.avg("strike").alias("mean_strike"))
+    return rows.join(mean, "act_symbol").select("id", "act_symbol", "call_put", "strike", "mean_strike", F.abs(F.col("strike") - F.col("mean_strike")).alias("distance"))
 
 
 def discovery(chain: DataFrame) -> DataFrame:

@@ -57,9 +57,9 @@ def trend(vol: DataFrame, k: int = 10) -> DataFrame:
 
 def scaled(vol: DataFrame) -> DataFrame:
     """Each point between 0 and 100 of its symbol's range."""
-    group = Window.partitionBy("symbol")
-    low, high = F.min("iv").over(group), F.max("iv").over(group)
-    return vol.select("symbol", "date", F.coalesce(F.try_divide(F.col("iv") - low, high - low) * 100, F.lit(0.0)).alias("height"), (F.col("date") == F.max("date").over(group)).alias("is_last"))
+    ends = vol.groupBy("symbol").agg(F.min("iv").alias("low"), F.max("iv").alias("high"), F.max("date").alias("last"))
+    height = F.coalesce(F.try_divide(F.col("iv") - F.col("low"), F.col("high") - F.col("low")) * 100, F.lit(0.0))
+    return vol.join(ends, "symbol").select("symbol", "date", height.alias("height"), (F.col("date") == F.col("last")).alias("is_last"))
 
 
 def context(stats: DataFrame) -> DataFrame:

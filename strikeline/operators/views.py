@@ -69,7 +69,9 @@ def progressive(chain: DataFrame, as_of: Column, recent_cap: int = 1000, older_c
     aged = chain.withColumn("bucket", age_bucket(F.col("date"), as_of)).filter(F.col("bucket") <= buckets)
     order = Window.partitionBy("act_symbol", "bucket").orderBy(F.desc("date"), "strike", "id")
     cap = F.when(F.col("bucket") == 1, recent_cap).otherwise(older_cap)
-    return aged.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= cap).drop("_n")
+    # The plain bound lets Spark cut each task's rows to it before they are shuffled; one that depends on the row does not.
+    within = (F.col("_n") <= max(recent_cap, older_cap)) & (F.col("_n") <= cap)
+    return aged.withColumn("_n", F.row_number().over(order)).filter(within).drop("_n")
 
 
 def standard_expirations(chain: DataFrame, least: int = 10) -> DataFrame:

@@ -118,3 +118,20 @@ def test_band_model_round_trip(spark, sf_dir, tmp_path):
     first, again = (sorted(map(tuple, m.predict(rows, features, keys).collect())) for m in (model, modelling.BandModel.load(spark, f"{tmp_path}/m")))
     assert first == again and all(r[5] <= r[6] for r in first)
     assert modelling.target_column(["a"]) is None
+
+
+def test_capped_report_limits_before_the_shuffle(spark, sf_dir):
+    from strikeline.operators.views import progressive
+
+    tables = Tables(spark, sf_dir)
+    plan = progressive(tables.chain, tables.as_of)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and plan.count("WindowGroupLimit") == 2
+
+
+def test_price_reactions(spark):
+    from strikeline.operators.chain import price_reactions
+
+    events = spark.createDataFrame([("A", "2024-01-03"), ("A", "2024-01-09"), (None, "2024-01-03")], "symbol string, date string").withColumn("date", F.col("date").cast("date"))
+    prices = spark.createDataFrame([("A", "2024-01-02", 8.0), ("A", "2024-01-04", 10.0), ("A", "2024-01-08", 0.0), ("A", "2024-01-10", 1.0)], "symbol string, date string, spot double").withColumn("date", F.col("date").cast("date"))
+    got = sorted(tuple(r)[2:] for r in price_reactions(events, prices).collect() if r.symbol)
+    assert got == [(0.0, 1.0, None), (8.0, 10.0, 25.0)]
