@@ -114,6 +114,28 @@ def without(docs: DataFrame, dropped: DataFrame, keys: dict[str, Column]) -> Dat
     return rows.join(small(dropped), condition, "left_anti").select("row.*")
 
 
+def text_digest(text: Column) -> Column:
+    """128 bits of a text, null counting as empty: with doc_id, what tells rows apart."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), 1, 32))
+
+
+def one_of_each(docs: DataFrame, keys: dict[str, Column], dropped: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The rows of docs without those that have the keys of a row of dropped, and a single one of those that share the keys
+    of a row of repeated. The two have no keys in common."""
+    rest = without(docs, dropped, keys)
+    repeated = materialise(repeated.select(*keys).distinct(), "repeated")
+    n = repeated.count()
+    if not n:
+        return rest
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.struct(*[c.alias(k) for k, c in keys.items()]).alias("own"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"own.{k}").eqNullSafe(F.col(k))
+    # Copies of a row combine before they move; of rows that differ in other columns the first in JSON stays.
+    once = rows.join(small(repeated, n), same, "left_semi").groupBy("own").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return without(rest, repeated, keys).unionByName(once.select("row.*"))
+
+
 def byte_table(word_bytes: set[int]) -> np.ndarray:
     """Maps A-Z to a-z, keeps word bytes and turns all others into 0."""
     table = np.zeros(256, np.uint8)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strikeline.llm.common import materialise, shuffle_parts, without
+from strikeline.llm.common import materialise, one_of_each, shuffle_parts, text_digest
 
 LEADING_CHARS = 16
 #: Keys are salted from this many rows, or a quarter of a partition's share if that is more.
@@ -60,6 +60,10 @@ def groups(docs: DataFrame, text: Column | None = None, latest: bool = False) ->
 
 
 def deduplicate(docs: DataFrame, text: Column | None = None, latest: bool = False) -> DataFrame:
-    """The rows of docs whose text has no equal with a smaller doc_id (larger with `latest`). Ids must be unique; of rows
-    with a null id all go whose text another row keeps."""
-    return without(docs, groups(docs, text, latest).filter("not kept"), {"doc_id": F.col("doc_id")})
+    """One row of docs for each text: that with the smallest doc_id (largest with `latest`). Rows are told apart by doc_id and
+    text, so ids may repeat; a null id stays only if its text has no other."""
+    keys = {"doc_id": F.col("doc_id").cast("long"), "digest": text_digest(F.col("text") if text is None else text)}
+    others = groups(docs, text, latest).filter("not kept")
+    others = others.select("doc_id", F.unhex(F.substring("text_sha256", 1, 32)).alias("digest"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("repeat"))
+    others = materialise(others, "others")
+    return one_of_each(docs, keys, others.filter("not repeat"), others.filter("repeat"))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strikeline.llm.common import map_arrow, materialise, slices, text_bytes, without
+from strikeline.llm.common import map_arrow, materialise, one_of_each, slices, text_bytes, text_digest
 from strikeline.llm.components import connect
 
 BITS = 64
@@ -77,7 +77,8 @@ def _fingerprints(size: int, seed: int):
                 counts.append(len(hashes))
                 parts.append(np.array(hashes, np.uint64))
             found = fingerprint(np.concatenate(parts), np.cumsum(counts))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            keys = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, keys), pa.array(found.view(np.int64))], names=[*keys, "fp"])
 
     return run
 
@@ -149,5 +150,20 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, radius: int = RA
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose doc_id names their component: one document of each group. Rows without an id stay."""
-    return without(docs, near_duplicates(docs, **options).filter("doc_id <> component_id"), {"doc_id": F.col("doc_id")})
+    """One row of docs of each group of near copies: that with the smallest doc_id. Rows are told apart by doc_id and text and
+    linked by fingerprint, so ids may repeat; a null id stays only if its group has no other."""
+    size, radius, seed = (options.get(k, d) for k, d in (("size", SHINGLE_WORDS), ("radius", RADIUS), ("seed", SEED)))
+    keys = {"doc_id": F.col("doc_id").cast("long"), "digest": text_digest(F.col("text"))}
+    rows = docs.select(*[c.alias(k) for k, c in keys.items()], "text")
+    rows = materialise(map_arrow(rows, _fingerprints(size, seed), "doc_id long, digest binary, fp long"), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
+    nodes = materialise(rows.groupBy("fp").agg(F.min(order).alias("best")), "nodes")
+    named = connect(links(nodes.select("fp", F.col("fp").alias("node")), radius))
+    groups = nodes.join(named, F.col("fp") == F.col("node"), "left").select("fp", "best", F.coalesce("component", "fp").alias("component"))
+    groups = materialise(groups, "groups")
+    kept = materialise(groups.groupBy("component").agg(F.min("best").alias("keep")), "kept")
+    keeps = materialise(groups.join(kept, "component").select("fp", "keep.doc_id", "keep.digest"), "keeps").select("fp", F.col("doc_id").alias("keep_id"), F.col("digest").alias("keep_digest"))
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("digest") == F.col("keep_digest"))
+    dropped = rows.join(keeps, "fp").filter(~stays)
+    repeated = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.first("fp").alias("fp")).filter("n > 1").join(keeps, "fp").filter(stays)
+    return one_of_each(docs, keys, dropped, repeated)

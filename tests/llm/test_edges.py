@@ -235,3 +235,23 @@ def test_exact_copies(spark, docs, none):
     rows = exact_dedup.groups(repeated, latest=True).collect()
     assert len(rows) == 2009 and sum(r.kept for r in rows) == 3
     assert {(r.keep_id, r.group_size) for r in rows} == {(699, 2000), (5008, 5), (5007, 4)}
+
+
+def test_repeated_and_missing_ids_keep_one_row_of_each_text(spark):
+    rows = [(5, "x"), (5, "x"), (9, "x"), (5, "y"), (6, "z"), (6, "z"), (None, "A"), (3, "A"), (None, "B"), (None, "C"), (None, "C"), (None, None), (7, "")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang int")
+    for found, x in ((exact_dedup.deduplicate(docs), 5), (exact_dedup.deduplicate(docs, latest=True), 9), (simhash.drop_near_duplicates(docs), 5)):
+        assert found.columns == docs.columns
+        assert sorted((r.text, r.doc_id) for r in found.collect()) == [("", 7), ("A", 3), ("B", None), ("C", None), ("x", x), ("y", 5), ("z", 6)]
+
+
+def test_near_copies_do_not_take_other_texts_of_their_id(spark):
+    texts = [" ".join(random.Random(k).choices(PASSAGE.split(), k=60)) for k in range(4)]
+
+    def near(text):
+        tried = (f"{text} {a}" if b is None else text.replace(a, b, 1) for a in PASSAGE.split() for b in (None, *PASSAGE.split()))
+        return next(t for t in tried if t != text and (brute.fingerprint(t) ^ brute.fingerprint(text)).bit_count() <= 2)
+
+    rows = [(3, near(texts[0])), (5, texts[0]), (5, texts[1]), (None, near(texts[2])), (8, texts[2]), (None, texts[3])]
+    found = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r.doc_id, r.text) for r in found.collect()} == {rows[0], rows[2], rows[4], rows[5]}
