@@ -118,9 +118,8 @@ class Bpe:
         return out
 
     def learn(self, chunks: set[str]) -> None:
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-            self.known[""] = b""
+        if not chunks:
+            return
         self.known.update({" " + t: np.array([i], "<u4").tobytes() for t, i in self.specials.items()})
         fresh = [c for c in chunks if c not in self.known]
         parts = [[p.encode() for p in self.pieces(c)] for c in fresh]
@@ -134,7 +133,7 @@ class Bpe:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         all_chunks = [self.chunks(t) for t in texts]
         missing = {c for chunks in all_chunks for c in chunks if c not in self.known}
-        if missing and len(self.known) + len(missing) > CACHE_WORDS:
+        if missing and len(self.known) + len(missing) > CACHE_WORDS:  # only here are words forgotten
             missing = {c for chunks in all_chunks for c in chunks}
             self.known.clear()
         self.learn(missing)

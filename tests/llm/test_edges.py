@@ -124,6 +124,14 @@ def test_encoding_of_odd_texts():
         assert own.decode(ids) == t.decode(wanted, skip_special_tokens=False)
 
 
+def test_words_beyond_the_cache_are_not_forgotten_while_needed():
+    own = bpe.Bpe(Path(vocabulary()).read_text(encoding="utf-8"))
+    text = " ".join(f"{k:x}" for k in range(400_000))
+    first = own.encode([text])
+    assert own.encode([text]) == first and own.encode(["5 6 5"]) == [own.encode(["5"])[0] + own.encode(["6"])[0] + own.encode(["5"])[0]]
+    assert own.encode(["", "new words"]) == bpe.Bpe(Path(vocabulary()).read_text(encoding="utf-8")).encode(["", "new words"]) and len(own.known) < bpe.CACHE_WORDS
+
+
 def test_chat(spark):
     rows = [
         (1, 1, "assistant", "hi", "x"), (1, 2, "assistant", "again", "x"), (1, 3, "user", None, "x"), (2, None, "user", "q", "x"), (2, 1, None, "who", "x"), (None, 1, "system", "s", "x"), (None, 1, "system", "s", "x"),
