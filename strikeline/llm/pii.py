@@ -1,19 +1,18 @@
 """Personal data: patterns, then information-theoretic sanitisation of the terms that give protected entities away.
 
 The patterns find base mentions. A protected entity is a mentioned value. The corpus tells how much a term t says about an
-entity e: with df the number of texts (copies of a text count once) and df(t, e) those where t stands within CONTEXT_WORDS
-of a mention of e,
+entity e: with N, df(t), df(e) and df(t, e) all counted in different texts (copies of a text count once), the last those where
+t stands within CONTEXT_WORDS of a mention of e,
 
     PMI(t; e) = log2(N * df(t, e) / (df(t) * df(e)))
 
 is set against the information of the entity itself, IC(e) = -log2(df(e) / N), its greatest possible value. A term
-seen with e in at least MIN_SUPPORT contexts is removed where PMI reaches REMOVE_AT of IC, generalised to the entity's kind
+seen with e in at least MIN_SUPPORT texts is removed where PMI reaches REMOVE_AT of IC, generalised to the entity's kind
 where it reaches GENERALISE_AT. The decision holds for the term in every text, as the term alone would disclose.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strikeline.llm.common import Words, byte_table, gathered, map_arrow, materialise, slices, small
+from strikeline.llm.common import Words, byte_table, gathered, map_arrow, materialise, slices, small, text_digest
 
 KINDS = ("email", "ip", "card", "phone", "term")
 CONTEXT_WORDS = 4
@@ -121,18 +120,15 @@ _ANY_DIGIT = re.compile("[0-9]")
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         out: list[tuple[str, str | None, bytes]] = []
-        for text in batch.column("text").to_pylist():
+        for text, copy in zip(batch.column("text").to_pylist(), batch.column("copy").to_pylist(), strict=True):
             if not text or not _has_mark(text):
                 continue
             base = mentions(text)
             if not base:
                 continue
-            for span in base:
-                name, near = entity(text, span), _near(text, span, base)
-                context = hashlib.blake2b(" ".join(sorted(near)).encode(), digest_size=12).digest()
-                out += [(name, t, context) for t in (None, *near)]
+            out += {(entity(text, span), t, copy) for span in base for t in (None, *_near(text, span, base))}
         columns = list(zip(*out, strict=True)) or [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.binary()), strict=True)], names=["entity", "term", "context"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.binary()), strict=True)], names=["entity", "term", "copy"])
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,18 +148,25 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def disclosing_terms(docs: DataFrame, min_support: int = MIN_SUPPORT, generalise_at: float = GENERALISE_AT) -> DataFrame:
     """(term, kind, disclosure): terms and the greatest part of an entity's information that each gives away.
 
-    Every text counts, for df(t) also repeated ones, which can only lower a term's PMI. Entities in fewer than
-    min_support different contexts cannot have a supported term.
+    Every text counts once, however many rows hold it; null counts as an empty text. Entities in fewer than min_support
+    texts cannot have a supported term.
     """
-    docs = docs.select("text")
-    n = docs.count()
-    seen = materialise(map_arrow(docs, _contexts, "entity string, term string, context binary"), "contexts")
-    pairs = seen.groupBy("entity", "term").agg(F.countDistinct("context").alias("together"))
+    docs = docs.select("text", text_digest(F.col("text")).alias("copy"))
+    texts = materialise(docs.groupBy("copy").agg(F.count("*").alias("rows")), "texts")
+    n = texts.count()
+    repeated = texts.filter("rows > 1").select("copy")
+    n_repeated = repeated.count()
+    seen = materialise(map_arrow(docs, _contexts, "entity string, term string, copy binary"), "contexts")
+    pairs = seen.groupBy("entity", "term").agg(F.countDistinct("copy").alias("together"))
     pairs = materialise(pairs.filter(F.col("together") >= min_support), "supported")
     of_entity = pairs.filter("term is null").select("entity", F.col("together").alias("mentions"))
     linked = pairs.filter("term is not null").join(of_entity, "entity")
     wanted = materialise(linked.select("term").distinct(), "wanted")
-    counts = map_arrow(docs, _term_counts, "term string, texts long").join(small(wanted), "term", "left_semi").groupBy("term").agg(F.sum("texts").alias("texts"))
+    # Only texts of several rows move; their copies combine before that.
+    once = docs.join(small(repeated, n_repeated), "copy", "left_anti").select("text")
+    if n_repeated:
+        once = once.unionByName(docs.join(small(repeated, n_repeated), "copy", "left_semi").dropDuplicates(["copy"]).select("text"))
+    counts = map_arrow(once, _term_counts, "term string, texts long").join(small(wanted), "term", "left_semi").groupBy("term").agg(F.sum("texts").alias("texts"))
     total = F.lit(float(max(n, 1)))
     pmi = F.log2(total * F.col("together") / (F.col("texts") * F.col("mentions")))
     information = -F.log2(F.col("mentions") / total)

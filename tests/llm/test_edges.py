@@ -97,6 +97,22 @@ def test_terms_that_disclose(spark):
     assert all(found[100 + i].sanitised == t for i, (_, t) in enumerate(rows[8:]))
 
 
+def test_terms_are_counted_in_different_texts(spark):
+    # One wording around all mentions of ann@, three around those of bob@; copies of a text count once.
+    rows = [f"note {i} . q q q q zanzibar contact ann@corp.example for it please" for i in range(6)]
+    rows += [f"note {i} . q q q q quito {'abc'[i % 3]} bob@corp.example for it please" for i in range(30)]
+    rows += [f"plain text {i} contact for it please" for i in range(60)]
+    rows += ["plain quito zanzibar"] * 50 + ["twice carla contact eve@corp.example"] * 4
+    rows += [f"number {i} dora x1 x2 dan@corp.example y1 y2 y3 y4 dora z dan@corp.example dan@corp.example" for i in range(2)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([*rows, None, None])], "doc_id long, text string")
+    found = {r.term: (r.kind, r.disclosure) for r in pii.disclosing_terms(docs).collect()}
+    n = len(set(rows)) + 1
+    information = {"zanzibar": np.log2(n / 6), "quito": np.log2(n / 30)}
+    assert set(found) >= set(information) and not {"contact", "carla", "dora", "for", "please"} & set(found)
+    for t, e in (("zanzibar", 6), ("quito", 30)):
+        assert found[t] == ("email", pytest.approx(np.log2(n * e / ((e + 1) * e)) / information[t]))
+
+
 def test_encoding(spark, docs, none):
     from tokenizers import Tokenizer
 
