@@ -16,10 +16,11 @@ from strikeline.llm.queries import vocabulary
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the identifier rejects: without letters, or below its calibrated confidence."""
+    """Drops documents that the identifier rejects: without letters, or below its calibrated confidence. Without a labelled
+    document there is no identifier, and only those without letters go."""
     model = langid.fit(docs, langid.fold(5) != 0)
     if model is None:
-        return docs
+        return langid.lettered(docs)
     return langid.identify(docs, model).filter("not lang_rejected").select(*docs.columns)
 
 

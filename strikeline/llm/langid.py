@@ -150,13 +150,31 @@ def calibrate(model: Model, texts: list[str], target: list[int]) -> Model:
     return model
 
 
+def share(counts: list[int], total: int) -> float:
+    """The most that each may have so that all together have `total`, those with less having all of theirs."""
+    left = total
+    for k, n in enumerate(ordered := sorted(counts)):
+        if n * (len(ordered) - k) > left:
+            return left / (len(ordered) - k)
+        left -= n
+    return float(max(counts, default=0))
+
+
+def lettered(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose text has a letter."""
+    return docs.filter(F.udf(lambda text: any(map(str.isalpha, text or "")), "boolean")("text"))
+
+
 def fit(docs: DataFrame, learn: Column, lang: str = "lang") -> Model | None:
-    """Train on at most about TRAIN_DOCS of the rows where `learn` holds and lang is not null, taken by a hash of doc_id."""
+    """Train on at most about TRAIN_DOCS of the rows where `learn` holds and lang is not null, taken by a hash of doc_id and
+    text: all of a language with few rows, an equal share of every other."""
     rows = docs.filter(learn & F.col(lang).isNotNull() & F.col("text").isNotNull())
-    total = rows.count()
+    counts = {r.lang: r.n for r in rows.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).collect()}  # a row a language
     bound = 1 << 30
-    if total > TRAIN_DOCS:
-        rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(bound)) < F.lit(int(bound * TRAIN_DOCS / total)))
+    if sum(counts.values()) > TRAIN_DOCS:
+        most = share(list(counts.values()), TRAIN_DOCS)
+        parts = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(bound * min(1.0, most / n)))])
+        rows = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(bound)) < parts[F.col(lang)])
     sample = sorted(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(lang).alias("lang")).toLocalIterator(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.lang, r.text))
     sample = [r for r in sample if any(c.isalpha() for c in r.text)]
     return train([r.text for r in sample], [r.lang for r in sample]) if sample else None

@@ -248,6 +248,24 @@ def test_language(spark, docs, none):
     assert {r.lang_pred for r in langid.identify(docs, None).collect()} == {"und"}
 
 
+def test_every_language_has_its_share_of_the_sample(spark, monkeypatch):
+    assert langid.share([5, 100, 1000], 305) == 200 and langid.share([5, 6], 100) == 6
+    taken = {}
+    monkeypatch.setattr(langid, "train", lambda texts, labels: taken.update({x: labels.count(x) for x in labels}))
+    common = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("common text "), "id").alias("text"), F.when(F.col("id") % 2 == 0, "aa").otherwise("bb").alias("lang"))
+    rare = spark.range(12).select("id", F.concat(F.lit("rare text "), "id"), F.lit("cc"))
+    langid.fit(common.union(rare), F.lit(True))
+    assert taken["cc"] == 12 and all(1300 < taken[x] < 1700 for x in ("aa", "bb"))
+
+
+def test_language_stage_without_labels_drops_texts_without_letters(spark, docs):
+    import corpus_pipeline
+
+    found = corpus_pipeline.identify_language(spark, docs.withColumn("lang", F.lit(None).cast("string")), "")
+    assert found.columns == docs.columns
+    assert sorted(r.text for r in found.collect()) == sorted(t for t in TEXTS if any(map(str.isalpha, t or "")))
+
+
 def test_exact_copies(spark, docs, none):
     ids = {k + 1: t for k, t in enumerate(TEXTS) if k != 4}
     found = {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.groups(docs, latest=True).collect()}
