@@ -2,11 +2,14 @@
 
 The words of a slice of texts that the worker has not met yet are encoded together. Their symbols lie in one flat array;
 in a round, the rank of every neighbouring pair comes from a binary search over the sorted keys of the merge table, the
-lowest of each word is found, and all its places are merged at once. Words without a pair left drop out.
+lowest of each word is found, and all its places are merged at once. Words without a pair left drop out. Very long words
+would take a round over all their symbols for each rank; they are merged rank by rank instead, a round touching only the
+places of its rank and their neighbours.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 import unicodedata
@@ -25,7 +28,9 @@ from strikeline.llm.common import map_arrow, slices
 #: Unicode White_Space, as the vocabulary's normaliser takes it.
 _SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
 #: Encoded words that a worker keeps; when more are known it starts afresh.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
+#: Letters from which a word is merged rank by rank.
+LONG = 2000
 SLICE = 2 << 20
 _NONE = np.iinfo(np.int64).max
 
@@ -67,8 +72,73 @@ class Bpe:
         self.tokens = [tokens.get(i, "").encode() for i in range(self.size)]
         self.known: dict[str, bytes] = {}
 
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of symbols, _NONE where there is none."""
+        key = left * self.size + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], _NONE)
+
+    def merge_by_rank(self, symbols: np.ndarray) -> np.ndarray:
+        """The ids of one word. As no merge ranks before its parts', all places of the lowest rank go at once, and the pairs
+        that arise rank above it."""
+        n = len(symbols)
+        after, before, rank = np.arange(1, n + 1), np.arange(-1, n - 1), np.full(n, _NONE)
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def look(at: np.ndarray) -> None:
+            """Take up the pairs that begin at these places."""
+            at = at[(at >= 0) & (at < n)]
+            rank[at] = _NONE
+            at = at[after[at] < n]
+            rank[at] = self.ranks_of(symbols[at], symbols[after[at]])
+            at = at[rank[at] != _NONE]
+            order = np.argsort(rank[at], kind="stable")
+            at = at[order]
+            heads = np.flatnonzero(np.diff(rank[at], prepend=-1))
+            for part in np.split(at, heads[1:]) if len(at) else ():
+                r = int(rank[part[0]])
+                if r not in waiting:
+                    heapq.heappush(heap, r)
+                waiting.setdefault(r, []).append(part)
+
+        symbols = symbols.copy()
+        look(np.arange(n))
+        gone = np.zeros(n, bool)
+        while heap:
+            r = heapq.heappop(heap)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[~gone[at] & (rank[at] == r)]
+            if not len(at):
+                continue
+            fresh = np.append(True, after[at[:-1]] != at[1:])  # of a run of overlapping places, every second
+            run = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - run) % 2 == 0]
+            other = after[at]
+            symbols[at] = self.into[r]
+            gone[other] = True
+            after[at] = after[other]
+            inside = after[at] < n
+            before[after[at][inside]] = at[inside]
+            look(np.unique(np.concatenate([at, before[at]])))
+        return symbols[~gone]
+
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words end to end, and how many each has."""
+        long = [k for k, w in enumerate(words) if len(w) >= LONG] if self.at_once else []
+        if not long:
+            return self.merge_together(words)
+        apart = set(long)
+        ids, counts = self.merge_together([w for k, w in enumerate(words) if k not in apart])
+        own = iter(np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else [])
+        parts = [self.merge_by_rank(self.symbols(words[k])) if k in apart else next(own) for k in range(len(words))]
+        return np.concatenate(parts), np.array([len(x) for x in parts])
+
+    def symbols(self, word: bytes) -> np.ndarray:
+        flat = np.frombuffer(word, np.uint8)
+        return np.append(self.inner[flat[:-1]], self.last[flat[-1]])
+
+    def merge_together(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         flat = np.frombuffer(b"".join(words), np.uint8)
         symbols, word = self.inner[flat], np.repeat(np.arange(len(words)), lengths)

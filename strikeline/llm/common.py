@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,10 @@ from strikeline.session import scratch_path
 #: Text bytes that a Python task works on at once, and rows that it is handed at once.
 SLICE_BYTES = 2 << 20
 BATCH_ROWS = 1000
-#: A side is broadcast only when it was counted and has no more rows than this.
-BROADCAST_ROWS = 1_000_000
+#: What a row costs in memory besides its text, so that many rows of short texts are bounded too.
+ROW_BYTES = 64
+#: A side is broadcast only when its values were measured and take no more bytes than this.
+BROADCAST_BYTES = 48 << 20
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -27,10 +30,26 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df with a broadcast hint if it has few enough rows, else df as it is (a shuffled join then)."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+def _width(name: str, kind: T.DataType) -> Column:
+    """Bytes of a value: texts and binaries as they are, lists by their elements, other kinds 16."""
+    value = F.col(name)
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.lit(16) + F.coalesce(F.octet_length(value), F.lit(0))
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
+        return F.lit(16) + F.coalesce(F.octet_length(F.array_join(value, "")), F.lit(0)) + 16 * F.greatest(F.size(value), F.lit(0))
+    return F.lit(16)
+
+
+def measured(df: DataFrame) -> int:
+    """Bytes of all values of a written table, about."""
+    row = sum((_width(f.name, f.dataType) for f in df.schema), F.lit(ROW_BYTES))
+    return df.agg(F.sum(row.cast("long"))).first()[0] or 0
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if its measured size allows, else df as it is (a shuffled join then). df should be a written
+    table, as it is read once more."""
+    return F.broadcast(df) if measured(df) <= BROADCAST_BYTES else df
 
 
 def shuffle_parts(spark: SparkSession) -> int:
@@ -42,38 +61,61 @@ def ascii_lower(col) -> F.Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def fewer_rows_a_batch(spark: SparkSession) -> None:
+    """Rows with texts are long: unless the session has a number of its own, fewer of them than Spark's default go into an
+    Arrow batch, which bounds the memory of both sides. The setting is read when a plan runs, so it stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
-    """mapInArrow over rows with texts. Such rows are long: unless the session has a number of its own, fewer of them than
-    Spark's default go into a batch, which bounds the memory of both sides."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(key) == "10000":
-        conf.set(key, str(BATCH_ROWS))
+    """mapInArrow over rows with texts."""
+    fewer_rows_a_batch(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 
+def _system_trim() -> Callable[[int], int] | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system. Workers live on from stage to stage, and their allocators would keep all that the
+    largest slice of any stage took."""
+    pa.default_memory_pool().release_unused()
+    if trim := _system_trim():
+        trim(0)
+
+
+def _sizes(column: pa.Array) -> np.ndarray:
+    """Bytes of each text and of its row."""
+    return ROW_BYTES + np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64)
+
+
+def cuts(column: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """(start, length) of slices of a text column that hold about `limit` bytes each, or a single longer row."""
+    ends, start = np.cumsum(_sizes(column)), 0
+    while start < len(ends):
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
+        yield start, stop - start
+        start = stop
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that a slice holds about `limit` bytes of text, or a single longer row."""
+    """Cut batches so that a slice holds about `limit` bytes of text and rows, or a single longer row."""
     for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        at = batch.schema.get_field_index(column)
-        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(at)), 0), dtype=np.int64))
-        start = 0
-        while start < n:
-            base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
-            yield batch.slice(start, stop - start)
-            start = stop
-        pa.default_memory_pool().release_unused()
+        for start, n in cuts(batch.column(batch.schema.get_field_index(column)), limit):
+            yield batch.slice(start, n)
+        give_back()
 
 
 def gathered(batches: Iterator[pa.RecordBatch], limit: int, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Put batches together until they hold `limit` bytes of text."""
+    """Put batches together until they hold `limit` bytes of text and rows."""
     held, size = [], 0
     for batch in batches:
         held.append(batch)
-        size += pc.sum(pc.binary_length(batch.column(batch.schema.get_field_index(column)))).as_py() or 0
+        size += int(_sizes(batch.column(batch.schema.get_field_index(column))).sum())
         if size >= limit:
             yield pa.concat_batches(held)
             held, size = [], 0
@@ -94,13 +136,23 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def map_texts(docs: DataFrame, function, added: list[T.StructField]) -> DataFrame:
-    """docs plus the added columns. function maps batches of (row, text) to batches of (row, text, added...); row holds
-    all other columns of docs and is handed through."""
-    others = [F.col(c) for c in docs.columns if c != "text"] or [F.lit(None).cast("int").alias("_none")]
-    rows = docs.select(F.struct(*others).alias("row"), "text")
-    out = map_arrow(rows, function, T.StructType([rows.schema["row"], rows.schema["text"], *added]))
-    return out.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns], *[f.name for f in added])
+def with_text_columns(docs: DataFrame, function: Callable[[pa.Array], list[pa.Array]], added: list[T.StructField]) -> DataFrame:
+    """docs plus the added columns, which function gives for a slice of texts. Workers get the text alone; the rows stay with
+    Spark, so no text comes back."""
+    names = [f.name for f in added]
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            parts = [pa.StructArray.from_arrays(function(texts.slice(start, n)), names=names) for start, n in cuts(texts, SLICE_BYTES)]
+            yield pa.concat_arrays(parts) if parts else pa.StructArray.from_arrays(function(texts), names=names)
+            give_back()
+
+    # Named so that a filter on a result is not pushed below it, which would work on every text twice.
+    udf = F.arrow_udf(run, T.StructType(added), F.ArrowUDFType.SCALAR_ITER).asNondeterministic()
+    fewer_rows_a_batch(docs.sparkSession)
+    kept = [c for c in docs.columns if c not in names]
+    out = docs.select(F.struct(*kept).alias("row"), udf(F.col("text")).alias("added"))
+    return out.select(*[F.col("row")[c].alias(c) for c in kept], *[F.col("added")[n].alias(n) for n in names])
 
 
 def without(docs: DataFrame, dropped: DataFrame, keys: dict[str, Column]) -> DataFrame:
@@ -124,15 +176,14 @@ def one_of_each(docs: DataFrame, keys: dict[str, Column], dropped: DataFrame, re
     of a row of repeated. The two have no keys in common."""
     rest = without(docs, dropped, keys)
     repeated = materialise(repeated.select(*keys).distinct(), "repeated")
-    n = repeated.count()
-    if not n:
+    if repeated.isEmpty():
         return rest
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.struct(*[c.alias(k) for k, c in keys.items()]).alias("own"))
     same = F.lit(True)
     for k in keys:
         same = same & F.col(f"own.{k}").eqNullSafe(F.col(k))
     # Copies of a row combine before they move; of rows that differ in other columns the first in JSON stays.
-    once = rows.join(small(repeated, n), same, "left_semi").groupBy("own").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    once = rows.join(small(repeated), same, "left_semi").groupBy("own").agg(F.min_by("row", F.to_json("row")).alias("row"))
     return without(rest, repeated, keys).unionByName(once.select("row.*"))
 
 

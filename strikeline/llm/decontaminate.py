@@ -3,7 +3,8 @@
 The index is a table. Documents are dealt into blocks of a few MB of text; a block has one row per term with the
 positions at which the term stands in the block, and one header row with its documents and where each begins. Positions
 of different documents lie at least GAP apart, so neither a phrase nor a near match can cross from one to the next.
-A term however frequent is spread over all blocks, so no task or row ever holds a whole posting list.
+A term however frequent is spread over all blocks, so no task or row ever holds a whole posting list. Equal windows are one
+phrase however many items have them, and the places of a phrase in a document are one list from the index to the check.
 """
 
 from __future__ import annotations
@@ -14,12 +15,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from strikeline.llm.common import Words, byte_table, gathered, map_arrow, materialise, slices, small, without
+from strikeline.llm.common import BROADCAST_BYTES, Words, byte_table, gathered, map_arrow, materialise, slices, small, text_digest, without
 
 #: After A-Z became a-z: digits, a-z and everything beyond ASCII.
 WORD_BYTES = byte_table({*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)})
@@ -37,7 +38,7 @@ INDEX = T.StructType(
         T.StructField("term", T.StringType()),
         T.StructField("n", T.IntegerType()),
         T.StructField("positions", T.BinaryType()),
-        T.StructField("doc_ids", T.ArrayType(T.LongType())),
+        T.StructField("docs", T.ArrayType(T.LongType())),
     ]
 )
 
@@ -64,7 +65,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps[ends - counts] = where[ends - counts]
         lists = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(np.append(0, ends * 4).astype(np.int32)), pa.py_buffer(steps)])
         yield _rows(block, coded.dictionary.cast(pa.string()), pa.array(counts, pa.int32()), lists, pa.nulls(len(counts), pa.list_(pa.int64())))
-        docs = pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64()))
+        docs = pa.array([batch.column("doc").to_pylist()], pa.list_(pa.int64()))
         yield _rows(block, pa.nulls(1, pa.string()), pa.array([batch.num_rows], pa.int32()), pa.array([starts.astype(np.int32).tobytes()]), docs)
 
 
@@ -73,29 +74,34 @@ def _rows(block: int, *columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([blocks, *columns], names=INDEX.names)
 
 
-def build_index(docs: DataFrame) -> DataFrame:
-    """Store the positions of every word of every document: rows (block, term, n, positions) and a header per block."""
-    return materialise(map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), _index, INDEX), "postings")
+def build_index(docs: DataFrame, name: Column | None = None) -> DataFrame:
+    """Store the positions of every word of every document: rows (block, term, n, positions) and a header per block. `name` is
+    the number that places are given under, doc_id if none is given; two documents of one name stay apart in the index."""
+    rows = docs.select((F.col("doc_id") if name is None else name).cast("long").alias("doc"), "text")
+    return materialise(map_arrow(rows, _index, INDEX), "postings")
 
 
 def _cut(size: int):
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _task_ids()
         for batch in slices(batches):
-            words, out = Words(batch.column("text"), WORD_BYTES), []
+            words, out = Words(batch.column("text"), WORD_BYTES), set()
             for row, item in enumerate(batch.column("item_id").to_pylist()):
                 own = [w.decode() for w in words.of(row)]
-                out += [(next(ids), item, own[i : i + size]) for i in range(max(1, len(own) - size + 1)) if own]
-            columns = list(zip(*out, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.list_(pa.string())), strict=True)], names=["phrase", "item_id", "words"])
+                out |= {(item, *own[i : i + size]) for i in range(max(1, len(own) - size + 1)) if own}
+            found = sorted(out)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1:] for x in found], pa.list_(pa.string()))], names=["item_id", "words"])
 
     return windows
 
 
-def windows_of(items: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
-    """(phrase, item_id as string, words): every `size` consecutive words of an item; all words of a shorter one."""
+def windows_of(items: DataFrame, size: int = WINDOW_WORDS) -> tuple[DataFrame, DataFrame]:
+    """Every `size` consecutive words of an item, or all words of a shorter one: the different ones as (phrase, words), and
+    (phrase, item_id as string) for each item that has it."""
     rows = items.select(F.col("item_id").cast("string"), "text")
-    return materialise(map_arrow(rows, _cut(size), "phrase long, item_id string, words array<string>"), "windows")
+    windows = materialise(map_arrow(rows, _cut(size), "item_id string, words array<string>"), "windows")
+    # The numbers are fixed once they are written.
+    phrases = materialise(windows.select("words").distinct().select(F.monotonically_increasing_id().alias("phrase"), "words"), "phrases")
+    return phrases, materialise(windows.join(phrases, "words").select("phrase", "item_id").distinct(), "phrase_items")
 
 
 def _unpack(raw: bytes) -> np.ndarray:
@@ -111,21 +117,28 @@ def _meet(begins: pd.Series, shift: pd.Series, positions: pd.Series, offset: pd.
             met = own[(at < len(other)) & (other[np.minimum(at, len(other) - 1)] <= own + s)]
         else:
             met = np.intersect1d(own, other, assume_unique=True)
-        out.append(np.diff(met, prepend=np.int32(0)).astype(np.int32).tobytes())
+        out.append(_pack(met))
     return pd.Series(out, dtype=object)
 
 
+def _pack(places: np.ndarray) -> bytes:
+    return np.diff(places, prepend=np.int32(0)).astype(np.int32).tobytes()
+
+
 def _in_docs(begins: pd.Series, shift: pd.Series, starts: pd.Series, docs: pd.Series) -> pd.Series:
+    """The places of a block by document, a packed list for each."""
     out = []
-    for raw, b, s, ids in zip(begins, shift, starts, docs, strict=True):
+    for raw, b, s, names in zip(begins, shift, starts, docs, strict=True):
         own, s = _unpack(raw) - np.int32(b), np.frombuffer(s, np.int32)
         doc = np.maximum(np.searchsorted(s, own, side="right") - 1, 0)
-        out.append([{"doc_id": None if pd.isna(ids[d]) else int(ids[d]), "pos": int(p - s[d])} for d, p in zip(doc, own, strict=True)])
+        heads = np.flatnonzero(np.diff(doc, prepend=-1))
+        parts = zip(doc[heads].tolist(), np.split(own, heads[1:]), strict=True) if len(own) else ()
+        out.append([{"doc": None if pd.isna(names[d]) else int(names[d]), "places": _pack(places - s[d])} for d, places in parts])
     return pd.Series(out)
 
 
 def candidates(index: DataFrame, phrases: DataFrame, slop: int = 0, rarest: int = RAREST) -> DataFrame:
-    """(doc_id, pos, phrase) where the offset-adjusted lists of each phrase's rarest words meet.
+    """(doc, places, phrase) where the offset-adjusted lists of each phrase's rarest words meet; places is a packed list.
 
     With slop, the words after the rarest may stand up to `slop` positions away from their place (proximity).
     """
@@ -141,82 +154,96 @@ def candidates(index: DataFrame, phrases: DataFrame, slop: int = 0, rarest: int
         .withColumn("rank", F.row_number().over(by_rarity))
         .withColumn("known", F.count("*").over(Window.partitionBy("phrase")))
         .filter((F.col("known") == F.col("size")) & (F.col("rank") <= rarest))
-        .select("phrase", "rank", "offset", "term")
     )
-    anchors = materialise(anchors, "anchors")
-    lists = materialise(terms.select("term", "block", "positions").join(small(anchors.select("term").distinct()), "term", "left_semi"), "lists")
-    found = anchors.filter("rank = 1").join(lists, "term").select("phrase", "block", F.col("positions").alias("begins"), F.col("offset").alias("shift"))
-    for rank in range(2, rarest + 1):
-        more = anchors.filter(F.col("rank") == rank).select("phrase", "term", "offset")
-        step = found.join(more, "phrase", "left")
+    # A phrase takes its anchors along, so that later lists are met by term and block alone.
+    anchors = anchors.groupBy("phrase").agg(F.array_sort(F.collect_list(F.struct("rank", "term", "offset"))).alias("anchors"))
+    anchors = materialise(anchors.select("phrase", F.col("anchors")[0]["term"].alias("term"), F.col("anchors")[0]["offset"].alias("shift"), "anchors"), "anchors")
+    wanted = materialise(anchors.select(F.explode("anchors.term").alias("term")).distinct(), "anchor_terms")
+    lists = materialise(terms.select("term", "block", "positions").join(small(wanted), "term", "left_semi"), "lists")
+    found = small(anchors).join(lists, "term").select("phrase", "anchors", "block", F.col("positions").alias("begins"), "shift")
+    for rank in range(1, rarest):
+        step = found.withColumns({"term": F.get("anchors", F.lit(rank))["term"], "offset": F.get("anchors", F.lit(rank))["offset"]})
         met = (
             step.filter(F.col("term").isNotNull())
             .join(lists, ["term", "block"])
-            .select("phrase", "block", F.pandas_udf(_meet, "binary")("begins", "shift", "positions", "offset", F.lit(slop)).alias("begins"), F.lit(0).alias("shift"))
+            .select("phrase", "anchors", "block", F.pandas_udf(_meet, "binary")("begins", "shift", "positions", "offset", F.lit(slop)).alias("begins"), F.lit(0).alias("shift"))
             .filter(F.length("begins") > 0)
         )
-        found = materialise(met.unionByName(step.filter(F.col("term").isNull()).select("phrase", "block", "begins", "shift")), f"met{rank}")
-    heads = index.filter(F.col("term").isNull()).select("block", F.col("positions").alias("starts"), "doc_ids")
-    return found.join(heads, "block").select("phrase", F.explode(F.pandas_udf(_in_docs, "array<struct<doc_id:bigint,pos:int>>")("begins", "shift", "starts", "doc_ids")).alias("at")).select("phrase", "at.doc_id", "at.pos")
+        found = materialise(met.unionByName(step.filter(F.col("term").isNull()).drop("term", "offset")), f"met{rank}")
+    heads = index.filter(F.col("term").isNull()).select("block", F.col("positions").alias("starts"), "docs")
+    at = F.explode(F.pandas_udf(_in_docs, "array<struct<doc:bigint,places:binary>>")("begins", "shift", "starts", "docs"))
+    return found.join(heads, "block").select("phrase", at.alias("at")).select("phrase", "at.doc", "at.places")
 
 
-def _matches(size_known: dict[int, tuple[str, list[bytes]]] | None):
+def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Compare the words at each candidate place with the phrase."""
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            words = Words(batch.column("text"), WORD_BYTES)
-            hits, items = np.zeros(batch.num_rows, np.int64), [[] for _ in range(batch.num_rows)]
-            for row, places in enumerate(batch.column("places").to_pylist()):
-                if not places:
-                    continue
-                own, cover, seen = words.of(row), np.zeros(words.counts[row] + 1, np.int64), set()
-                for place in places:
-                    item, phrase = size_known[place["phrase"]] if size_known is not None else (place["item_id"], [w.encode() for w in place["words"]])
-                    at = place["pos"]
-                    if at >= 0 and own[at : at + len(phrase)] == phrase:
-                        cover[at] += 1
-                        cover[at + len(phrase)] -= 1
-                        seen.add(item)
-                hits[row], items[row] = np.count_nonzero(np.cumsum(cover[:-1])), sorted(seen)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(words.counts, pa.int64()), pa.array(hits), pa.array(items, pa.list_(pa.string()))], names=["row", "n_words", "n_hit", "items"])
-
-    return check
+    for batch in slices(batches):
+        words = Words(batch.column("text"), WORD_BYTES)
+        hits, seen = np.zeros(batch.num_rows, np.int64), [[] for _ in range(batch.num_rows)]
+        for row, found in enumerate(batch.column("found").to_pylist()):
+            if not found:
+                continue
+            own, cover = words.of(row), np.zeros(words.counts[row] + 1, np.int64)
+            for f in found:
+                phrase = [w.encode() for w in f["words"]]
+                good = [p for p in _unpack(f["places"]).tolist() if p >= 0 and own[p : p + len(phrase)] == phrase]
+                if good:
+                    np.add.at(cover, good, 1)
+                    np.add.at(cover, np.array(good) + len(phrase), -1)
+                    seen[row].append(f["phrase"])
+            hits[row] = np.count_nonzero(np.cumsum(cover[:-1]))
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(words.counts, pa.int64()), pa.array(hits), pa.array(seen, pa.list_(pa.int64()))], names=["row", "n_words", "n_hit", "phrases"])
+
+
+def _judged(docs: DataFrame, phrases: DataFrame) -> DataFrame:
+    """row (a struct of the columns of docs but text), n_words, n_hit and the phrases that stand in the text. Candidate places
+    find their row by a hash of id and text; as the words are compared after that, another row of that hash does no harm."""
+    name = F.xxhash64("doc_id", "text")
+    found = candidates(build_index(docs, name), phrases).distinct()  # rows that are there twice share their places
+    found = materialise(found.join(small(phrases), "phrase").groupBy("doc").agg(F.collect_list(F.struct("phrase", "words", "places")).alias("found")), "candidates")
+    carried = F.struct(*[F.col(c) for c in docs.columns if c != "text"]) if docs.columns != ["text"] else F.struct(F.lit(1).alias("_none"))
+    bulk = found.agg(F.sum(F.size("found") * 200 + F.aggregate("found", F.lit(0), lambda n, x: n + F.octet_length(x["places"])))).first()[0] or 0
+    side = F.broadcast(found) if bulk <= BROADCAST_BYTES else found
+    rows = docs.select(carried.alias("row"), "text", name.alias("doc")).join(side, "doc", "left")
+    schema = T.StructType([rows.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("phrases", T.ArrayType(T.LongType()))])
+    return map_arrow(rows.select("row", "text", "found"), _matches, schema)
 
 
 def annotate(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
     """docs without text, plus n_words, n_hit, items (ids of items with an occurring window, sorted as strings) and contaminated.
 
     Null and empty texts have no words and are never contaminated; an item without words has no window; a null item id is
-    dropped. Rows with the same doc_id are judged each by its own text, null ids included. Columns of docs with the
-    names of the results are replaced; all other columns are kept.
+    dropped. Rows with the same doc_id are judged each by its own text, null ids included, repeated rows alike. Columns of
+    docs with the names of the results are replaced; all other columns are kept.
     """
     docs = docs.drop("n_words", "n_hit", "items", "contaminated")
-    phrases = windows_of(items.filter(F.col("item_id").isNotNull()), size)
-    index = build_index(docs)
-    found = materialise(candidates(index, phrases), "candidates")
-    n_found, n_phrases = found.count(), phrases.count()
-    known = None
-    if n_phrases <= 200_000:  # of at most `size` words each
-        known = {r.phrase: (r.item_id, [w.encode() for w in r.words]) for r in phrases.toLocalIterator()}
-        places = found.select("doc_id", F.struct("pos", "phrase").alias("place"))
-    else:
-        places = found.join(phrases, "phrase").select("doc_id", F.struct("pos", "item_id", "words").alias("place"))
-    places = places.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("place").alias("places"))
-    carried = F.struct(*[F.col(c) for c in docs.columns if c != "text"])
-    rows = docs.select(carried.alias("row"), "text").join(small(places, n_found), F.col("row.doc_id").cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
-    schema = T.StructType([rows.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType()))])
-    judged = map_arrow(rows, _matches(known), schema)
-    return judged.select("row.*", "n_words", "n_hit", "items", ((F.col("n_hit") > 0) & (F.col("n_hit") * CONTAMINATED_PART >= F.col("n_words"))).alias("contaminated"))
+    phrases, members = windows_of(items.filter(F.col("item_id").isNotNull()), size)
+    judged = materialise(_judged(docs, phrases).withColumn("at", F.monotonically_increasing_id()), "judged")
+    named = judged.select("at", F.explode("phrases").alias("phrase")).join(small(members), "phrase").groupBy("at").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    out = judged.join(small(materialise(named, "items")), "at", "left")
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c != "text"]
+    return out.select(*kept, "n_words", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items"), _contaminated().alias("contaminated"))
+
+
+def _contaminated() -> Column:
+    return (F.col("n_hit") > 0) & (F.col("n_hit") * CONTAMINATED_PART >= F.col("n_words"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, whose text is not contaminated. Rows are told apart by doc_id and text."""
-    judged = annotate(docs.select("doc_id", F.xxhash64("text").alias("digest"), "text"), items).filter("contaminated")
-    return without(docs, judged, {"doc_id": F.col("doc_id"), "digest": F.xxhash64("text")})
+    """The rows of docs, all columns, whose text is not contaminated. Rows are told apart by doc_id and text, repeated rows go
+    or stay together; null and empty texts stay. No rows give no rows, and no items drop none."""
+    phrases, _ = windows_of(items.filter(F.col("item_id").isNotNull()))
+    judged = _judged(docs.select("doc_id", "text", text_digest(F.col("text")).alias("digest")), phrases).filter(_contaminated())
+    return without(docs, judged.select("row.doc_id", "row.digest"), {"doc_id": F.col("doc_id"), "digest": text_digest(F.col("text"))})
 
 
 def phrase_search(index: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFrame:
-    """(doc_id, pos, phrase): places where every word of a phrase stands; exact order, or each word within `slop` of its place."""
+    """(doc_id, pos, phrase): places where every word of a phrase(phrase, words) stands; exact order, or each word within
+    `slop` of its place. doc_id is what the index names its documents by."""
     longest = phrases.agg(F.max(F.size("words"))).first()[0] or 1
-    return candidates(index, phrases, slop, rarest=longest)
+    places = F.explode(F.pandas_udf(_places, "array<int>")("places")).alias("pos")
+    return candidates(index, phrases, slop, rarest=longest).select("phrase", F.col("doc").alias("doc_id"), places)
+
+
+def _places(packed: pd.Series) -> pd.Series:
+    return packed.map(_unpack)

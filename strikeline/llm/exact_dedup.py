@@ -4,7 +4,8 @@ Rows are range-partitioned over sampled splitters, sorted inside the partitions
 and each text is compared in full with its neighbour. The range key is the leading bytes of the text and a 64-bit digest
 of all its bytes: splitters stay small whatever the texts, and long shared openings do not gather in one partition. Texts
 that share a digest but differ are told apart by the comparison. A key with many rows gets a salt, so that its rows are
-spread over several ranges; the few runs of such keys are then matched by their whole text.
+sorted in several ranges; the runs of equal texts that these give, each with its count and best id, are then merged by their
+whole text.
 """
 
 from __future__ import annotations
@@ -39,23 +40,25 @@ def groups(docs: DataFrame, text: Column | None = None, latest: bool = False) ->
     hot = rows.groupBy("_head", "_digest").agg(F.count("*").alias("_rows")).filter(F.col("_rows") >= share)
     hot = materialise(hot.select("_head", "_digest", F.ceil(F.col("_rows") / share).cast("int").alias("_salts")), "many_copies")
     rows = rows.join(F.broadcast(hot), ["_head", "_digest"], "left")
-    sha = F.sha2(F.col("_text").cast("binary"), 256)
-    # The copies under such a key combine before they move; each of its texts is compared whole.
-    whole = rows.filter("_salts > 1").groupBy("_head", "_digest", "_text").agg(best("doc_id").alias("_all_best"), F.count("*").alias("_all_size"))
-    whole = whole.select("_head", "_digest", sha.alias("text_sha256"), "_all_best", "_all_size")
+    salt = F.when(F.col("_salts") > 1, F.pmod(F.xxhash64("doc_id"), F.col("_salts")).cast("int"))
 
-    salt = F.when(F.col("_salts") > 1, F.pmod(F.xxhash64("doc_id"), F.col("_salts")).cast("int")).otherwise(F.lit(0))
     ranged = rows.select("doc_id", "_text", "_head", "_digest", salt.alias("_salt")).repartitionByRange("_head", "_digest", "_salt")
     near = Window.partitionBy("_head", "_digest", "_salt").orderBy("_text", _order(latest))
     before = F.lag("_text").over(near)
-    opens = (before.isNull() | (before != F.col("_text"))).cast("int")
-    runs = ranged.select("doc_id", "_head", "_digest", "_salt", sha.alias("text_sha256"), "_text", opens.alias("_opens"))
-    runs = runs.withColumn("_run", F.sum("_opens").over(near.rowsBetween(Window.unboundedPreceding, 0))).drop("_text", "_opens")
+    opens = before.isNull() | (before != F.col("_text"))
+    runs = ranged.withColumn("_opens", opens)
+    # Of a run under a salted key its text goes along once, so that it can be compared with the runs of other salts.
+    said = F.when(F.col("_salt").isNotNull() & F.col("_opens"), F.col("_text"))
+    runs = runs.select("doc_id", "_head", "_digest", "_salt", F.sha2(F.col("_text").cast("binary"), 256).alias("text_sha256"), said.alias("_said"), "_opens", F.sum(F.col("_opens").cast("int")).over(near.rowsBetween(Window.unboundedPreceding, 0)).alias("_run"))
     group = Window.partitionBy("_head", "_digest", "_salt", "_run")
-    runs = runs.withColumns({"_best": best("doc_id").over(group), "_size": F.count(F.lit(1)).over(group), "_place": F.row_number().over(group.orderBy(_order(latest)))})
-    joined = runs.join(F.broadcast(whole), ["_head", "_digest", "text_sha256"], "left")
-    keep = F.when(F.col("_all_size").isNotNull(), F.col("_all_best")).otherwise(F.col("_best"))
-    kept = (F.col("_place") == 1) & F.col("doc_id").eqNullSafe(keep)
+    runs = materialise(runs.withColumns({"_best": best("doc_id").over(group), "_size": F.count(F.lit(1)).over(group)}), "sorted_runs")
+
+    # A text whose rows were salted has a run under each salt: the runs are merged, no longer their rows.
+    merged = runs.filter("_said is not null").groupBy("_head", "_digest", "_said").agg(best("_best").alias("_all_best"), F.sum("_size").alias("_all_size"))
+    merged = merged.select("_head", "_digest", F.sha2(F.col("_said").cast("binary"), 256).alias("text_sha256"), "_all_best", "_all_size")
+    joined = runs.join(F.broadcast(merged), ["_head", "_digest", "text_sha256"], "left")
+    keep = F.when(F.col("_salt").isNotNull(), F.col("_all_best")).otherwise(F.col("_best"))
+    kept = F.col("_opens") & F.col("doc_id").eqNullSafe(keep)  # the first of a run has its best id
     return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("_all_size", "_size").alias("group_size"), kept.alias("kept"), "text_sha256")
 
 

@@ -5,12 +5,15 @@ of all its words. Only training sees a sample, of at most about TRAIN_DOCS label
 mean, workers get the product of embeddings and weights, whose size depends on buckets and languages alone, and score whole
 texts by adding up its rows.
 
-Confidence is calibrated on texts kept out of the training: a temperature, and the confidence below which only REJECT_PART
-of their rightly named stretches lie, at most REJECT_BELOW. Below it, and where a text has no letter, the text is rejected.
+Confidence is calibrated on texts kept out of the training: a temperature, then how often a confidence is right, which only
+grows with it (isotonic regression). A text is rejected where it would rather be wrong than right, that is below the least
+confidence that is right ACCEPT_FROM of the time, and where it has no letter. The model states the share of wrong names among
+the stretches that it accepted and the share that it rejected.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,17 +23,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strikeline.llm.common import Words, byte_table, map_texts, slices
+from strikeline.llm.common import Words, byte_table, map_arrow, slices, with_text_columns
 
 #: Letters of ASCII in lower case, and all bytes of other characters.
 LETTERS = byte_table({*range(0x61, 0x7B), *range(0x80, 0x100)})
 BUCKET_BITS = 15
 DIMENSIONS = 16
 GRAMS = (2, 3, 4)
-#: The bound of the labelled sample that training sees, in texts, and in snippets of them.
+#: The bound of the labelled sample that training sees: texts, snippets of them, and the words and bytes of a snippet.
 TRAIN_DOCS = 3000
 TRAIN_SNIPPETS = 9000
-REJECT_PART, REJECT_BELOW = 0.001, 0.5
+SNIPPET_WORDS, SNIPPET_BYTES = 200, 4000
+#: Confidences are accepted from where they are right at least so often.
+ACCEPT_FROM = 0.5
 UNKNOWN = "und"
 
 
@@ -67,6 +72,8 @@ class Model:
     bias: np.ndarray
     temperature: float = 1.0
     threshold: float = 0.0
+    accepted_error: float = 0.0
+    rejected_part: float = 0.0
 
     def scores(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Calibrated probabilities of each text, and its number of n-grams."""
@@ -89,32 +96,28 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def _snippets(texts: list[str], rng: np.random.Generator, limit: int) -> tuple[list[str], list[int]]:
-    """Stretches of 3 to 200 words from all over the texts, and which text each is from."""
-    out, of, each = [], [], max(1, limit // max(1, len(texts)))
-    for i, text in enumerate(texts):
-        words = text.split()
-        for _ in range(each):
-            n = int(np.exp(rng.uniform(np.log(3), np.log(200))))
-            at = int(rng.integers(0, max(1, len(words) - n + 1)))
-            if part := " ".join(words[at : at + n]):
-                out.append(part)
-                of.append(i)
-    return out, of
+def _snippets(text: str, each: int, seed: int) -> list[str]:
+    """Stretches of 3 to SNIPPET_WORDS words from all over a text, the same ones whenever they are taken."""
+    rng, words, out = np.random.default_rng([seed, zlib.crc32(text.encode())]), text.split(), []
+    for _ in range(each):
+        n = int(np.exp(rng.uniform(np.log(3), np.log(SNIPPET_WORDS))))
+        at = int(rng.integers(0, max(1, len(words) - n + 1)))
+        part = " ".join(words[at : at + n]).encode()[:SNIPPET_BYTES].decode(errors="ignore")
+        if any(map(str.isalpha, part)):
+            out.append(part)
+    return out
 
 
-def train(texts: list[str], labels: list[str], seed: int = 7, epochs: int = 3, rate: float = 0.5) -> Model:
-    """Fit on (text, label) rows; a fifth of the texts is kept for calibration. Deterministic for the same rows in order."""
+def train(snippets: list[str], labels: list[str], held: np.ndarray, seed: int = 7, epochs: int = 3, rate: float = 0.5) -> Model:
+    """Fit on snippets that are not held, calibrate on those that are. Deterministic for the same rows in order."""
     langs = sorted(set(labels))
     rng = np.random.default_rng(seed)
-    held = rng.random(len(texts)) < 0.2 if len(texts) >= 50 else np.zeros(len(texts), bool)
-    snippets, of = _snippets(texts, rng, TRAIN_SNIPPETS)
-    target = np.array([langs.index(labels[i]) for i in of])
+    target = np.array([langs.index(x) for x in labels])
     words = Words(pa.array(snippets, pa.string()), LETTERS)
     examples = []
     for k in range(len(snippets)):
         keys, _ = grams(words.tokens.slice(words.first[k], words.counts[k]))
-        if len(keys) and not held[of[k]]:
+        if len(keys) and not held[k]:
             where, n = np.unique(keys, return_counts=True)
             examples.append((target[k], where, (n / n.sum()).astype(np.float32)))
     shares = np.bincount([e[0] for e in examples], minlength=len(langs)) / max(1, len(examples))
@@ -135,18 +138,38 @@ def train(texts: list[str], labels: list[str], seed: int = 7, epochs: int = 3, r
             bias -= 0.1 * slope
             embed[where] -= 20 * part[:, None] * back  # n-grams are many: their share alone would hardly move them
     model = Model(langs, (embed @ weights).astype(np.float32), bias.astype(np.float64))
-    return calibrate(model, [s for s, i in zip(snippets, of, strict=True) if held[i]], [int(t) for t, i in zip(target, of, strict=True) if held[i]])
+    kept = np.flatnonzero(held)
+    return calibrate(model, [snippets[k] for k in kept], target[kept])
 
 
-def calibrate(model: Model, texts: list[str], target: list[int]) -> Model:
+def isotonic(right: np.ndarray) -> np.ndarray:
+    """The growing sequence nearest to how right the stretches are, in order of confidence: neighbours that fall are pooled."""
+    means: list[float] = []
+    sizes: list[int] = []
+    for x in right.astype(float):
+        means.append(x)
+        sizes.append(1)
+        while len(means) > 1 and means[-2] >= means[-1]:
+            n = sizes[-2] + sizes[-1]
+            means[-2:] = [(means[-2] * sizes[-2] + means[-1] * sizes[-1]) / n]
+            sizes[-2:] = [n]
+    return np.repeat(means, sizes)
+
+
+def calibrate(model: Model, texts: list[str], y: np.ndarray) -> Model:
     if not texts:
         return model
-    y = np.array(target)
     raw = np.log(np.maximum(model.scores(pa.array(texts, pa.string()))[0], 1e-300))
-    model.temperature = min(np.geomspace(0.25, 8, 41), key=lambda t: -np.log(np.maximum(softmax(raw / t)[np.arange(len(y)), y], 1e-12)).mean())
+    model.temperature = min(np.geomspace(0.1, 8, 121), key=lambda t: -np.log(np.maximum(softmax(raw / t)[np.arange(len(y)), y], 1e-12)).mean())
     p = softmax(raw / model.temperature)
     confidence, right = p.max(axis=1), p.argmax(axis=1) == y
-    model.threshold = min(REJECT_BELOW, float(np.quantile(confidence[right], REJECT_PART))) if right.any() else 0.0
+    order = np.lexsort((right, confidence))
+    good = np.flatnonzero(isotonic(right[order]) >= ACCEPT_FROM)
+    # Nothing below the least confidence was seen: where that is right often enough, none is too low.
+    model.threshold = 0.0 if len(good) and good[0] == 0 else float(confidence[order][good[0]]) if len(good) else 1.0
+    accepted = confidence >= model.threshold
+    model.rejected_part = float(1 - accepted.mean())
+    model.accepted_error = float(1 - right[accepted].mean()) if accepted.any() else 0.0
     return model
 
 
@@ -165,39 +188,49 @@ def lettered(docs: DataFrame) -> DataFrame:
     return docs.filter(F.udf(lambda text: any(map(str.isalpha, text or "")), "boolean")("text"))
 
 
-def fit(docs: DataFrame, learn: Column, lang: str = "lang") -> Model | None:
+def _cut_snippets(each: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [_snippets(t, each, seed) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("lang"), pa.array(found, pa.list_(pa.string()))], names=["place", "lang", "snippets"])
+
+    return run
+
+
+def fit(docs: DataFrame, learn: Column, lang: str = "lang", seed: int = 7) -> Model | None:
     """Train on at most about TRAIN_DOCS of the rows where `learn` holds and lang is not null, taken by a hash of doc_id and
-    text: all of a language with few rows, an equal share of every other."""
+    text: all of a language with few rows, an equal share of every other. The driver gets snippets of bounded length."""
     rows = docs.filter(learn & F.col(lang).isNotNull() & F.col("text").isNotNull())
     counts = {r.lang: r.n for r in rows.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).collect()}  # a row a language
-    bound = 1 << 30
-    if sum(counts.values()) > TRAIN_DOCS:
+    bound, total = 1 << 30, sum(counts.values())
+    place = F.xxhash64("doc_id", "text")
+    if total > TRAIN_DOCS:
         most = share(list(counts.values()), TRAIN_DOCS)
         parts = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(bound * min(1.0, most / n)))])
-        rows = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(bound)) < parts[F.col(lang)])
-    sample = sorted(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(lang).alias("lang")).toLocalIterator(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.lang, r.text))
-    sample = [r for r in sample if any(c.isalpha() for c in r.text)]
-    return train([r.text for r in sample], [r.lang for r in sample]) if sample else None
+        rows = rows.filter(F.pmod(place, F.lit(bound)) < parts[F.col(lang)])
+    each = max(1, TRAIN_SNIPPETS // max(1, min(total, TRAIN_DOCS)))
+    rows = rows.select(place.alias("place"), F.col(lang).alias("lang"), "text")
+    sample = map_arrow(rows, _cut_snippets(each, seed), "place long, lang string, snippets array<string>")
+    sample = sorted((r for r in sample.toLocalIterator() if r.snippets), key=lambda r: (r.place, r.lang, r.snippets))
+    if not sample:
+        return None
+    held = np.random.default_rng(seed).random(len(sample)) < 0.2 if len(sample) >= 50 else np.zeros(len(sample), bool)  # a fifth of the texts
+    of = [r for r in sample for _ in r.snippets]
+    return train([s for r in sample for s in r.snippets], [r.lang for r in of], np.repeat(held, [len(r.snippets) for r in sample]), seed)
 
 
 def _predict(model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        for batch in slices(batches):
-            texts = batch.column("text")
-            if m is None:
-                known, best, pred = np.zeros(batch.num_rows, bool), np.zeros(batch.num_rows), [UNKNOWN] * batch.num_rows
-                threshold = 0.0
-            else:
-                p, counts = m.scores(texts)
-                known, best, threshold = counts > 0, p.max(axis=1), m.threshold
-                for i in np.flatnonzero(known):  # bytes beyond ASCII need not be letters
-                    text = texts[int(i)].as_py()
-                    known[i] = any(map(str.isalpha, text))
-                pred = [m.langs[k] if ok else UNKNOWN for k, ok in zip(p.argmax(axis=1), known, strict=True)]
-            score = np.where(known, best, 0.0)
-            columns = [batch.column("row"), texts, pa.array(pred, pa.string()), pa.array(score), pa.array(~known | (score < threshold))]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "text", "lang_pred", "lang_score", "lang_rejected"])
+    def run(texts: pa.Array) -> list[pa.Array]:
+        m, n = model.value, len(texts)
+        known, best, pred, threshold = np.zeros(n, bool), np.zeros(n), [UNKNOWN] * n, 0.0
+        if m is not None and n:
+            p, counts = m.scores(texts)
+            known, best, threshold = counts > 0, p.max(axis=1), m.threshold
+            for i in np.flatnonzero(known):  # bytes beyond ASCII need not be letters
+                known[i] = any(map(str.isalpha, texts[int(i)].as_py()))
+            pred = [m.langs[k] if ok else UNKNOWN for k, ok in zip(p.argmax(axis=1), known, strict=True)]
+        score = np.where(known, best, 0.0)
+        return [pa.array(pred, pa.string()), pa.array(score), pa.array(~known | (score < threshold))]
 
     return run
 
@@ -209,9 +242,8 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     row to learn from). Columns of docs named like the results are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("lang_pred", "lang_score", "lang_rejected")
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_rejected", T.BooleanType())]
-    return map_texts(docs, _predict(shared), added)
+    return with_text_columns(docs, _predict(shared), added)
 
 
 def fold(modulus: int, column: str = "doc_id") -> Column:

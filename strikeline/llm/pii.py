@@ -14,6 +14,7 @@ where it reaches GENERALISE_AT. The decision holds for the term in every text, a
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +29,8 @@ KINDS = ("email", "ip", "card", "phone", "term")
 CONTEXT_WORDS = 4
 MIN_SUPPORT = 3
 GENERALISE_AT, REMOVE_AT = 0.75, 0.95
-#: Terms that workers hold as a set; with more, texts and terms are joined.
-HELD_TERMS = 500_000
+#: Terms that workers hold as a set, a few MB; with more, texts and terms are joined.
+HELD_TERMS = 100_000
 #: Text bytes whose terms are counted together.
 COUNT_BYTES = 8 << 20
 #: Letters only, so that a mention's own digits and signs are not terms.
@@ -96,18 +97,40 @@ def entity(text: str, span: tuple[int, int, int]) -> str:
     return f"{KINDS[kind]}:{value.lower() if kind == 0 else value if kind == 1 else _digits(value)}"
 
 
-def _near(text: str, span: tuple[int, int, int], base: list[tuple[int, int, int]]) -> set[str]:
-    """Terms within CONTEXT_WORDS of a mention on its line, none of them inside a mention."""
-    a, b, _ = span
-    reach = 64 * CONTEXT_WORDS
-    left_at = max(text.rfind("\n", 0, a) + 1, a - reach)
-    stop = text.find("\n", b)
-    right_to = min(len(text) if stop < 0 else stop, b + reach)
-    out = []
-    for lo, hi, side in ((left_at, a, -CONTEXT_WORDS), (b, right_to, CONTEXT_WORDS)):
-        found = [m for m in _WORD.finditer(text, lo, hi) if not any(x < m.end() and m.start() < y for x, y, _ in base)]
-        out += found[side:] if side < 0 else found[:side]
-    return {m[0].translate(_LOW) for m in out}
+def _covered(base: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Where the stretches under mentions begin and end, in order and without overlap."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b, _ in base:
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def _free_words(text: str, lo: int, hi: int, covered: tuple[list[int], list[int]]) -> Iterator[re.Match]:
+    """The words of a stretch, in order, that no mention overlaps."""
+    starts, ends = covered
+    for m in _WORD.finditer(text, lo, hi):
+        k = bisect_right(ends, m.start())  # the first stretch that ends after the word begins
+        if k == len(starts) or starts[k] >= m.end():
+            yield m
+
+
+def nearby(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[tuple[int, int, int], set[str]]]:
+    """Each mention with the terms within CONTEXT_WORDS of it on its line. Every line is read once."""
+    covered, line_end, begins, ends, terms = _covered(base), -1, [], [], []
+    for span in base:
+        a, b, _ = span
+        if a >= line_end:
+            line_at, line_end = text.rfind("\n", 0, a) + 1, text.find("\n", b)
+            line_end = len(text) if line_end < 0 else line_end
+            words = [(m.start(), m.end(), m[0].translate(_LOW)) for m in _free_words(text, line_at, line_end, covered)]
+            begins, ends, terms = (list(x) for x in zip(*words, strict=True)) if words else ([], [], [])
+        before, after = bisect_right(ends, a), bisect_left(begins, b)
+        yield span, {*terms[max(0, before - CONTEXT_WORDS) : before], *terms[after : after + CONTEXT_WORDS]}
 
 
 def _has_mark(text: str) -> bool:
@@ -126,7 +149,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base = mentions(text)
             if not base:
                 continue
-            out += {(entity(text, span), t, copy) for span in base for t in (None, *_near(text, span, base))}
+            out += {(entity(text, span), t, copy) for span, terms in nearby(text, base) for t in (None, *terms)}
         columns = list(zip(*out, strict=True)) or [[], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.binary()), strict=True)], names=["entity", "term", "copy"])
 
@@ -146,7 +169,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def disclosing_terms(docs: DataFrame, min_support: int = MIN_SUPPORT, generalise_at: float = GENERALISE_AT) -> DataFrame:
-    """(term, kind, disclosure): terms and the greatest part of an entity's information that each gives away.
+    """(term, kind, disclosure): terms and the greatest part of an entity's information that each gives away, at most 1.
 
     Every text counts once, however many rows hold it; null counts as an empty text. Entities in fewer than min_support
     texts cannot have a supported term.
@@ -154,8 +177,7 @@ def disclosing_terms(docs: DataFrame, min_support: int = MIN_SUPPORT, generalise
     docs = docs.select("text", text_digest(F.col("text")).alias("copy"))
     texts = materialise(docs.groupBy("copy").agg(F.count("*").alias("rows")), "texts")
     n = texts.count()
-    repeated = texts.filter("rows > 1").select("copy")
-    n_repeated = repeated.count()
+    repeated = materialise(texts.filter("rows > 1").select("copy"), "repeated")
     seen = materialise(map_arrow(docs, _contexts, "entity string, term string, copy binary"), "contexts")
     pairs = seen.groupBy("entity", "term").agg(F.countDistinct("copy").alias("together"))
     pairs = materialise(pairs.filter(F.col("together") >= min_support), "supported")
@@ -163,9 +185,8 @@ def disclosing_terms(docs: DataFrame, min_support: int = MIN_SUPPORT, generalise
     linked = pairs.filter("term is not null").join(of_entity, "entity")
     wanted = materialise(linked.select("term").distinct(), "wanted")
     # Only texts of several rows move; their copies combine before that.
-    once = docs.join(small(repeated, n_repeated), "copy", "left_anti").select("text")
-    if n_repeated:
-        once = once.unionByName(docs.join(small(repeated, n_repeated), "copy", "left_semi").dropDuplicates(["copy"]).select("text"))
+    once = docs.join(small(repeated), "copy", "left_anti").select("text")
+    once = once.unionByName(docs.join(small(repeated), "copy", "left_semi").dropDuplicates(["copy"]).select("text"))
     counts = map_arrow(once, _term_counts, "term string, texts long").join(small(wanted), "term", "left_semi").groupBy("term").agg(F.sum("texts").alias("texts"))
     total = F.lit(float(max(n, 1)))
     pmi = F.log2(total * F.col("together") / (F.col("texts") * F.col("mentions")))
@@ -188,10 +209,7 @@ def _sanitise(held):
                 terms = held.value if held is not None else {t["term"]: (t["kind"], t["disclosure"]) for t in own[i] or ()}
                 added = []
                 if terms:
-                    low = text.translate(_LOW)
-                    added = [(m.start(), m.end(), 4) for m in _WORD.finditer(low) if m[0] in terms]
-                    if base and added:
-                        added = [s for s in added if not any(x < s[1] and s[0] < y for x, y, _ in base)]
+                    added = [(m.start(), m.end(), 4) for m in _free_words(text.translate(_LOW), 0, len(text), _covered(base)) if m[0] in terms]
                 spans = sorted(base + added, key=lambda s: (s[0], s[2]))
                 base_out.append(base)
                 all_out.append(spans)

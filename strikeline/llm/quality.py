@@ -5,8 +5,9 @@ and their squares, and minimises the non-negative unbiased risk
 
     prior * E_P[loss(+)] + max(0, E_U[loss(-)] - prior * E_P[loss(-)])
 
-so its output is a probability that the text is good. The prior is estimated first. Training sees a sample of at most about
-TRAIN_DOCS positives and as many unlabelled texts; every text is scored whole.
+so its output is a probability that the text is good. The prior is estimated first, from positives and unlabelled texts alone:
+labels of 0 are never used. Training sees the measures, of fixed width, of at most about TRAIN_DOCS positives and as many
+unlabelled texts; every text is scored whole.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strikeline.llm.common import Words, byte_table, map_texts, slices, text_bytes
+from strikeline.llm.common import Words, byte_table, map_arrow, slices, text_bytes, with_text_columns
 
 #: The bound of the sample that training sees: positives, and as many unlabelled texts.
 TRAIN_DOCS = 6000
 CUT = 0.7
+#: Of the bounds on a ratio of two measured shares: its confidence.
+DELTA = 0.1
 SPACED = byte_table({b for b in range(256) if b > 0x20})
 LETTERED = byte_table({*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)})
 _SIGNS = [b for b in range(0x21, 0x7F) if not chr(b).isalnum()]
@@ -123,57 +126,71 @@ def _minimise(p: np.ndarray, u: np.ndarray, prior: float, epochs: int, seed: int
     return w[:-1], float(w[-1])
 
 
-def estimate_prior(p: np.ndarray, u: np.ndarray, audited: float | None) -> float:
-    """The share of good texts: the audited share if some rows were labelled either way, else the least ratio of the
-    unlabelled to the positive score distribution over the upper quantiles of the positives."""
-    if audited is not None:
-        return float(np.clip(audited, 0.05, 0.95))
-    ratios = [(u >= q).mean() / max(1e-9, (p >= q).mean()) for q in np.quantile(p, np.linspace(0, 0.9, 19))]
-    return float(np.clip(min(ratios, default=0.5), 0.05, 0.95))
+def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
+    """The share of good texts among the unlabelled, from the scores of both that no fit saw: the ratio of the parts at or
+    above a score, at the score where that ratio and the uncertainty of both parts are least together."""
+    if not len(p) or not len(u):
+        return 0.5
+    at = np.unique(p)
+    above_p, above_u = (1 - np.searchsorted(np.sort(x), at) / len(x) for x in (p, u))
+    doubt = (np.sqrt(np.log(4 / DELTA) / 2 / len(u)) + np.sqrt(np.log(4 / DELTA) / 2 / len(p))) / above_p
+    best = int(np.argmin(above_u / above_p + doubt))
+    return float(np.clip(above_u[best] / above_p[best], 0.02, 0.98))
 
 
-def train(positive: list[str], unlabelled: list[str], audited: float | None = None, seed: int = 11, epochs: int = 60) -> Model | None:
-    if not positive or not unlabelled:
+def _crossed(p: np.ndarray, u: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of each half by a fit on the other."""
+    out = []
+    for half in (0, 1):
+        w, b = _minimise(p[half::2], u[half::2], 0.5, 15, seed)
+        out.append([_sigmoid(x[1 - half :: 2] @ w + b) for x in (p, u)])
+    return np.concatenate([out[0][0], out[1][0]]), np.concatenate([out[0][1], out[1][1]])
+
+
+def train(p: np.ndarray, u: np.ndarray, seed: int = 11, epochs: int = 60) -> Model | None:
+    """From the measures of positives and of unlabelled texts, a line each."""
+    if len(p) < 2 or len(u) < 2:
         return None
-    p, u = (np.vstack([measures(s.column("text")) for s in slices([pa.record_batch({"text": pa.array(x, pa.string())})])]) for x in (positive, unlabelled))
     both = np.vstack([p, u])
     mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-3
     p, u = _wide(p, mean, scale), _wide(u, mean, scale)
-    if audited is None:
-        w, b = _minimise(p, u, 0.5, 10, seed)
-        audited = estimate_prior(_sigmoid(p @ w + b), _sigmoid(u @ w + b), None)
-    prior = estimate_prior(p, u, audited)
+    prior = estimate_prior(*_crossed(p, u, seed))
     w, b = _minimise(p, u, prior, epochs, seed)
     return Model(mean, scale, w, b, prior)
 
 
-def _bounded(df: DataFrame, n: int) -> list[str]:
-    total, whole = df.count(), 1 << 30
-    if total > n:
-        df = df.filter(F.pmod(F.xxhash64("doc_id"), F.lit(whole)) < F.lit(int(whole * n / total)))
-    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").toLocalIterator()
-    return [r.text or "" for r in sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.text or ""))]
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        lines = measures(batch.column("text")).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([batch.column("place"), pa.array(list(lines), pa.list_(pa.float32()))], names=["place", "line"])
+
+
+def _sample(df: DataFrame, total: int) -> np.ndarray:
+    """Measures of about TRAIN_DOCS of the rows, or of all if there are fewer, in an order of their own."""
+    whole, place = 1 << 30, F.xxhash64("doc_id", "text")
+    if total > TRAIN_DOCS:
+        df = df.filter(F.pmod(place, F.lit(whole)) < F.lit(int(whole * TRAIN_DOCS / total)))
+    rows = map_arrow(df.select(place.alias("place"), "text"), _measured, "place long, line array<float>").toLocalIterator()
+    found = sorted(((r.place, r.line) for r in rows), key=lambda r: r[0])
+    return np.array([line for _, line in found], float)
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> Model | None:
-    """Train on rows of docs where `learn` holds; labels(doc_id, quality) marks positives, null labels count for nothing."""
+    """Train on rows of docs where `learn` holds; labels(doc_id, quality) marks positives, all else counts as unlabelled."""
     open_docs = docs.select("doc_id", "text").filter(learn)
-    marks = labels.filter(learn & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    audited = marks.agg(F.avg(F.col("quality").cast("double"))).first()[0]
-    positives = marks.filter("quality = 1")
-    whole, total = 1 << 30, positives.count()
+    positives = labels.filter(learn & (F.col("quality") == 1)).select("doc_id").distinct()
+    total = positives.count()
+    whole = 1 << 30
     if total > TRAIN_DOCS:
         positives = positives.filter(F.pmod(F.xxhash64("doc_id"), F.lit(whole)) < F.lit(int(whole * TRAIN_DOCS / total)))
-    taken = F.broadcast(positives.select("doc_id"))  # about TRAIN_DOCS ids
-    return train(_bounded(open_docs.join(taken, "doc_id", "left_semi"), 2 * TRAIN_DOCS), _bounded(open_docs, TRAIN_DOCS), audited)
+    trusted = open_docs.join(F.broadcast(positives), "doc_id", "left_semi")  # about TRAIN_DOCS ids
+    return train(_sample(trusted, trusted.count()), _sample(open_docs, open_docs.count()))
 
 
 def _score(model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: pa.Array) -> list[pa.Array]:
         m = model.value
-        for batch in slices(batches, limit=2 << 20):
-            scores = np.full(batch.num_rows, 0.5) if m is None else m.score(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), pa.array(scores)], names=["row", "text", "quality_score"])
+        return [pa.array(np.full(len(texts), 0.5) if m is None else m.score(texts))]
 
     return run
 
@@ -181,10 +198,9 @@ def _score(model):
 def classify(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs, texts included, plus quality_score (0 to 1) and quality_good (score of at least CUT), from the text alone.
 
-    Null texts are scored as empty ones; without a model, for want of a positive, every score is 0.5. Columns of docs named
+    Null texts are scored as empty ones; without a model, for want of two positives, every score is 0.5. Columns of docs named
     like the results are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("quality_score", "quality_good")
-    out = map_texts(docs, _score(shared), [T.StructField("quality_score", T.DoubleType())])
+    out = with_text_columns(docs.drop("quality_good"), _score(shared), [T.StructField("quality_score", T.DoubleType())])
     return out.withColumn("quality_good", F.col("quality_score") >= CUT)

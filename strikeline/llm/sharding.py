@@ -1,9 +1,11 @@
 """Sharding by histogram sort, in DataFrame operations only.
 
-Rows have a place on a line: the digest of their text, then doc_id, so copies lie together yet can be parted where a
-group of them is larger than a shard. Every round counts the exact bytes and rows in equal slices of the intervals that
-still hold a wanted boundary; boundaries are settled once the slices are within tolerance. Then all rows move once, to
-the ranges between the boundaries, several to a shard so that no task gets a whole shard.
+Rows have a place on a line: the digest of their text, then doc_id, so copies lie together. Every round counts the exact
+bytes and rows in equal slices of the intervals that still hold a wanted boundary between shards. A boundary is settled on a
+slice's end that is within tolerance. Where it falls among copies of one text it goes to the nearer end of their group, and
+only a group larger than a shard is parted, by id. So a shard is off its share by the tolerance, or by half of the largest
+unparted group at either end. Then all rows move once: those of a shard are dealt evenly over several partitions by a hash,
+so that no task gets a whole shard, and are sorted there.
 """
 
 from __future__ import annotations
@@ -18,8 +20,8 @@ from pyspark.sql.window import Window
 from strikeline.llm.common import materialise, shuffle_parts
 
 SHARDS = 8
-#: A boundary may be off by this part of a range's bytes, or by one row.
-TOLERANCE = 0.002
+#: A boundary may be off by this part of a shard's bytes, or by one row.
+TOLERANCE = 0.0005
 PROBE_BITS = 10
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
@@ -69,7 +71,8 @@ def _probe(keys: DataFrame, intervals: list[Interval]) -> dict[int, list]:
 def splitters(keys: DataFrame, ranges: int, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
     """ranges - 1 places; a row belongs to the range after all places that are not beyond it."""
     total = keys.agg(F.sum("_size")).first()[0] or 0
-    slack = tolerance * total / ranges
+    share = total / ranges
+    slack = tolerance * share
     settled: dict[int, tuple[int, int]] = {}
     sought = {i: (Interval(LOW, HIGH), total * i / ranges) for i in range(1, ranges)}  # bytes wanted below, in the interval
     while sought and total:
@@ -82,12 +85,17 @@ def splitters(keys: DataFrame, ranges: int, tolerance: float = TOLERANCE) -> lis
                     break
                 below += r.bytes
             over = wanted - below  # bytes of slice r that should lie below
-            first, after = (r.lo__digest, r.lo__id if r.lo__digest == r.hi__digest else LOW), r
-            if over <= slack or r.rows == 1 and 2 * over < r.bytes:
+            one_text = r.lo__digest == r.hi__digest
+            within = interval.digest is not None  # in a group that is parted
+            first = (r.lo__digest, r.lo__id if within else LOW)
+            after = _next(r.hi__digest, r.hi__id, within)
+            if over <= slack:
                 settled[i] = first
-            elif r.bytes - over <= slack or r.rows == 1 or r.lo__digest == r.hi__digest and r.lo__id == r.hi__id:
-                settled[i] = (after.hi__digest, after.hi__id + 1 if after.hi__id < HIGH else HIGH)
-            elif r.lo__digest == r.hi__digest:
+            elif r.bytes - over <= slack:
+                settled[i] = after
+            elif one_text and (not within and r.bytes <= share or r.lo__id == r.hi__id):
+                settled[i] = first if 2 * over < r.bytes else after
+            elif one_text:
                 further[i] = (Interval(r.lo__id, r.hi__id, r.lo__digest), over)
             else:
                 further[i] = (Interval(r.lo__digest, r.hi__digest), over)
@@ -95,6 +103,13 @@ def splitters(keys: DataFrame, ranges: int, tolerance: float = TOLERANCE) -> lis
     return [settled.get(i, (HIGH, HIGH)) for i in range(1, ranges)]
 
 
+def _next(digest: int, id_: int, within: bool) -> tuple[int, int]:
+    """The first place after a row, or after all rows of its text."""
+    if within and id_ < HIGH:
+        return digest, id_ + 1
+    return (digest + 1, LOW) if digest < HIGH else (HIGH, HIGH)
+
+
 def _range_of(places: list[tuple[int, int]]):
     """Number of places not beyond the row: a balanced tree of comparisons."""
 
@@ -112,23 +127,24 @@ def _range_of(places: list[tuple[int, int]]):
 def shard(docs: DataFrame, shards: int = SHARDS, id_column: str = "doc_id") -> DataFrame:
     """docs, all columns and texts, plus size, shard and slot under the law `bytes`: shards of nearly equal size.
 
-    size is the UTF-8 bytes of the text plus 1, null being empty; slots count from 0 in each shard without gaps. Rows
-    that agree in text and id stay together and are numbered in any order. With fewer rows than shards some are empty.
-    Columns named size, shard or slot are replaced.
+    size is the UTF-8 bytes of the text plus 1, null being empty; slots count from 0 in each shard without gaps. Equal texts
+    lie in one shard unless they are larger than one. Rows that agree in text and id stay together and are numbered in any
+    order. With fewer rows than shards some are empty. Columns named size, shard or slot are replaced.
     """
     spark = docs.sparkSession
     rows = _line(docs.drop("size", "shard", "slot"), id_column)
     keys = materialise(rows.select("_digest", "_id", "_size"), "places")
+    places = splitters(keys, shards)
     per_shard = max(1, round(shuffle_parts(spark) / shards))
-    places = splitters(keys, shards * per_shard)
-    piece = _range_of(places)
-    counted = {r.piece: r.rows for r in keys.select(piece.alias("piece")).groupBy("piece").agg(F.count("*").alias("rows")).collect()}  # one row a range
-    starts = [sum(counted.get(q, 0) for q in range(p - p % per_shard, p)) for p in range(shards * per_shard)]
-    offset = F.element_at(F.array(*[F.lit(s).cast("long") for s in starts]), F.col("_piece") + 1)
-    moved = rows.withColumn("_piece", piece).repartitionByRange(shards * per_shard, "_piece")
-    order = Window.partitionBy("_piece").orderBy("_digest", "_id")
-    out = moved.withColumn("_at", F.row_number().over(order))
-    return out.select("_row.*", F.col("_size").alias("size"), F.floor(F.col("_piece") / per_shard).cast("int").alias("shard"), (F.col("_at") - 1 + offset).alias("slot"))
+    piece = _range_of(places) * per_shard + F.pmod(F.xxhash64("_digest", "_id"), F.lit(per_shard)).cast("int")
+    counted = keys.select(piece.alias("_piece")).groupBy("_piece").agg(F.count("*").alias("_rows"))  # a row a piece
+    before = Window.partitionBy("_shard").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counted.withColumn("_shard", F.floor(F.col("_piece") / per_shard).cast("int")).withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    # The piece is the number of the partition: no pass over the data to find ranges.
+    moved = rows.withColumn("_piece", piece).repartitionById(shards * per_shard, F.col("_piece"))
+    numbered = moved.withColumn("_at", F.row_number().over(Window.partitionBy("_piece").orderBy("_digest", "_id")))
+    out = numbered.join(F.broadcast(offsets), "_piece")  # as many rows as there are pieces
+    return out.select("_row.*", F.col("_size").alias("size"), F.col("_shard").alias("shard"), (F.col("_at") - 1 + F.col("_offset")).alias("slot"))
 
 
 def boundary_of(places: list[tuple[int, int]], digest: int, id_: int) -> int:

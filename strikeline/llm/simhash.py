@@ -109,13 +109,14 @@ def _stars(radius: int):
 
 def links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """(a, b) such that nodes(fp, node), of distinct fp, within the radius are connected. The work grows with the nodes."""
-    level = nodes.select("fp", "node", F.lit("").alias("path"), F.lit(0).cast("long").alias("used"), F.lit(-1).cast("long").alias("free"))
+    level = nodes.select("fp", "node", F.lit("").alias("path"), F.lit(0).cast("long").alias("used"))
     free_sets, found, stars = {"": list(range(BITS))}, [], _stars(radius)
     while free_sets:
         plans = [(path, t, m) for path, bits in free_sets.items() for t, m in enumerate(masks(bits, radius))]
-        keys = F.array(*[F.struct(F.lit(f"{path}{t}.").alias("path"), F.lit(path).alias("of"), F.lit(_signed(m)).cast("long").alias("mask")) for path, t, m in plans])
-        keyed = level.select("fp", "node", "path", "used", F.explode(keys).alias("k")).filter(F.col("k.of") == F.col("path"))
-        keyed = keyed.select("fp", "node", F.col("k.path").alias("path"), F.col("used").bitwiseOR(F.col("k.mask")).alias("used"))
+        # A row meets the masks of its own path only: as many at every level.
+        own = nodes.sparkSession.createDataFrame([(path, f"{path}{t}.", _signed(m)) for path, t, m in plans], "path string, table string, mask long")
+        keyed = level.join(F.broadcast(own), "path")  # a row for each mask of a crowded path, however many documents there are
+        keyed = keyed.select("fp", "node", F.col("table").alias("path"), F.col("used").bitwiseOR(F.col("mask")).alias("used"))
         keyed = materialise(keyed.withColumn("key", F.col("fp").bitwiseAND(F.col("used"))), "covered")
         by = ["path", "key"]
         counts = materialise(keyed.groupBy(*by).agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
