@@ -37,6 +37,7 @@ SNIPPET_WORDS, SNIPPET_BYTES = 200, 4000
 #: Confidences are accepted from where they are right at least so often.
 ACCEPT_FROM = 0.5
 UNKNOWN = "und"
+SEED = 7
 
 
 def grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -96,9 +97,9 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def _snippets(text: str, each: int, seed: int) -> list[str]:
+def _snippets(text: str, each: int) -> list[str]:
     """Stretches of 3 to SNIPPET_WORDS words from all over a text, the same ones whenever they are taken."""
-    rng, words, out = np.random.default_rng([seed, zlib.crc32(text.encode())]), text.split(), []
+    rng, words, out = np.random.default_rng([SEED, zlib.crc32(text.encode())]), text.split(), []
     for _ in range(each):
         n = int(np.exp(rng.uniform(np.log(3), np.log(SNIPPET_WORDS))))
         at = int(rng.integers(0, max(1, len(words) - n + 1)))
@@ -108,11 +109,15 @@ def _snippets(text: str, each: int, seed: int) -> list[str]:
     return out
 
 
-def train(snippets: list[str], labels: list[str], held: np.ndarray, seed: int = 7, epochs: int = 3, rate: float = 0.5) -> Model:
-    """Fit on snippets that are not held, calibrate on those that are. Deterministic for the same rows in order."""
+def train(texts: list[list[str]], labels: list[str], epochs: int = 3, rate: float = 0.5) -> Model:
+    """From the snippets and the language of each text: fit on most texts, calibrate on a fifth of them. Deterministic for the
+    same texts in order."""
     langs = sorted(set(labels))
-    rng = np.random.default_rng(seed)
-    target = np.array([langs.index(x) for x in labels])
+    rng = np.random.default_rng(SEED)
+    of = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
+    held = (rng.random(len(texts)) < 0.2 if len(texts) >= 50 else np.zeros(len(texts), bool))[of]
+    snippets = [s for x in texts for s in x]
+    target = np.array([langs.index(x) for x in labels])[of]
     words = Words(pa.array(snippets, pa.string()), LETTERS)
     examples = []
     for k in range(len(snippets)):
@@ -188,16 +193,16 @@ def lettered(docs: DataFrame) -> DataFrame:
     return docs.filter(F.udf(lambda text: any(map(str.isalpha, text or "")), "boolean")("text"))
 
 
-def _cut_snippets(each: int, seed: int):
+def _cut_snippets(each: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [_snippets(t, each, seed) for t in batch.column("text").to_pylist()]
+            found = [_snippets(t, each) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("lang"), pa.array(found, pa.list_(pa.string()))], names=["place", "lang", "snippets"])
 
     return run
 
 
-def fit(docs: DataFrame, learn: Column, lang: str = "lang", seed: int = 7) -> Model | None:
+def fit(docs: DataFrame, learn: Column, lang: str = "lang") -> Model | None:
     """Train on at most about TRAIN_DOCS of the rows where `learn` holds and lang is not null, taken by a hash of doc_id and
     text: all of a language with few rows, an equal share of every other. The driver gets snippets of bounded length."""
     rows = docs.filter(learn & F.col(lang).isNotNull() & F.col("text").isNotNull())
@@ -210,13 +215,11 @@ def fit(docs: DataFrame, learn: Column, lang: str = "lang", seed: int = 7) -> Mo
         rows = rows.filter(F.pmod(place, F.lit(bound)) < parts[F.col(lang)])
     each = max(1, TRAIN_SNIPPETS // max(1, min(total, TRAIN_DOCS)))
     rows = rows.select(place.alias("place"), F.col(lang).alias("lang"), "text")
-    sample = map_arrow(rows, _cut_snippets(each, seed), "place long, lang string, snippets array<string>")
+    sample = map_arrow(rows, _cut_snippets(each), "place long, lang string, snippets array<string>")
     sample = sorted((r for r in sample.toLocalIterator() if r.snippets), key=lambda r: (r.place, r.lang, r.snippets))
     if not sample:
         return None
-    held = np.random.default_rng(seed).random(len(sample)) < 0.2 if len(sample) >= 50 else np.zeros(len(sample), bool)  # a fifth of the texts
-    of = [r for r in sample for _ in r.snippets]
-    return train([s for r in sample for s in r.snippets], [r.lang for r in of], np.repeat(held, [len(r.snippets) for r in sample]), seed)
+    return train([r.snippets for r in sample], [r.lang for r in sample])
 
 
 def _predict(model):
