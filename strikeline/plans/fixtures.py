@@ -81,10 +81,11 @@ class Tables:
 
     @cached_property
     def earnings(self) -> DataFrame:
+        """A row per customer: ten symbols with 40 dates each for every 400 of them."""
         c = F.col("c_custkey")
-        return self.read("customer").filter("c_custkey <= 400").select(
-            F.concat(F.lit("SYM"), (c % 10).cast("string")).alias("symbol"),
-            F.expr("date_add(date'2022-01-03', cast(30 * (c_custkey div 10) as int))").alias("date"),
+        return self.read("customer").select(
+            F.expr("concat('SYM', cast(c_custkey % 10 + 10 * (c_custkey div 400) as string))").alias("symbol"),
+            F.expr("date_add(date'2022-01-03', cast(30 * (c_custkey % 400 div 10) as int))").alias("date"),
             F.when(c % 11 != 0, (c % 37).cast("double") / 8).alias("eps"),
             F.when(c % 13 != 0, (c % 31).cast("double") / 8).alias("eps_estimated"),
             (100 + c % 97).cast("double").alias("revenue"),
@@ -118,9 +119,9 @@ em AS (SELECT act_symbol AS underlying, date AS quote_ts, expiration AS exp_date
     FROM chain GROUP BY 1, 2, 3),
 em_a AS (SELECT * FROM em WHERE quote_ts <= DATE '{AS_OF}' - 2),
 em_b AS (SELECT * FROM em WHERE quote_ts >= DATE '{AS_OF}' - 2),
-earnings AS (SELECT 'SYM' || CAST(c_custkey % 10 AS VARCHAR) AS symbol, CAST(DATE '2022-01-03' + CAST(30 * (c_custkey // 10) AS INTEGER) AS DATE) AS date,
+earnings AS (SELECT 'SYM' || CAST(c_custkey % 10 + 10 * (c_custkey // 400) AS VARCHAR) AS symbol, CAST(DATE '2022-01-03' + CAST(30 * (c_custkey % 400 // 10) AS INTEGER) AS DATE) AS date,
     CASE WHEN c_custkey % 11 <> 0 THEN (c_custkey % 37) / 8e0 END AS eps, CASE WHEN c_custkey % 13 <> 0 THEN (c_custkey % 31) / 8e0 END AS eps_estimated,
-    CAST(100 + c_custkey % 97 AS DOUBLE) AS revenue, CAST(100 + c_custkey % 89 AS DOUBLE) AS revenue_estimated FROM customer WHERE c_custkey <= 400),
+    CAST(100 + c_custkey % 97 AS DOUBLE) AS revenue, CAST(100 + c_custkey % 89 AS DOUBLE) AS revenue_estimated FROM customer),
 bars AS (SELECT event_id, 'O:SYM' || chr(CAST(65 + user_id % 26 AS INTEGER)) AS sym, value AS o, value AS h, value AS l, value AS c, event_id % 50 AS v,
     epoch_ms(date_trunc('minute', ts)) AS s, epoch_ms(date_trunc('minute', ts)) + 60000 AS e FROM events)
 """

@@ -105,7 +105,9 @@ add("agg25_expiration_rollup", lambda t: views.expiration_rollup(t.latest_chain)
 add("agg26_strike_spacing", lambda t: views.strike_spacing(t.latest_chain), "SELECT act_symbol, min(strike) AS min_strike, max(strike) AS max_strike, count(DISTINCT strike) AS n_strikes, coalesce((max(strike) - min(strike)) / nullif(count(DISTINCT strike) - 1, 0), 0) AS avg_spacing FROM latest_chain GROUP BY 1")
 add("agg27_type_counts", lambda t: t.latest_chain.agg(F.count_if(CALL()).alias("calls"), F.count_if(~CALL()).alias("puts")), "SELECT count(*) FILTER (call_put = 'C') AS calls, count(*) FILTER (call_put = 'P') AS puts FROM latest_chain")
 add("agg28_iv_range", lambda t: t.vol.filter(C("date") >= F.date_sub(t.as_of, 252)).groupBy("symbol").agg(F.max("iv").alias("high"), F.min("iv").alias("low")), "SELECT symbol, max(iv) AS high, min(iv) AS low FROM vol, clock WHERE date >= d - 252 GROUP BY 1")
-add("agg29_mean_positive_iv", lambda t: t.chain.groupBy("act_symbol").agg(F.coalesce(F.avg(F.when(C("delta") > 0, C("vol"))), F.lit(0.3)).alias("iv")), "SELECT act_symbol, coalesce(avg(CASE WHEN delta > 0 THEN vol END), 0.3e0) AS iv FROM chain GROUP BY 1")
+ZERO_VOLS = lambda t: t.chain.withColumn("vol", F.when(C("id") % 19 == 0, 0.0).otherwise(C("vol")))
+add("agg29_mean_positive_iv", lambda t: ZERO_VOLS(t).groupBy("act_symbol").agg(F.coalesce(F.avg(F.when(C("vol") > 0, C("vol"))), F.lit(0.3)).alias("iv")),
+    "WITH z AS (SELECT act_symbol, CASE WHEN id % 19 = 0 THEN 0e0 ELSE vol END AS vol FROM chain) SELECT act_symbol, coalesce(avg(CASE WHEN vol > 0 THEN vol END), 0.3e0) AS iv FROM z GROUP BY 1")
 add("agg31_outcomes", lambda t: t.chain.agg(F.count_if(C("bid") > 0).alias("succeeded"), F.count_if(C("bid") == 0).alias("failed"), F.count("*").alias("total")), "SELECT count(*) FILTER (bid > 0) AS succeeded, count(*) FILTER (bid = 0) AS failed, count(*) AS total FROM chain")
 add("agg32_hit_rate", lambda t: t.chain.groupBy("act_symbol").agg((F.coalesce(F.try_divide(F.count_if(C("bid") > 0).cast("double"), F.count("*")), F.lit(0.0)) * 100).alias("hit_rate")), "SELECT act_symbol, count(*) FILTER (bid > 0) / count(*) * 100 AS hit_rate FROM chain GROUP BY 1")
 add("agg33_reconcile", lambda t: sinks.reconcile(t.em_a, t.em_b, ["underlying", "quote_ts"]), """SELECT underlying, quote_ts, coalesce(a.n, 0) AS source_rows, coalesce(b.n, 0) AS written_rows, coalesce(a.n, 0) <> coalesce(b.n, 0) AS mismatch
