@@ -185,7 +185,7 @@ def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             own, cover = words.of(row), np.zeros(words.counts[row] + 1, np.int64)
             for f in found:
-                phrase = [w.encode() for w in f["words"]]
+                phrase = f["words"].encode().split(b" ")
                 good = [p for p in _unpack(f["places"]).tolist() if p >= 0 and own[p : p + len(phrase)] == phrase]
                 if good:
                     np.add.at(cover, good, 1)
@@ -200,9 +200,10 @@ def _judged(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     find their row by a hash of id and text; as the words are compared after that, another row of that hash does no harm."""
     name = F.xxhash64("doc_id", "text")
     found = candidates(build_index(docs, name), phrases).distinct()  # rows that are there twice share their places
+    phrases = phrases.select("phrase", F.concat_ws(" ", "words").alias("words"))  # no word holds a space; a text is smaller than a list
     found = materialise(found.join(small(phrases), "phrase").groupBy("doc").agg(F.collect_list(F.struct("phrase", "words", "places")).alias("found")), "candidates")
     carried = F.struct(*[F.col(c) for c in docs.columns if c != "text"]) if docs.columns != ["text"] else F.struct(F.lit(1).alias("_none"))
-    bulk = found.agg(F.sum(F.size("found") * 200 + F.aggregate("found", F.lit(0), lambda n, x: n + F.octet_length(x["places"])))).first()[0] or 0
+    bulk = found.agg(F.sum(F.size("found") * 64 + F.aggregate("found", F.lit(0), lambda n, x: n + F.octet_length(x["places"]) + F.octet_length(x["words"])))).first()[0] or 0
     side = F.broadcast(found) if bulk <= BROADCAST_BYTES else found
     rows = docs.select(carried.alias("row"), "text", name.alias("doc")).join(side, "doc", "left")
     schema = T.StructType([rows.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("phrases", T.ArrayType(T.LongType()))])
