@@ -113,9 +113,12 @@ def links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataF
     free_sets, found, stars = {"": list(range(BITS))}, [], _stars(radius)
     while free_sets:
         plans = [(path, t, m) for path, bits in free_sets.items() for t, m in enumerate(masks(bits, radius))]
-        # A row meets the masks of its own path only: as many at every level.
-        own = nodes.sparkSession.createDataFrame([(path, f"{path}{t}.", _signed(m)) for path, t, m in plans], "path string, table string, mask long")
-        keyed = level.join(F.broadcast(own), "path")  # a row for each mask of a crowded path, however many documents there are
+        # A row meets the masks of its own path only: as many at every level. At the first level all rows have the same path.
+        if list(free_sets) == [""]:
+            keyed = level.select("fp", "node", "used", F.inline(F.array(*[F.struct(F.lit(f"{t}.").alias("table"), F.lit(_signed(m)).alias("mask")) for _, t, m in plans])))
+        else:
+            own = nodes.sparkSession.createDataFrame([(path, f"{path}{t}.", _signed(m)) for path, t, m in plans], "path string, table string, mask long")
+            keyed = level.join(F.broadcast(own), "path")  # a row for each mask of a crowded path, however many documents there are
         keyed = keyed.select("fp", "node", F.col("table").alias("path"), F.col("used").bitwiseOR(F.col("mask")).alias("used"))
         keyed = materialise(keyed.withColumn("key", F.col("fp").bitwiseAND(F.col("used"))), "covered")
         by = ["path", "key"]
