@@ -210,8 +210,9 @@ class Words:
         opens[heads] = inside[heads]
         self.starts = np.flatnonzero(opens)
         compact = mapped[inside]
-        lengths_from = np.cumsum(inside, dtype=np.int32)[self.starts] - 1
-        ends = np.append(lengths_from, len(compact)).astype(np.int32)
+        # Bytes from one start to the next that belong to a word are its own: no array as long as the text is needed.
+        lengths = np.add.reduceat(inside.view(np.uint8), self.starts, dtype=np.int32) if len(self.starts) else np.zeros(0, np.int32)
+        ends = np.append(0, np.cumsum(lengths)).astype(np.int32)
         self.tokens = pa.Array.from_buffers(pa.binary(), len(self.starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(compact))])
         self.first = np.searchsorted(self.starts, offsets)
         self.counts = np.diff(self.first)

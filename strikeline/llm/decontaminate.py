@@ -161,12 +161,14 @@ def candidates(index: DataFrame, phrases: DataFrame, slop: int = 0, rarest: int
     wanted = materialise(anchors.select(F.explode("anchors.term").alias("term")).distinct(), "anchor_terms")
     lists = materialise(terms.select("term", "block", "positions").join(small(wanted), "term", "left_semi"), "lists")
     found = small(anchors).join(lists, "term").select("phrase", "anchors", "block", F.col("positions").alias("begins"), "shift")
+    # Named so that the filter on its result is not pushed below it, which would meet all lists twice in two workers a task.
+    meet = F.pandas_udf(_meet, "binary").asNondeterministic()
     for rank in range(1, rarest):
         step = found.withColumns({"term": F.get("anchors", F.lit(rank))["term"], "offset": F.get("anchors", F.lit(rank))["offset"]})
         met = (
             step.filter(F.col("term").isNotNull())
             .join(lists, ["term", "block"])
-            .select("phrase", "anchors", "block", F.pandas_udf(_meet, "binary")("begins", "shift", "positions", "offset", F.lit(slop)).alias("begins"), F.lit(0).alias("shift"))
+            .select("phrase", "anchors", "block", meet("begins", "shift", "positions", "offset", F.lit(slop)).alias("begins"), F.lit(0).alias("shift"))
             .filter(F.length("begins") > 0)
         )
         found = materialise(met.unionByName(step.filter(F.col("term").isNull()).drop("term", "offset")), f"met{rank}")
