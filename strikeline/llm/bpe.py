@@ -28,10 +28,10 @@ from strikeline.llm.common import map_arrow, slices
 #: Unicode White_Space, as the vocabulary's normaliser takes it.
 _SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
 #: Encoded words that a worker keeps; when more are known it starts afresh.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 100_000
 #: Letters from which a word is merged rank by rank.
 LONG = 2000
-SLICE = 2 << 20
+SLICE = 1 << 20
 _NONE = np.iinfo(np.int64).max
 
 
