@@ -95,8 +95,8 @@ add("flt09_quality", lambda t: pick(t.chain.filter("bid > 0 and ask > bid and vo
 add("flt10_has_vol", lambda t: pick(t.chain.filter("vol is not null and vol > 0")), f"SELECT {ALL} FROM chain WHERE vol > 0")
 add("flt11_two_sided", lambda t: pick(t.chain.filter("bid > 0 and ask > 0")), f"SELECT {ALL} FROM chain WHERE bid > 0 AND ask > 0")
 # Expirations of the chain are Fridays; here some fall on the days after.
-SPREAD = lambda t: t.chain.withColumn("expiration", F.date_add("expiration", (C("id") % 3).cast("int")))
-add("flt12_friday", lambda t: pick(SPREAD(t).filter(F.dayofweek("expiration") == 6)), f"SELECT {ALL} FROM chain WHERE dayofweek(expiration + CAST(id % 3 AS INTEGER)) = 5")
+STRAYING = lambda t: t.chain.withColumn("expiration", F.date_add("expiration", (C("id") % 3).cast("int")))
+add("flt12_friday", lambda t: pick(STRAYING(t).filter(F.dayofweek("expiration") == 6)), f"SELECT {ALL} FROM chain WHERE dayofweek(expiration + CAST(id % 3 AS INTEGER)) = 5")
 add("flt13_monthly", lambda t: pick(t.chain.filter(F.dayofmonth("expiration").between(15, 21))), f"SELECT {ALL} FROM chain WHERE day(expiration) BETWEEN 15 AND 21")
 add("flt14_iv_outliers", lambda t: t.vol.filter((C("iv") > 0) & (C("iv") < 10)).select("date", "symbol", "iv"), "SELECT date, symbol, iv FROM vol WHERE iv > 0 AND iv < 10")
 
