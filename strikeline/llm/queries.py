@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strikeline.llm import bpe, chat, decontaminate, exact_dedup, langid, pii, quality, sharding, simhash, warc
+from strikeline.llm import alignment, bpe, chat, decontaminate, exact_dedup, langid, pii, quality, sharding, simhash, warc, whitening
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,11 +29,11 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans", F.sha2("sanitised", 256).alias("sanitised_sha256"))
 
 
-def vocabulary() -> str:
-    """The path of the public tokenizer file that op4 and the pipeline use."""
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """The path of a public tokenizer file; op4 and the pipeline use the default."""
     import public_tokenizers
 
-    return str(public_tokenizers.path("word_bpe_49k.json"))
+    return str(public_tokenizers.path(name))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,17 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(_read(spark, sf_dir, "documents"), latest=True).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality, op3_pii, op4_bpe, op5_chat, op6_warc, op7_sharding, op8_simhash, op9_langid, op10_exact_dedup)}
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=32)
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = alignment.align(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"), keep_groups=False)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality, op3_pii, op4_bpe, op5_chat, op6_warc, op7_sharding, op8_simhash, op9_langid, op10_exact_dedup, op12_whitening, op13_alignment)}
 
 ORACLE_SQL: dict[str, str] = {
     "op10_exact_dedup": """
