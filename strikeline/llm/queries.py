@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strikeline.llm import alignment, bpe, chat, decontaminate, exact_dedup, langid, pii, quality, sharding, simhash, warc, whitening
+from strikeline.llm import alignment, bpe, chat, decontaminate, exact_dedup, langid, pii, quality, repeats, sharding, simhash, warc, whitening
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -72,6 +72,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(_read(spark, sf_dir, "documents"), latest=True).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"), window=400)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=32)
 
@@ -82,7 +87,7 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality, op3_pii, op4_bpe, op5_chat, op6_warc, op7_sharding, op8_simhash, op9_langid, op10_exact_dedup, op12_whitening, op13_alignment)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality, op3_pii, op4_bpe, op5_chat, op6_warc, op7_sharding, op8_simhash, op9_langid, op10_exact_dedup, op11_repeats, op12_whitening, op13_alignment)}
 
 ORACLE_SQL: dict[str, str] = {
     "op10_exact_dedup": """
