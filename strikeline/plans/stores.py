@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from strikeline.operators import chain as chains
 from strikeline.operators import modelling, views
+from strikeline.plans import replay
 from strikeline.plans.domain import EMKEY, FEATURES, LABELS, SPOTS
 from strikeline.plans.registry import add
 from strikeline.plans.serving import BARS, FRAME
 from strikeline.session import scratch_path
-from strikeline.sources import landed, readers, sinks
+from strikeline.sources import landed, live, readers, sinks
 from strikeline.streaming import feed
 
 C = F.col
@@ -244,10 +245,25 @@ def _paths(t, *names: str) -> list[str]:
     return [scratch_path(t.spark, n) for n in names]
 
 
+def _landed_in_order(t, rows: DataFrame, name: str) -> replay.Frames:
+    """Frames as a service would hold them: files of successive ranges of offsets."""
+    path = scratch_path(t.spark, name)
+    rows.orderBy("event_id").select("value").write.text(path)
+    return replay.Frames(path)
+
+
+def _feed(t, service: replay.Service) -> DataFrame:
+    live.register(t.spark)
+    options = {"url": service.url, "delayMs": "10", "framesPerPartition": "5000", "maxFramesPerBatch": str(max(1000, len(service.frames) // 3))}
+    return t.spark.readStream.format("frame_feed").options(**options).load()
+
+
 def _stream(t):
-    source, out, state = _paths(t, "frames", "bars", "state")
-    BARS(t).select(FRAME().alias("value")).write.text(source)
-    return feed.drain(feed.parse_frames(feed.read_frames(t.spark, source)).select("ev", "sym", "c"), out, state)
+    """Frames of a service whose line breaks again and again."""
+    frames = _landed_in_order(t, BARS(t).select("event_id", FRAME().alias("value")), "frames")
+    out, state = _paths(t, "bars", "state")
+    with replay.Service(replay.host(t.spark), frames, breaks=700, refuse=2) as service:
+        return feed.drain(feed.parse_frames(_feed(t, service)).select("ev", "sym", "c"), out, state)
 
 
 add("src21_feed_stream", _stream, "SELECT 'AM' AS ev, sym, c FROM bars WHERE event_id % 11 <> 0 UNION ALL SELECT 'status', sym, c FROM bars WHERE event_id % 11 <> 0 AND event_id % 3 = 0")
@@ -277,12 +293,33 @@ add("str05_fan_out", _fanned_out, "SELECT sym, count(*) AS n, max(c) AS highest_
 
 
 def _restarted(t):
-    """The stream ends, more frames land, and it starts again from its checkpoint: every frame is there once."""
-    source, out, state = _paths(t, "frames", "bars", "state")
-    _land_frames(t, source, "event_id % 2 = 0")
-    feed.drain(_bars(t, source).select("sym", "close", "volume"), out, state)
-    _land_frames(t, source, "event_id % 2 = 1")
-    return feed.drain(_bars(t, source).select("sym", "close", "volume"), out, state)
+    """The stream ends with half of the frames, the service goes on, and the stream starts again from its checkpoint; the line
+    breaks in both runs, and every frame is there once."""
+    whole = F.to_json(F.struct("ev", "sym", "o", "h", "l", "c", "v", "s", "e"))
+    frames = _landed_in_order(t, BARS(t).select("event_id", whole.alias("value")), "frames")
+    out, state = _paths(t, "bars", "state")
+    bars = lambda service: feed.minute_bars(feed.parse_frames(_feed(t, service))).select("sym", "close", "volume")
+    with replay.Service(replay.host(t.spark), frames, breaks=900) as service:
+        service.held = len(frames) // 2
+        feed.drain(bars(service), out, state)
+    with replay.Service(replay.host(t.spark), frames, breaks=1100, refuse=3) as service:
+        return feed.drain(bars(service), out, state)
 
 
 add("str06_restart", _restarted, "SELECT sym, c AS close, v AS volume FROM bars")
+
+
+def _remote_events(t):
+    """The events behind a SQL endpoint, in eight ranges, a few hundred rows a page, filtered there."""
+    live.register(t.spark)
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double"
+    with replay.Service(replay.host(t.spark), sf_dir=t.sf_dir, tables=("events",), refuse=2) as service:
+        n = t.read("events").agg(F.max("event_id")).first()[0] or 0
+        options = {"url": service.url, "table": "events", "partitionColumn": "event_id", "lowerBound": "0", "upperBound": str(n), "numPartitions": "8", "pageRows": "2000", "delayMs": "10"}
+        rows = t.spark.read.format("sql_http").schema(schema).options(**options).load()
+        path = scratch_path(t.spark, "remote")
+        rows.filter((C("user_id") > 3) & (C("value") < 90) & C("event_type").isNotNull()).write.parquet(path)
+    return t.spark.read.parquet(path).select("event_id", "user_id", "event_type", F.unix_micros("ts").alias("us"), "value")
+
+
+add("src08_sql_over_http", _remote_events, "SELECT event_id, user_id, event_type, epoch_us(ts) AS us, value FROM events WHERE user_id > 3 AND value < 90")
