@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("scans", "relations", "domain", "serving", "stores")
+MODULES = ("scans", "relations", "domain", "serving", "stores", "streams")
 
 
 def load() -> tuple[dict, dict]:

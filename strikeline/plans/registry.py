@@ -19,4 +19,5 @@ def add(name: str, run: Callable[[Tables], DataFrame], sql: str | None = None) -
     QUERIES[name] = lambda spark, sf_dir: run(Tables(spark, sf_dir))
     if sql is not None:
         sql = sql.strip()
-        ORACLE[name] = f"WITH {SQL.strip()}" + (f", {sql[5:]}" if sql.upper().startswith("WITH ") else f"\n{sql}")
+        first = "WITH RECURSIVE" if sql.upper().startswith("WITH RECURSIVE ") else "WITH"
+        ORACLE[name] = f"{first} {SQL.strip()}" + (f", {sql[len(first) + 1:]}" if sql.upper().startswith("WITH ") else f"\n{sql}")

@@ -62,6 +62,16 @@ MOVERS = "WITH s AS (SELECT date AS day, act_symbol AS symbol, arg_max(ask * 2,
 add("srv15_top_movers", lambda t: feed.top_movers(SCORES(t), 3).filter(C("day") == "2024-01-15"), f"SELECT * FROM ({MOVERS.replace('WITH s AS', 'WITH s AS')}) WHERE day = DATE '2024-01-15'")
 add("srv16_iv_defaults", lambda t: t.vol.filter("symbol = 'SYM3'").select("date", F.coalesce(F.when(C("hv") > 0.3, C("iv")), F.lit(25.0)).alias("iv")), "SELECT date, coalesce(CASE WHEN hv > 0.3 THEN iv END, 25e0) AS iv FROM vol WHERE symbol = 'SYM3'")
 
+def limits_sql(requests: str, most: int, window_ms: int) -> str:
+    """The rule of fixed windows, request by request."""
+    return f"""WITH RECURSIVE asked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ms, id) AS place FROM ({requests})),
+    steps AS (SELECT key, id, ms, place, 1 AS used, ms + {window_ms} AS until, true AS allowed FROM asked WHERE place = 1
+        UNION ALL SELECT a.key, a.id, a.ms, a.place, CASE WHEN a.ms > s.until THEN 1 ELSE least(s.used + 1, {most}) END,
+            CASE WHEN a.ms > s.until THEN a.ms + {window_ms} ELSE s.until END, a.ms > s.until OR s.used < {most}
+        FROM steps s JOIN asked a ON a.key = s.key AND a.place = s.place + 1)
+    SELECT key, id, ms, allowed FROM steps"""
+
+
 # streams, over a table
 BARS = lambda t: t.bars.select("event_id", F.lit("AM").alias("ev"), "sym", "o", "h", "l", "c", "v", F.lit(None).cast("double").alias("vw"), "s", "e")
 add("str03_minute_bars", lambda t: feed.minute_bars(BARS(t)).select("sym", "open", "close", "volume", "duration_ms", F.unix_millis("window_end").alias("end_ms")), "SELECT sym, o AS open, c AS close, v AS volume, e - s AS duration_ms, e AS end_ms FROM bars")
@@ -72,7 +82,7 @@ add("str02_statuses", lambda t: feed.parse_frames(BARS(t).select(FRAME().alias("
 SUBS = lambda t: t.bars.select("sym").distinct().filter(C("sym") < "O:SYMH")
 add("str04_subscriptions", lambda t: feed.activity(feed.subscribed(feed.minute_bars(BARS(t)), SUBS(t))).select("sym", "messages", F.unix_millis("last_update").alias("last_ms")), "SELECT sym, count(*) AS messages, max(e) AS last_ms FROM bars WHERE sym < 'O:SYMH' GROUP BY 1")
 LIMITED = lambda t: feed.limit_requests(t.read("events").select((C("user_id") % 50).cast("string").alias("key"), C("event_id").alias("id"), F.unix_millis(C("ts").cast("timestamp")).alias("ms")), 2, 21_600_000)
-add("str07_rate_limit", LIMITED)
+add("str07_rate_limit", LIMITED, limits_sql("SELECT CAST(user_id % 50 AS VARCHAR) AS key, event_id AS id, epoch_us(ts) // 1000 AS ms FROM events", 2, 21_600_000))
 add("str08_daily_counts", lambda t: feed.daily_counts(t.read("events").select(C("ts").cast("timestamp").alias("ts")), "ts"), "SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1")
 add("str09_daily_movers", lambda t: feed.top_movers(SCORES(t), 3), MOVERS)
 add("str12_hourly_ohlc", lambda t: feed.rolled_up(feed.minute_bars(BARS(t)), "1 hour").select("sym", F.unix_millis("start").alias("start_ms"), "high", "low", "volume", "n"),

@@ -3,6 +3,7 @@ subscriptions counted, requests limited per key. Every transformation works on a
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -74,6 +75,18 @@ def subscribed(bars: DataFrame, subscriptions: DataFrame) -> DataFrame:
     return bars.join(subscriptions.select("sym").distinct(), "sym", "left_semi")
 
 
+def subscribed_over_time(bars: DataFrame, controls: DataFrame, lease: str = "12 hours", lateness: str = "10 minutes") -> DataFrame:
+    """Rows of bars(sym, window_end, ...) whose contract was subscribed to at their time. controls(sym, at, id, subscribe) come
+    as they are given; the newest one up to a row's time counts, for at most the lease, by which both sides of the join of the
+    two streams let go of old rows. Rows come out when the watermark has passed them."""
+    timed = bars.withWatermark("window_end", lateness) if bars.isStreaming else bars
+    given = controls.select(F.col("sym").alias("_sym"), F.col("at").alias("_at"), F.col("id").alias("_id"), "subscribe")
+    given = given.withWatermark("_at", lateness) if controls.isStreaming else given
+    near = (F.col("sym") == F.col("_sym")) & (F.col("_at") <= F.col("window_end")) & (F.col("_at") > F.col("window_end") - F.expr(f"interval {lease}"))
+    latest = timed.join(given, near).groupBy(*bars.columns).agg(F.max_by("subscribe", F.struct(F.unix_micros("_at"), "_id")).alias("_subscribed"))
+    return latest.filter("_subscribed").drop("_subscribed")
+
+
 def activity(bars: DataFrame) -> DataFrame:
     return bars.groupBy("sym").agg(F.count("*").alias("messages"), F.max("window_end").alias("last_update"))
 
@@ -92,19 +105,62 @@ def top_movers(scores: DataFrame, n: int = 10, least: float = 5.0) -> DataFrame:
     return last.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
 
 
-def fan_out(handlers: dict[str, Callable[[DataFrame], None]], failed: Callable[[str, Exception], None]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: every handler gets the batch, and one that fails does not keep it from the others."""
+class Ledger:
+    """Which handler has finished which batch: an empty file each, which is made once or not at all."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _file(self, handler: str, batch: int):
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{handler}/{batch}")
+        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def has(self, handler: str, batch: int) -> bool:
+        at, files = self._file(handler, batch)
+        return files.exists(at)
+
+    def add(self, handler: str, batch: int) -> None:
+        at, files = self._file(handler, batch)
+        files.create(at, False).close()
+
+
+def appending(path: str, make: Callable[[DataFrame], DataFrame] = lambda b: b) -> Callable[[DataFrame, int], None]:
+    """A handler that adds what it makes of a batch to a table. A batch that comes again replaces what it wrote before."""
+
+    def handle(batch: DataFrame, number: int) -> None:
+        make(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return handle
+
+
+def fan_out(handlers: dict[str, Callable], failed: Callable[[str, Exception], None], ledger: Ledger | None = None, again: bool = False) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: every handler gets the batch, and one that fails does not keep it from the others. Handlers take the
+    batch, or the batch and its number.
+
+    With a ledger a batch that Spark plays again after a crash reaches only the handlers that had not finished it; between a
+    handler's work and its entry it can still come twice, so handlers should write as `appending` does. With `again` the batch
+    counts as failed when a handler did, so that it comes again after a restart."""
 
-    def handle(batch: DataFrame, _: int) -> None:
+    def handle(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
+        failures = []
         try:
             for name, handler in handlers.items():
+                if ledger and ledger.has(name, number):
+                    continue
                 try:
-                    handler(batch)
+                    handler(batch, number) if len(inspect.signature(handler).parameters) > 1 else handler(batch)
                 except Exception as e:  # handlers are the caller's code; their failures are reported, not raised
                     failed(name, e)
+                    failures.append(name)
+                else:
+                    if ledger:
+                        ledger.add(name, number)
         finally:
             batch.unpersist()
+        if again and failures:
+            raise RuntimeError(f"batch {number} failed in {', '.join(failures)}")
 
     return handle
 

@@ -85,3 +85,77 @@ def test_fan_out_isolates_failures(spark):
 
     feed.fan_out({"bad": broken, "good": lambda df: seen.append(df.count())}, lambda name, e: failed.append((name, str(e))))(spark.range(3), 0)
     assert (seen, failed) == ([3], [("bad", "no")])
+
+
+def _bars_in(spark):
+    from strikeline.session import scratch_path
+
+    source = scratch_path(spark, "bars")
+    spark.range(60).selectExpr("concat('s', id % 3) AS sym", "id").write.parquet(source)
+    return source
+
+
+def _play(spark, source, check, handlers, failed, **options):
+    q = spark.readStream.schema("sym string, id long").parquet(source).writeStream.foreachBatch(feed.fan_out(handlers, failed, **options)).option("checkpointLocation", check).trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+def test_a_replayed_batch_reaches_unfinished_handlers_only(spark):
+    from strikeline.session import scratch_path
+
+    source, out, books, check = _bars_in(spark), *(scratch_path(spark, n) for n in ("out", "ledger", "check"))
+    calls = []
+
+    def second(batch, number):
+        calls.append(number)
+        if len(calls) == 1:
+            raise ValueError("lost")
+
+    first = feed.appending(out)
+    counted = []
+
+    def once(batch, number):
+        counted.append(number)
+        first(batch, number)
+
+    ledger = feed.Ledger(spark, books)
+    with pytest.raises(Exception, match="failed in second"):
+        _play(spark, source, check, {"first": once, "second": second}, lambda *_: None, ledger=ledger, again=True)
+    assert ledger.has("first", 0) and not ledger.has("second", 0)
+    _play(spark, source, check, {"first": once, "second": second}, lambda *_: None, ledger=ledger, again=True)
+    assert counted == [0] and calls == [0, 0] and ledger.has("second", 0)
+    assert spark.read.parquet(out).count() == 60
+
+
+def test_a_batch_that_comes_twice_is_written_once(spark):
+    from strikeline.session import scratch_path
+
+    out = scratch_path(spark, "out")
+    write = feed.appending(out, lambda b: b.filter("id > 4"))
+    for _ in range(2):
+        write(spark.range(10), 7)
+    write(spark.range(10), 8)
+    assert sorted((r.id, r.batch) for r in spark.read.parquet(out).collect()) == [(i, b) for i in range(5, 10) for b in (7, 8)]
+
+
+def test_without_a_ledger_failures_are_reported_only(spark):
+    from strikeline.session import scratch_path
+
+    source, check, told, seen = _bars_in(spark), scratch_path(spark, "check"), [], []
+
+    def broken(batch):
+        raise ValueError("no")
+
+    _play(spark, source, check, {"broken": broken, "fine": lambda b: seen.append(b.count())}, lambda name, e: told.append((name, str(e))))
+    assert told == [("broken", "no")] and seen == [60]
+
+
+def test_subscriptions_by_time(spark):
+    """The newest control up to a row counts, for at most the lease."""
+    import datetime
+
+    at = lambda m: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=m)
+    controls = spark.createDataFrame([("a", at(10), 1, True), ("a", at(20), 2, False), ("a", at(20), 3, True), ("a", at(40), 4, False), ("b", at(0), 5, True)], "sym string, at timestamp, id long, subscribe boolean")
+    bars = spark.createDataFrame([("a", k, at(k)) for k in (5, 10, 15, 20, 39, 40, 50)] + [("b", k, at(k)) for k in (0, 29, 30, 31)] + [("c", 1, at(1))], "sym string, id long, window_end timestamp")
+    got = sorted((r.sym, r.id) for r in feed.subscribed_over_time(bars, controls, lease="30 minutes").collect())
+    assert got == [("a", 10), ("a", 15), ("a", 20), ("a", 39), ("b", 0), ("b", 29)]
