@@ -141,29 +141,37 @@ class _Files:
             stored.close()
 
 
+def _folded(rows: np.ndarray) -> np.ndarray:
+    """The least of each row of 16."""
+    for half in (8, 4, 2, 1):
+        rows = np.minimum(rows[:, :half], rows[:, half:])
+    return rows[:, 0]
+
+
 class _RangeMin:
     """The least of any range of small values: blocks of 16 and a table of their powers of two."""
 
+    _column = np.arange(16)
+
     def __init__(self, values: np.ndarray):
-        self.blocks = np.full(-(-max(len(values), 1) // 16) * 16, 255, np.uint8)
-        self.blocks[: len(values)] = values
-        self.blocks = self.blocks.reshape(-1, 16)
-        self.table = [self.blocks.min(axis=1)]
+        blocks = np.full(-(-max(len(values), 1) // 16) * 16, 255, np.uint8)
+        blocks[: len(values)] = values
+        self.blocks, least = blocks.reshape(-1, 16), blocks
+        for _ in range(4):
+            least = np.minimum(least[::2], least[1::2])
+        self.table = [least]
         while len(self.table[-1]) > 1 << (len(self.table) - 1):
             last, step = self.table[-1], 1 << (len(self.table) - 1)
             self.table.append(np.minimum(last[:-step], last[step:]))
-            if len(self.table[-1]) <= 1 << (len(self.table) - 1):
-                break
 
     def __call__(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """From low to high, both included."""
-        column = np.arange(16)
         first, last = low >> 4, high >> 4
-        left, right = self.blocks[first].copy(), self.blocks[last].copy()
-        left[column < (low & 15)[:, None]] = 255
-        right[column > (high & 15)[:, None]] = 255
+        # What lies outside a range is raised to the largest value.
+        left = self.blocks[first] | np.where(self._column < (low & 15)[:, None], 255, 0).astype(np.uint8)
+        right = self.blocks[last] | np.where(self._column > (high & 15)[:, None], 255, 0).astype(np.uint8)
         one = first == last
-        out = np.where(one, np.maximum(left, right).min(axis=1), np.minimum(left.min(axis=1), right.min(axis=1)))
+        out = np.where(one, _folded(left | right), np.minimum(_folded(left), _folded(right)))
         far = np.flatnonzero(last - first > 1)
         if len(far):
             a, b = first[far] + 1, last[far] - 1
@@ -195,22 +203,24 @@ def order_collection(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, c
     [starts[d], starts[d] + sizes[d]), numbered from 1; sizes fall."""
     n = len(starts)
     place = np.arange(n)
-    kind = np.int32 if int(sizes.sum()) + n < 2**31 else np.int64
-    files = _Files(order=np.zeros(0, kind), words=np.zeros(0, np.int64), common=np.zeros(n, np.uint8), owner=np.zeros(n, np.int64))
+    if int(sizes.sum()) + n >= 2**31:
+        raise ValueError("a collection must stay below 2^31 words")
+    kind = np.int32 if n < 1 << 15 else np.int64
+    files = _Files(order=np.zeros(0, np.int32), words=np.zeros(0, np.int32), common=np.zeros(n, np.uint8), owner=np.zeros(n, kind))
     keep = None  # where the last round moved what was there
     for j in range(1, int(sizes[0]) + 1 if n else 1):
         active = int(np.searchsorted(-sizes, -j, side="right"))
-        word = words[starts[:active] + sizes[:active] - j].astype(np.int64)
+        word = words[starts[:active] + sizes[:active] - j]
         order, known, common, owner = (files.get(x) for x in ("order", "words", "common", "owner"))
         if keep is not None:
-            order = keep[order]
+            order = keep.astype(np.int32)[order]
         # The new words take their places among equal ones by the places of their suffixes.
         big = len(common)
-        mine = word * big + place[:active]
-        turn = np.argsort(mine, kind="stable")
-        at = np.searchsorted(known * big + order, mine[turn]) + np.arange(active)
+        mine = word.astype(np.int64) * big + place[:active]
+        turn = np.argsort(mine)
+        at = np.searchsorted(known.astype(np.int64) * big + order, mine[turn]) + np.arange(active)
         keep = _kept(len(order) + active, at)
-        order, known = _spread(order, place[turn], at, keep), _spread(known, word[turn], at, keep)
+        order, known = _spread(order, place[:active][turn], at, keep), _spread(known, word[turn], at, keep)
         # Common prefixes with the neighbours in the order, as far as those begin with the same word.
         before, after = np.zeros(active, np.uint8), np.zeros(active, np.uint8)
         least = _RangeMin(common)
@@ -226,7 +236,7 @@ def order_collection(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, c
         common[new[has_next] + 1] = after[has_next]
         place = np.empty(active, np.int64)
         place[turn] = new
-        files.put(order=order.astype(kind), words=known, common=common, owner=owner)
+        files.put(order=order, words=known, common=common, owner=owner)
     owner, common = files.get("owner")[n:], files.get("common")[n:]
     files.close()
     return owner, common
