@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strikeline.operators import merging, views
+from strikeline.operators import asof, merging, views
 from strikeline.plans.registry import add
 from strikeline.sources import sinks
 
@@ -169,6 +169,41 @@ add("win15_rolling_rank", rolling_rank, """WITH w AS (SELECT symbol, date, iv, m
     SELECT symbol, date, coalesce((iv - lo) / nullif(hi - lo, 0), 0.5e0) * 100 AS iv_rank, len(list_filter(seen, lambda x: x <= iv)) / len(seen) * 100 AS iv_percentile FROM w""")
 
 
+def as_of_vol(t):
+    """Every third quote with the newest other quote of its symbol that has a vol, at most an hour old."""
+    quotes = t.chain.select("id", "act_symbol", C("created_at").cast("timestamp").alias("at"), "vol")
+    found = asof.asof_join(quotes.filter("id % 3 = 0"), quotes.filter("id % 3 <> 0 and vol is not null"), ["act_symbol"], "at", "at", "id", tolerance_us=3_600_000_000)
+    return found.select("id", C("match.id").alias("from_id"), C("match.vol").alias("vol_then"))
+
+
+add("win03b_as_of_join", as_of_vol, """WITH q AS (SELECT id, act_symbol, created_at AS tm, vol FROM chain), r AS (SELECT act_symbol, tm, max(id) AS id, arg_max(vol, id) AS vol FROM q WHERE id % 3 <> 0 AND vol IS NOT NULL GROUP BY 1, 2)
+    SELECT l.id, CASE WHEN l.tm - r.tm <= INTERVAL 1 HOUR THEN r.id END AS from_id, CASE WHEN l.tm - r.tm <= INTERVAL 1 HOUR THEN r.vol END AS vol_then
+    FROM (SELECT * FROM q WHERE id % 3 = 0) l ASOF LEFT JOIN r ON l.act_symbol = r.act_symbol AND l.tm >= r.tm""")
+
+
+def realised_moves(t):
+    """Every forecast with the spot of the first day from its expiration on, at most ten days later."""
+    spots = t.chain.groupBy(C("act_symbol").alias("underlying"), F.date_add("date", 9).alias("day")).agg(F.avg("ask").alias("spot"))
+    found = asof.asof_join(t.em.filter("dayofmonth(quote_ts) % 3 = 0"), spots.filter("dayofmonth(day) % 4 = 0"), ["underlying"], "exp_date", "day", "day", tolerance_us=10 * 86_400_000_000, forward=True)
+    return found.select("underlying", "quote_ts", "exp_date", C("match.day").alias("day"), C("match.spot").alias("spot"))
+
+
+add("emv14b_realised", realised_moves, """WITH s AS (SELECT act_symbol AS underlying, CAST(date + 9 AS DATE) AS day, avg(ask) AS spot FROM chain GROUP BY 1, 2 HAVING day(CAST(date + 9 AS DATE)) % 4 = 0)
+    SELECT l.underlying, l.quote_ts, l.exp_date, CASE WHEN s.day - l.exp_date <= 10 THEN s.day END AS day, CASE WHEN s.day - l.exp_date <= 10 THEN s.spot END AS spot
+    FROM (SELECT * FROM em WHERE day(quote_ts) % 3 = 0) l ASOF LEFT JOIN s ON l.underlying = s.underlying AND l.exp_date <= s.day""")
+
+
+def order_series(t):
+    """Years of days for five symbols."""
+    value = (F.sum("o_orderkey") % 97).cast("double") / 64
+    return t.read("orders").groupBy((C("o_custkey") % 5).alias("symbol"), C("o_orderdate").cast("date").alias("date")).agg(value.alias("iv"))
+
+
+add("win15b_yearly_rank", lambda t: asof.rolling_rank(order_series(t), "symbol", "date", "iv", 252), """WITH s AS (SELECT o_custkey % 5 AS symbol, CAST(o_orderdate AS DATE) AS date, CAST(sum(o_orderkey) % 97 AS DOUBLE) / 64 AS iv FROM orders GROUP BY 1, 2),
+    w AS (SELECT *, min(iv) OVER r AS lo, max(iv) OVER r AS hi, list(iv) OVER r AS seen FROM s WINDOW r AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW))
+    SELECT symbol, date, coalesce((iv - lo) / nullif(hi - lo, 0), 0.5e0) * 100 AS iv_rank, len(list_filter(seen, lambda x: x <= iv)) / len(seen) * 100 AS iv_percentile FROM w""")
+
+
 def train_split(t, part=0.85):
     """In time order, the first part for training; ordered by a distributed count of what comes before."""
     order = [C(k) for k in ("quote_ts", "underlying", "exp_date")]
