@@ -33,9 +33,16 @@ def atm_options(chain: DataFrame, within: float = 5.0) -> DataFrame:
 
 
 def recent(chain: DataFrame, days: int = 30) -> DataFrame:
-    """Quotes of the last calendar days up to the newest date."""
-    newest = chain.agg(F.max("date").alias("_newest"))
-    return chain.join(F.broadcast(newest), F.col("date") >= F.date_sub("_newest", days)).drop("_newest")  # one row
+    """Quotes of the last calendar days up to the newest date. The date is found first, so that of a table in daily folders only
+    those of the wanted days are read."""
+    newest = chain.agg(F.max("date")).scalar()
+    return chain.filter(F.col("date") >= F.date_sub(newest, days))
+
+
+def latest(chain: DataFrame, symbol: str) -> DataFrame:
+    """Quotes of a symbol's newest date, found first as for `recent`."""
+    rows = chain.filter(F.col("act_symbol") == symbol)
+    return rows.filter(F.col("date") == rows.agg(F.max("date")).scalar())
 
 
 def market_quality(chain: DataFrame, by: list[str], liquid: Column | None = None) -> DataFrame:

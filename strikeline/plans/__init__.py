@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("scans", "relations", "domain", "serving", "stores", "streams")
+MODULES = ("scans", "relations", "domain", "serving", "stores", "streams", "folders")
 
 
 def load() -> tuple[dict, dict]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strikeline.functions import expressions as X
+from strikeline.operators import views
 from strikeline.plans.registry import add
 from strikeline.sources import readers, sinks
 
@@ -74,10 +75,6 @@ HORIZON = lambda: F.element_at(F.array(*map(F.lit, ("daily", "weekly", "monthly"
 add("prj20_bar_width", lambda t: t.chain.select("id", X.bar_width(C("theta") * 8, HORIZON()).alias("width")), "SELECT id, least(abs(theta * 8) / [5e0, 15e0, 25e0][CAST(id % 3 + 1 AS INTEGER)] * 100, 100) AS width FROM chain")
 
 # filters
-def latest_for(t, symbol="SYM3"):
-    return t.chain.filter(C("act_symbol") == symbol).agg(F.max("date").alias("_d"))
-
-
 ALL = "id, date, act_symbol, strike"
 pick = lambda df: df.select("id", "date", "act_symbol", "strike")
 EM = ["underlying", "quote_ts", "exp_date", "em_baseline"]
@@ -101,14 +98,8 @@ add("flt13_monthly", lambda t: pick(t.chain.filter(F.dayofmonth("expiration").be
 add("flt14_iv_outliers", lambda t: t.vol.filter((C("iv") > 0) & (C("iv") < 10)).select("date", "symbol", "iv"), "SELECT date, symbol, iv FROM vol WHERE iv > 0 AND iv < 10")
 
 
-def _recent(t):
-    from strikeline.operators import views
-
-    return pick(views.recent(t.chain, 7))
-
-
-add("flt15_recent", _recent, f"SELECT {ALL} FROM chain WHERE date >= (SELECT max(date) FROM chain) - 7")
-add("flt16_latest_date", lambda t: pick(t.chain.filter(C("act_symbol") == "SYM3").join(F.broadcast(latest_for(t)), C("date") == C("_d"))),
+add("flt15_recent", lambda t: pick(views.recent(t.chain, 7)), f"SELECT {ALL} FROM chain WHERE date >= (SELECT max(date) FROM chain) - 7")
+add("flt16_latest_date", lambda t: pick(views.latest(t.chain, "SYM3")),
     f"SELECT {ALL} FROM chain WHERE act_symbol = 'SYM3' AND date = (SELECT max(date) FROM chain WHERE act_symbol = 'SYM3')")
 add("flt17_latest_rows", lambda t: t.em.join(t.em.groupBy("underlying").agg(F.max("quote_ts").alias("quote_ts")), ["underlying", "quote_ts"], "left_semi").select(*EM),
     "SELECT underlying, quote_ts, exp_date, em_baseline FROM em WHERE (underlying, quote_ts) IN (SELECT (underlying, max(quote_ts)) FROM em GROUP BY underlying)")
