@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strikeline.operators import chain as chains
-from strikeline.operators import modelling, views
+from strikeline.operators import boosting, modelling, views
 from strikeline.plans import replay
 from strikeline.plans.domain import EMKEY, FEATURES, LABELS, SPOTS
 from strikeline.plans.registry import add
@@ -232,6 +232,18 @@ def _saved_model(t):
 add("mlt04_saved_model", _saved_model)
 
 
+def _quantile_bands(t):
+    """Quantile models of the earlier rows, saved with their facts and loaded again, on each underlying's newest features."""
+    frame, features, target = modelling.training_frame(FEATURES(t), LABELS(t), EMKEY)
+    first, last = boosting.early(frame, "quote_ts")
+    path = scratch_path(t.spark, "quantiles")
+    boosting.fit(first, features, trees=4, depth=2, rate=0.2, bins=16).save(t.spark, path, model_family="em_quantile", n_train=first.count(), n_valid=last.count(), features=",".join(features), target=target)
+    return boosting.QuantileModels.load(t.spark, path).predict(modelling.latest_features(FEATURES(t)), EMKEY)
+
+
+add("mlt03_quantile_bands", _quantile_bands)
+
+
 # feeds, as streams over files that have landed
 def _land_frames(t, path: str, wanted: str = "true") -> None:
     BARS(t).filter(wanted).select(F.to_json(F.struct("ev", "sym", "o", "h", "l", "c", "v", "s", "e")).alias("value")).write.mode("append").text(path)
