@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strikeline.functions.fixed_values import CDF_A, CDF_P
@@ -76,6 +76,39 @@ def rho(is_call, spot, strike, years, rate, dividend, vol) -> Column:
     return sign * strike * years * F.exp(-rate * years) * norm_cdf(sign * d2(spot, strike, years, rate, dividend, vol)) / 100
 
 
+def valued(df: DataFrame, wanted: list[str], is_call: Column, spot: Column, strike: Column, years: Column, rate: Column, dividend: Column, vol: Column) -> DataFrame:
+    """df with the wanted ones of price, delta, gamma, theta, vega and rho, as the functions of those names give them. What they
+    share is a column of its own first: d1, d2, the discounts, and one tail of the normal distribution for each of d1 and d2,
+    which serves both signs."""
+    terms = {"_call": is_call, "_s": spot, "_k": strike, "_t": years, "_r": rate, "_q": dividend, "_v": vol}
+    c = {n: F.col(n) for n in [*terms, "_root", "_d1", "_d2", "_dq", "_dr", "_g", "_u1", "_u2", "_n1", "_n2", "_p1"]}
+    out = df.withColumns(terms)
+    out = out.withColumns({"_root": F.sqrt(c["_t"]), "_dq": F.exp(-c["_q"] * c["_t"]), "_dr": F.exp(-c["_r"] * c["_t"]), "_g": F.when(c["_call"], 1.0).otherwise(-1.0)})
+    out = out.withColumn("_d1", d1(*(c[n] for n in ("_s", "_k", "_t", "_r", "_q", "_v"))))
+    out = out.withColumn("_d2", c["_d1"] - c["_v"] * c["_root"])
+    out = out.withColumns({f"_u{k}": 1 / (1 + CDF_P * (F.abs(c[f"_d{k}"]) / math.sqrt(2))) for k in (1, 2)})
+
+    def cumulative(k: int) -> Column:
+        series, d = F.lit(0.0), c[f"_d{k}"]
+        for a in reversed(CDF_A):
+            series = (series + a) * c[f"_u{k}"]
+        return 0.5 * series * F.exp(-0.5 * d * d)
+
+    out = out.withColumns({"_n1": cumulative(1), "_n2": cumulative(2), "_p1": norm_pdf(c["_d1"])})
+    out = out.withColumns({f"_n{k}": F.when(c["_g"] * c[f"_d{k}"] < 0, c[f"_n{k}"]).otherwise(1 - c[f"_n{k}"]) for k in (1, 2)})
+    held, owed = c["_s"] * c["_dq"], c["_k"] * c["_dr"]
+    made = {
+        "price": F.when(c["_d1"].isNotNull(), F.greatest(F.lit(0.0), c["_g"] * (held * c["_n1"] - owed * c["_n2"]))),
+        "delta": c["_g"] * c["_dq"] * c["_n1"],
+        "gamma": c["_dq"] * c["_p1"] / (c["_s"] * c["_v"] * c["_root"]),
+        "theta": (-held * c["_p1"] * c["_v"] / (2 * c["_root"]) + c["_g"] * (c["_q"] * held * c["_n1"] - c["_r"] * owed * c["_n2"])) / 365,
+        "vega": held * c["_p1"] * c["_root"] / 100,
+        "rho": c["_g"] * owed * c["_t"] * c["_n2"] / 100,
+    }
+    # A null d1 means invalid terms; the tails of the other branch must not stand in for it.
+    return out.select(*[x for x in df.columns if x not in wanted], *[F.when(c["_d1"].isNotNull(), made[w]).alias(w) for w in wanted])
+
+
 def implied_vol(market: Column, is_call: Column, spot: Column, strike: Column, years: Column, rate: Column, dividend: Column) -> Column:
     """Volatility at which the price is `market`, by halving the bracket. At or below intrinsic value the lower end, beyond
     the bracket the nearer end, null for a price that is not positive or for invalid terms."""

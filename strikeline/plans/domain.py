@@ -22,6 +22,7 @@ r9 = lambda c: F.round(c, 9)
 T = lambda: F.datediff("expiration", "date") / 365
 TERMS = lambda: (C("spot"), C("strike"), T(), F.lit(0.05), F.lit(0.01), C("vol"))
 OPTIONS = lambda t: t.chain.filter("vol is not null")
+GREEK = lambda t, name: P.valued(OPTIONS(t).drop("delta", "gamma", "theta", "vega"), [name], CALL(), *TERMS()).select("id", r9(name).alias(name))
 
 
 def cdf(x: str) -> str:
@@ -43,13 +44,13 @@ PRICE = f"greatest(0e0, g * (spot * exp(-0.01e0 * t) * {cdf('(g * d1)')} - strik
 add("bsm01_norm_cdf", lambda t: t.chain.select("id", r9(P.norm_cdf(C("delta") * 4)).alias("cdf")), f"SELECT id, round({cdf('(delta * 4)')}, 9) AS cdf FROM chain")
 add("bsm02_norm_pdf", lambda t: t.chain.select("id", r9(P.norm_pdf(C("delta") * 4)).alias("pdf")), f"SELECT id, round({pdf('(delta * 4)')}, 9) AS pdf FROM chain")
 add("bsm03_d1_d2", lambda t: OPTIONS(t).select("id", r9(P.d1(*TERMS())).alias("d1"), r9(P.d2(*TERMS())).alias("d2")), B + "SELECT id, round(d1, 9) AS d1, round(d2, 9) AS d2 FROM b")
-add("bsm04_price", lambda t: OPTIONS(t).select("id", r9(P.price(CALL(), *TERMS())).alias("price")), B + f"SELECT id, round({PRICE}, 9) AS price FROM b")
-add("bsm05_delta", lambda t: OPTIONS(t).select("id", r9(P.delta(CALL(), *TERMS())).alias("delta")), B + f"SELECT id, round(g * exp(-0.01e0 * t) * {cdf('(g * d1)')}, 9) AS delta FROM b")
-add("bsm06_gamma", lambda t: OPTIONS(t).select("id", r9(P.gamma(*TERMS())).alias("gamma")), B + f"SELECT id, round(exp(-0.01e0 * t) * {pdf('d1')} / (spot * vol * sqrt(t)), 9) AS gamma FROM b")
-add("bsm07_theta", lambda t: OPTIONS(t).select("id", r9(P.theta(CALL(), *TERMS())).alias("theta")),
+add("bsm04_price", lambda t: GREEK(t, "price"), B + f"SELECT id, round({PRICE}, 9) AS price FROM b")
+add("bsm05_delta", lambda t: GREEK(t, "delta"), B + f"SELECT id, round(g * exp(-0.01e0 * t) * {cdf('(g * d1)')}, 9) AS delta FROM b")
+add("bsm06_gamma", lambda t: GREEK(t, "gamma"), B + f"SELECT id, round(exp(-0.01e0 * t) * {pdf('d1')} / (spot * vol * sqrt(t)), 9) AS gamma FROM b")
+add("bsm07_theta", lambda t: GREEK(t, "theta"),
     B + f"SELECT id, round((-spot * exp(-0.01e0 * t) * {pdf('d1')} * vol / (2 * sqrt(t)) + g * (0.01e0 * spot * exp(-0.01e0 * t) * {cdf('(g * d1)')} - 0.05e0 * strike * exp(-0.05e0 * t) * {cdf('(g * d2)')})) / 365, 9) AS theta FROM b")
-add("bsm08_vega", lambda t: OPTIONS(t).select("id", r9(P.vega(*TERMS())).alias("vega")), B + f"SELECT id, round(spot * exp(-0.01e0 * t) * {pdf('d1')} * sqrt(t) / 100, 9) AS vega FROM b")
-add("bsm09_rho", lambda t: OPTIONS(t).select("id", r9(P.rho(CALL(), *TERMS())).alias("rho")), B + f"SELECT id, round(g * strike * t * exp(-0.05e0 * t) * {cdf('(g * d2)')} / 100, 9) AS rho FROM b")
+add("bsm08_vega", lambda t: GREEK(t, "vega"), B + f"SELECT id, round(spot * exp(-0.01e0 * t) * {pdf('d1')} * sqrt(t) / 100, 9) AS vega FROM b")
+add("bsm09_rho", lambda t: GREEK(t, "rho"), B + f"SELECT id, round(g * strike * t * exp(-0.05e0 * t) * {cdf('(g * d2)')} / 100, 9) AS rho FROM b")
 
 
 def _implied(t):
@@ -59,6 +60,17 @@ def _implied(t):
 
 add("bsm10_implied_vol", _implied)
 
+
+def _repriced(t):
+    """The price at the volatility that was found is the price it was found for."""
+    priced = P.valued(OPTIONS(t), ["price"], CALL(), *TERMS())
+    found = priced.withColumn("found", P.implied_vol_bulk(C("price"), CALL(), *TERMS()[:-1])).withColumnRenamed("price", "given")
+    again = P.valued(found, ["price"], CALL(), *TERMS()[:-1], C("found"))
+    return again.select("id", r9("given").alias("given"), (F.abs(C("price") - C("given")) < 1e-6).alias("repriced"))
+
+
+add("bsm10b_repriced", _repriced, B + f"SELECT id, round({PRICE}, 9) AS given, true AS repriced FROM b")
+
 # expected moves
 EM_SQL = """WITH s AS (SELECT act_symbol, expiration, strike, max(spot) AS spot, max(bid) FILTER (call_put = 'C') AS cb, max(ask) FILTER (call_put = 'C') AS ca, max(vol) FILTER (call_put = 'C') AS cv, max(volume) FILTER (call_put = 'C') AS cn,
       max(bid) FILTER (call_put = 'P') AS pb, max(ask) FILTER (call_put = 'P') AS pa, max(vol) FILTER (call_put = 'P') AS pv, max(volume) FILTER (call_put = 'P') AS pn FROM latest_chain GROUP BY 1, 2, 3 HAVING count(DISTINCT call_put) = 2),

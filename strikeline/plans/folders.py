@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -126,3 +127,53 @@ add("agg01b_refreshed_days", lambda t: refreshed(t).daily_iv(), "SELECT date, ac
 add("agg02b_refreshed_symbols", lambda t: refreshed(t).symbols().drop("median_iv"), """SELECT act_symbol, min(date) AS first_date, max(date) AS last_date, count(*) AS total_options, avg(vol) AS avg_iv, count(DISTINCT date) AS trading_days,
     min(vol) AS min_iv, max(vol) AS max_iv FROM chain WHERE vol IS NOT NULL GROUP BY 1""")
 add("agg03b_refreshed_metadata", lambda t: refreshed(t).metadata(datetime.date(2024, 1, 30)), "SELECT act_symbol, min(date) AS first_date, max(date) AS last_date, count(*) AS total_options, DATE '2024-01-30' AS loaded_at FROM chain WHERE vol IS NOT NULL GROUP BY 1")
+
+
+def written_order(t: Tables, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Where each row lies in the files of a table that was written in the order of its keys."""
+    path = scratch_path(t.spark, "ordered")
+    sinks.clustered(rows, keys).write.parquet(path)
+    return sinks.positions(t.spark.read.parquet(path))
+
+
+add("srt12b_clustered_order", lambda t: written_order(t, t.chain.select("id", "date", "act_symbol", "strike"), ["date", "act_symbol", "strike", "id"]).select("id", "position"),
+    "SELECT id, row_number() OVER (ORDER BY date, act_symbol, strike, id) AS position FROM chain")
+add("srt03b_series_order", lambda t: written_order(t, t.em.filter("underlying = 'SYM1'").select(*EMKEY), ["quote_ts", "exp_date", "horizon"]).select("quote_ts", "exp_date", "horizon", "position"),
+    "SELECT quote_ts, exp_date, horizon, row_number() OVER (ORDER BY quote_ts, exp_date, horizon) AS position FROM em WHERE underlying = 'SYM1'")
+
+
+def database(t: Tables, rows: DataFrame, table: str) -> str:
+    """A table of the embedded database that comes with Spark, its texts short enough to be compared there."""
+    url = f"jdbc:derby:memory:{table}{uuid.uuid4().hex};create=true"
+    texts = ", ".join(f"{c} VARCHAR(40)" for c, k in rows.dtypes if k == "string")
+    sinks.write_jdbc(rows, url, table, createTableColumnTypes=texts)
+    return url
+
+
+def scanned_database(t: Tables) -> DataFrame:
+    """In ranges of the symbol's number."""
+    url = database(t, t.em.withColumn("part", F.substring("underlying", 4, 9).cast("int")), "forecasts")
+    return readers.jdbc(t.spark, url, "forecasts", "part", 0, 10, 4).drop("part")
+
+
+add("src06_database_scan", scanned_database, "SELECT * FROM em")
+add("src07_database_read", lambda t: readers.jdbc(t.spark, database(t, t.em, "forecasts"), """(SELECT "underlying", "quote_ts", "em_baseline" FROM forecasts WHERE "horizon" = 'to_exp') AS f""").filter("underlying = 'SYM4'"),
+    "SELECT underlying, quote_ts, em_baseline FROM em WHERE horizon = 'to_exp' AND underlying = 'SYM4'")
+
+
+def history_database(t: Tables) -> DataFrame:
+    """The local history: chain and volatility of one symbol, joined by Spark."""
+    chain, vol = database(t, t.chain.select("id", "date", "act_symbol", "strike"), "options_chain"), database(t, t.vol.select("date", "symbol", "iv"), "volatility_history")
+    rows = readers.jdbc(t.spark, chain, "options_chain").filter("act_symbol = 'SYM6'")
+    return rows.join(readers.jdbc(t.spark, vol, "volatility_history").filter("symbol = 'SYM6'").drop("symbol"), "date").select("id", "date", "strike", "iv")
+
+
+add("src09_local_history", history_database, "SELECT c.id, c.date, c.strike, v.iv FROM chain c JOIN vol v ON v.symbol = c.act_symbol AND v.date = c.date WHERE c.act_symbol = 'SYM6'")
+
+
+def merged_database(t: Tables) -> DataFrame:
+    url = database(t, t.em_a, "forecasts")
+    return sinks.upsert_jdbc(t.em_b.withColumn("em_baseline", C("em_baseline") * 2), url, "forecasts", "forecasts_staging", EMKEY, createTableColumnTypes="underlying VARCHAR(40), horizon VARCHAR(40)")
+
+
+add("snk09_database_merge", merged_database, "SELECT em_a.* FROM em_a, clock WHERE quote_ts < d - 2 UNION ALL SELECT * REPLACE (em_baseline * 2 AS em_baseline) FROM em_b")

@@ -246,7 +246,7 @@ add("srt08_strikes", lambda t: top(t.chain, 500, "expiration", "strike", "call_p
 add("srt09_nearest_strikes", lambda t: top(t.chain, 30, F.abs(C("strike") - 100), "id").select("id"), "SELECT id FROM chain ORDER BY abs(strike - 100), id LIMIT 30")
 add("srt10_most_options", lambda t: top(views.symbol_summary(t.chain), 4, F.desc("total_options"), "act_symbol").select("act_symbol", "total_options"), "SELECT act_symbol, count(*) AS total_options FROM chain WHERE vol IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 4")
 add("srt11_highest_iv", lambda t: top(views.symbol_summary(t.chain), 5, F.desc("avg_iv"), "act_symbol").select("act_symbol", "avg_iv"), "SELECT act_symbol, avg(vol) AS avg_iv FROM chain WHERE vol IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
-add("srt12_clustered", lambda t: t.chain.repartition("act_symbol").sortWithinPartitions("date", "act_symbol", "strike").select("id", "date", "act_symbol"), "SELECT id, date, act_symbol FROM chain")
+add("srt12_clustered", lambda t: sinks.clustered(t.chain, ["date", "act_symbol", "strike"]).select("id", "date", "act_symbol"), "SELECT id, date, act_symbol FROM chain")
 add("srt13_page", lambda t: t.chain.orderBy("date", "act_symbol", "strike", "id").offset(200).limit(100).select("id"), "SELECT id FROM chain ORDER BY date, act_symbol, strike, id LIMIT 100 OFFSET 200")
 add("srt14_top_scores", lambda t: top(t.chain.groupBy("act_symbol").agg(F.max("ask").alias("score")), 3, F.desc("score"), F.desc("act_symbol")), "SELECT act_symbol, max(ask) AS score FROM chain GROUP BY 1 ORDER BY 2 DESC, 1 DESC LIMIT 3")
 add("srt15_sorted_strikes", lambda t: t.latest_chain.groupBy("act_symbol", "expiration").agg(F.array_join(F.array_sort(F.collect_set("strike")), ",").alias("strikes")), "SELECT act_symbol, expiration, array_to_string(list_sort(list(DISTINCT strike)), ',') AS strikes FROM latest_chain GROUP BY 1, 2")

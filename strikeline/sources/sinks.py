@@ -65,6 +65,21 @@ def export_table(df: DataFrame, path: str) -> None:
     df.orderBy(df.columns[0]).write.mode("overwrite").option("compression", "snappy").parquet(path)
 
 
+def clustered(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows in ranges of the keys, sorted inside: written out, the files follow each other in order. A frequent first key takes as
+    many tasks as its rows ask for."""
+    return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+
+
+def positions(df: DataFrame) -> DataFrame:
+    """Rows of written files with `position`, their place from 1 in the order of the files' names and of the rows in them."""
+    placed = df.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    files = placed.groupBy("_file").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
+    files = files.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return placed.join(files, "_file").withColumn("position", F.col("_before") + F.col("_row") + 1).drop("_file", "_row", "_before")
+
+
 def clean_quotes(chain: DataFrame) -> DataFrame:
     """Quotes fit for modelling, with mid and days to expiry, keyed for the per-symbol layout."""
     good = chain.filter("bid > 0 and ask > bid and vol > 0")

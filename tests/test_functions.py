@@ -66,3 +66,19 @@ def test_window_days(spark, text, days):
 def test_side_and_underlying(spark):
     df = spark.createDataFrame([("Call", "O:AAPL240119C"), ("put", "x"), (" p", None), ("?", "O:")], "s string, t string")
     assert [tuple(r) for r in df.select(X.side(C("s")), X.underlying_of(C("t"))).collect()] == [("C", "AAPL"), ("P", "UNKNOWN"), ("P", "UNKNOWN"), (None, "UNKNOWN")]
+
+
+def test_values_together_and_alone_agree(spark):
+    """The columns that share their parts, and the functions that do not, also where terms are invalid."""
+    from strikeline.functions import pricing as P
+
+    rows = [(c, s, 100.0, t, v) for c in (True, False) for s in (40.0, 99.0, 160.0, None, 0.0) for t in (0.0, 0.1, 2.0) for v in (0.05, 0.6, None, 0.0)]
+    df = spark.createDataFrame(rows, "c boolean, s double, k double, t double, v double")
+    terms = (F.col("s"), F.col("k"), F.col("t"), F.lit(0.05), F.lit(0.01), F.col("v"))
+    names = ["price", "delta", "gamma", "theta", "vega", "rho"]
+    sided = {"price", "delta", "theta", "rho"}
+    alone = df.select("*", *[(getattr(P, n)(F.col("c"), *terms) if n in sided else getattr(P, n)(*terms)).alias(f"{n}_alone") for n in names])
+    for r in P.valued(alone, names, F.col("c"), *terms).collect():
+        for n in names:
+            a, b = r[n], r[f"{n}_alone"]
+            assert (a is None) == (b is None) and (a is None or abs(a - b) < 1e-12), (n, r)
