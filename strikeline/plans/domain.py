@@ -62,14 +62,15 @@ add("bsm10_implied_vol", _implied)
 
 
 def _repriced(t):
-    """The price at the volatility that was found is the price it was found for, where it is one that can be told from 0."""
-    priced = P.valued(OPTIONS(t), ["price"], CALL(), *TERMS()).filter(r9("price") > 0.01)
+    """The price at the volatility that was found is the price it was found for, where it has a time value to speak of."""
+    intrinsic = F.greatest(F.lit(0.0), F.when(CALL(), C("spot") - C("strike")).otherwise(C("strike") - C("spot")))
+    priced = P.valued(OPTIONS(t), ["price"], CALL(), *TERMS()).filter(r9("price") - intrinsic > 0.01)
     found = priced.withColumn("found", P.implied_vol_bulk(C("price"), CALL(), *TERMS()[:-1])).withColumnRenamed("price", "given")
     again = P.valued(found, ["price"], CALL(), *TERMS()[:-1], C("found"))
     return again.select("id", r9("given").alias("given"), (F.abs(C("price") - C("given")) < 1e-6).alias("repriced"))
 
 
-add("bsm10b_repriced", _repriced, B + f"SELECT id, round({PRICE}, 9) AS given, true AS repriced FROM b WHERE round({PRICE}, 9) > 0.01e0")
+add("bsm10b_repriced", _repriced, B + f"SELECT id, round({PRICE}, 9) AS given, true AS repriced FROM b WHERE round({PRICE}, 9) - greatest(0e0, g * (spot - strike)) > 0.01e0")
 
 # expected moves
 EM_SQL = """WITH s AS (SELECT act_symbol, expiration, strike, max(spot) AS spot, max(bid) FILTER (call_put = 'C') AS cb, max(ask) FILTER (call_put = 'C') AS ca, max(vol) FILTER (call_put = 'C') AS cv, max(volume) FILTER (call_put = 'C') AS cn,
