@@ -9,6 +9,7 @@ phrase however many items have them, and the places of a phrase in a document ar
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,10 @@ WINDOW_WORDS = 13
 CONTAMINATED_PART = 20
 #: Rarest terms of a phrase whose lists are intersected before its words are compared with the text.
 RAREST = 3
+#: More of them are met while so many places would be left by chance.
+EXPECTED = 1000
+#: Phrases that meet the lists of a block together.
+PHRASES = 50_000
 GAP = 64
 BLOCK_BYTES = 6 << 20
 
@@ -108,73 +113,86 @@ def _unpack(raw: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(raw, np.int32), dtype=np.int32)
 
 
-def _meet(begins: pd.Series, shift: pd.Series, positions: pd.Series, offset: pd.Series, slop: pd.Series) -> pd.Series:
-    out = []
-    for raw, b, p, o, s in zip(begins, shift, positions, offset, slop, strict=True):
-        own, other = _unpack(raw) - np.int32(b), _unpack(p) - np.int32(o)
-        if s:  # some occurrence at most s words from where the phrase has it
-            at = np.searchsorted(other, own - s)
-            met = own[(at < len(other)) & (other[np.minimum(at, len(other) - 1)] <= own + s)]
-        else:
-            met = np.intersect1d(own, other, assume_unique=True)
-        out.append(_pack(met))
-    return pd.Series(out, dtype=object)
+def _met(own: np.ndarray, other: np.ndarray, offset: int, slop: int) -> np.ndarray:
+    """Those places of own from which other has the word at the offset, or at most slop words away from there."""
+    wanted = own + np.int32(offset)
+    at = np.minimum(np.searchsorted(other, wanted - np.int32(slop)), len(other) - 1)
+    return own[np.abs(other[at] - wanted) <= slop]
 
 
 def _pack(places: np.ndarray) -> bytes:
     return np.diff(places, prepend=np.int32(0)).astype(np.int32).tobytes()
 
 
-def _in_docs(begins: pd.Series, shift: pd.Series, starts: pd.Series, docs: pd.Series) -> pd.Series:
-    """The places of a block by document, a packed list for each."""
-    out = []
-    for raw, b, s, names in zip(begins, shift, starts, docs, strict=True):
-        own, s = _unpack(raw) - np.int32(b), np.frombuffer(s, np.int32)
-        doc = np.maximum(np.searchsorted(s, own, side="right") - 1, 0)
+FOUND = "phrase long, doc long, places binary"
+FOUND_ARROW = pa.schema([("phrase", pa.int64()), ("doc", pa.int64()), ("places", pa.binary())])
+
+
+def _in_block(lists: pa.Table, phrases: pa.Table, slop: int) -> pa.Table:
+    """Where the lists of a block meet for each phrase, by document. Every list is unpacked once, whatever number of phrases has
+    its term."""
+    names, packed = lists.column("term").to_pylist(), lists.column("positions").to_pylist()
+    raw, plain = dict(zip(names, packed, strict=True)), {}
+    starts = np.frombuffer(raw[None], np.int32) if None in raw else np.zeros(0, np.int32)
+    docs = next((d for n, d in zip(names, lists.column("docs").to_pylist(), strict=True) if n is None), [])
+    rows: dict[str, list] = {"phrase": [], "doc": [], "places": []}
+
+    def positions(term: str) -> np.ndarray:
+        if term not in plain:
+            plain[term] = _unpack(raw[term])
+        return plain[term]
+
+    for k in range(phrases.num_rows):
+        anchors = phrases.column("anchors")[k].as_py()
+        if any(a["term"] not in raw for a in anchors):
+            continue
+        own = positions(anchors[0]["term"]) - np.int32(anchors[0]["offset"])
+        for a in anchors[1:]:
+            if not len(own):
+                break
+            own = _met(own, positions(a["term"]), a["offset"], slop)
+        if not len(own):
+            continue
+        doc = np.maximum(np.searchsorted(starts, own, side="right") - 1, 0)
         heads = np.flatnonzero(np.diff(doc, prepend=-1))
-        parts = zip(doc[heads].tolist(), np.split(own, heads[1:]), strict=True) if len(own) else ()
-        out.append([{"doc": None if pd.isna(names[d]) else int(names[d]), "places": _pack(places - s[d])} for d, places in parts])
-    return pd.Series(out)
+        for d, places in zip(doc[heads].tolist(), np.split(own, heads[1:]), strict=True):
+            rows["phrase"].append(phrases.column("phrase")[k].as_py())
+            rows["doc"].append(docs[d])
+            rows["places"].append(_pack(places - starts[d]))
+    return pa.Table.from_pydict(rows, schema=FOUND_ARROW)
 
 
 def candidates(index: DataFrame, phrases: DataFrame, slop: int = 0, rarest: int = RAREST) -> DataFrame:
     """(doc, places, phrase) where the offset-adjusted lists of each phrase's rarest words meet; places is a packed list.
 
-    With slop, the words after the rarest may stand up to `slop` positions away from their place (proximity).
-    """
+    A phrase of frequent words has more lists met than `rarest`: as many as it takes for fewer than EXPECTED places to be left
+    if words stood anywhere at random. A block's lists meet in one task, for PHRASES phrases at a time. With slop, the words
+    after the rarest may stand up to `slop` positions away from their place (proximity)."""
     if slop >= GAP:
         raise ValueError(f"slop must be below {GAP}")
     terms = index.filter(F.col("term").isNotNull())
     flat = phrases.select("phrase", F.size("words").alias("size"), F.posexplode("words").alias("offset", "term"))
     vocabulary = materialise(flat.select("term").distinct(), "vocabulary")
+    words = float(index.agg(F.sum(F.when(F.col("term").isNotNull(), F.col("n")))).first()[0] or 1)
     totals = terms.select("term", "n").join(small(vocabulary), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("total"))
     by_rarity = Window.partitionBy("phrase").orderBy("total", "offset")
+    left = F.log(F.lit(words)) + F.coalesce(F.sum(F.log(F.col("total") / words)).over(by_rarity.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     anchors = (
         flat.join(totals, "term")
-        .withColumn("rank", F.row_number().over(by_rarity))
-        .withColumn("known", F.count("*").over(Window.partitionBy("phrase")))
-        .filter((F.col("known") == F.col("size")) & (F.col("rank") <= rarest))
+        .withColumns({"rank": F.row_number().over(by_rarity), "left": left, "known": F.count("*").over(Window.partitionBy("phrase"))})
+        .filter((F.col("known") == F.col("size")) & ((F.col("rank") <= rarest) | (F.col("left") > math.log(EXPECTED))))
     )
-    # A phrase takes its anchors along, so that later lists are met by term and block alone.
     anchors = anchors.groupBy("phrase").agg(F.array_sort(F.collect_list(F.struct("rank", "term", "offset"))).alias("anchors"))
-    anchors = materialise(anchors.select("phrase", F.col("anchors")[0]["term"].alias("term"), F.col("anchors")[0]["offset"].alias("shift"), "anchors"), "anchors")
+    anchors = materialise(anchors.select("phrase", F.col("anchors")[0]["term"].alias("term"), "anchors"), "anchors")
     wanted = materialise(anchors.select(F.explode("anchors.term").alias("term")).distinct(), "anchor_terms")
-    lists = materialise(terms.select("term", "block", "positions").join(small(wanted), "term", "left_semi"), "lists")
-    found = small(anchors).join(lists, "term").select("phrase", "anchors", "block", F.col("positions").alias("begins"), "shift")
-    # Named so that the filter on its result is not pushed below it, which would meet all lists twice in two workers a task.
-    meet = F.pandas_udf(_meet, "binary").asNondeterministic()
-    for rank in range(1, rarest):
-        step = found.withColumns({"term": F.get("anchors", F.lit(rank))["term"], "offset": F.get("anchors", F.lit(rank))["offset"]})
-        met = (
-            step.filter(F.col("term").isNotNull())
-            .join(lists, ["term", "block"])
-            .select("phrase", "anchors", "block", meet("begins", "shift", "positions", "offset", F.lit(slop)).alias("begins"), F.lit(0).alias("shift"))
-            .filter(F.length("begins") > 0)
-        )
-        found = materialise(met.unionByName(step.filter(F.col("term").isNull()).drop("term", "offset")), f"met{rank}")
-    heads = index.filter(F.col("term").isNull()).select("block", F.col("positions").alias("starts"), "docs")
-    at = F.explode(F.pandas_udf(_in_docs, "array<struct<doc:bigint,places:binary>>")("begins", "shift", "starts", "docs"))
-    return found.join(heads, "block").select("phrase", at.alias("at")).select("phrase", "at.doc", "at.places")
+    parts = max(1, -(-anchors.count() // PHRASES))
+    lists = materialise(terms.join(small(wanted), "term", "left_semi").unionByName(index.filter(F.col("term").isNull())).select("block", "term", "positions", "docs"), "lists")
+    # Which phrases concern a block: those whose rarest term it has. No list is copied for them.
+    here = lists.filter(F.col("term").isNotNull()).select("block", "term").join(small(anchors), "term").select("block", F.pmod("phrase", F.lit(parts)).alias("part"), "phrase", "anchors")
+    lists = lists if parts == 1 else lists.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    lists = lists.select(F.col("block").alias("of_block"), (F.lit(0) if parts == 1 else F.col("part")).cast("long").alias("of_part"), "term", "positions", "docs")
+    sides = here.groupBy("block", "part").cogroup(lists.groupBy("of_block", "of_part"))
+    return sides.applyInArrow(lambda found, stored: _in_block(stored, found, slop), FOUND)
 
 
 def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
