@@ -44,6 +44,8 @@ CLOSING = {SYSTEM: (USER, ASSISTANT), USER: (ASSISTANT,), ASSISTANT: ()}
 INSERT_COST, MERGE_COST = 2, 1
 #: A piece ends at so many rows or bytes of text, or after a single longer row.
 PIECE_ROWS, PIECE_BYTES = 1000, 2 << 20
+#: Characters of a text by which rows of one turn and role are dealt to partitions.
+OPENING = 256
 #: From a row's role (0: unknown or null) to another.
 RELABEL_COST = {(0, SYSTEM): 4, (0, USER): 1, (0, ASSISTANT): 1, (SYSTEM, USER): 2, (SYSTEM, ASSISTANT): 4, (USER, SYSTEM): 4, (USER, ASSISTANT): 4, (ASSISTANT, SYSTEM): 4, (ASSISTANT, USER): 4}
 _COST, _PREFER = 1 << 112, 1 << 80  # a path's cost, then its preferences, then its draws
@@ -163,8 +165,8 @@ def render(path: list[tuple], texts: list[str | None], first: int, closing: bool
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a sorted partition with the number of the piece that they are in."""
-    key, piece, rows, size = None, 0, 0, 0
+    """Rows of a sorted partition with the number of the piece that they are in, and their place."""
+    key, piece, rows, size, place = None, 0, 0, 0, 0
     for batch in batches:
         numbers = []
         bytes_of = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
@@ -175,7 +177,9 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 piece, rows, size = piece + 1, 0, 0
             rows, size = rows + 1, size + b
             numbers.append(piece)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], names=[*batch.schema.names, "piece"])
+        places = pa.array(range(place, place + len(numbers)), pa.int64())
+        place += len(numbers)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64()), places], names=[*batch.schema.names, "piece", "place"])
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +204,8 @@ _PIECE = ("key", "part", "piece")
 
 
 def _options(piece: pa.RecordBatch) -> list[list]:
-    return [steps(role_of(role), f"{key}|{turn}|{role}") for key, turn, role in zip(*(piece.column(c).to_pylist() for c in ("key", "turn", "role")), strict=True)]
+    """What can be done with each row. The draws also depend on the text: rows that tie in turn and role have draws of their own."""
+    return [steps(role_of(role), f"{key}|{turn}|{role}|{text}") for key, turn, role, text in zip(*(piece.column(c).to_pylist() for c in ("key", "turn", "role", "hash")), strict=True)]
 
 
 def _flat(m: list[list[int | None]]) -> list[str | None]:
@@ -266,14 +271,16 @@ def repair(turns: DataFrame) -> DataFrame:
     names = [f.name for f in added]
     turns = turns.drop(*names)
     rows = turns.select(F.struct(*turns.columns).alias("row"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    rows = rows.withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("row.conv_id").cast("string")), F.lit("")))
+    rows = rows.withColumn("hash", F.xxhash64("text")).withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("row.conv_id").cast("string")), F.lit("")))
     by_turn = [F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_last()]
     order = [*by_turn, F.col("text").asc_nulls_last()]
-    ranged = rows.repartitionByRange("key", *by_turn, F.xxhash64("text")).withColumn("part", F.spark_partition_id()).sortWithinPartitions("key", *order)
-    schema = T.StructType([*ranged.schema.fields, T.StructField("piece", T.LongType())])
+    # The order of partitions is the order inside them, as far as the opening of a text goes; rows that agree so far stay together.
+    opening = F.left("text", F.lit(OPENING)).asc_nulls_last()
+    ranged = rows.repartitionByRange("key", *by_turn, opening).withColumn("part", F.spark_partition_id()).sortWithinPartitions("key", *order)
+    schema = T.StructType([*ranged.schema.fields, T.StructField("piece", T.LongType()), T.StructField("place", T.LongType())])
     ranged = materialise(map_arrow(ranged, _numbered, schema), "turns")
-    sorted_by = lambda df, *then: df.repartition(*_PIECE).sortWithinPartitions(*_PIECE, *then)
-    weights = map_arrow(sorted_by(ranged.select(*_PIECE, "turn", "role"), *by_turn), _matrices, "key string, part int, piece long, weights array<string>")
+    sorted_by = lambda df: df.repartition(*_PIECE).sortWithinPartitions(*_PIECE, "place")
+    weights = map_arrow(sorted_by(ranged.select(*_PIECE, "place", "turn", "role", "hash")), _matrices, "key string, part int, piece long, weights array<string>")
     pieces = materialise(weights.groupBy("key", "part").agg(F.collect_list(F.struct("piece", "weights")).alias("pieces")), "pieces")  # those of one partition
     parts = pieces.select("key", "part", F.pandas_udf(_products, "array<string>")("pieces").alias("weights"))
     parts = parts.groupBy("key").agg(F.collect_list(F.struct("part", "weights")).alias("parts"))  # an entry a partition
@@ -281,7 +288,7 @@ def repair(turns: DataFrame) -> DataFrame:
     cuts = F.pandas_udf(_piece_cuts, "array<struct<piece:bigint,first:int,last:int,closes:boolean>>")
     states = pieces.join(ends, ["key", "part"]).select("key", "part", F.explode(cuts("pieces", "first", "last", "ends")).alias("c")).select("key", "part", "c.*")
     states = materialise(states, "cuts")
-    ready = sorted_by(ranged.join(small(states), list(_PIECE)), *order)
+    ready = sorted_by(ranged.join(small(states), list(_PIECE)))
     return map_arrow(ready, _repair, T.StructType([ranged.schema["row"], *added])).select("row.*", *names)
 
 

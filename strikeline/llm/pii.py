@@ -1,13 +1,15 @@
 """Personal data: patterns, then information-theoretic sanitisation of the terms that give protected entities away.
 
-The patterns find base mentions. A protected entity is a mentioned value. The corpus tells how much a term t says about an
-entity e: with N, df(t), df(e) and df(t, e) all counted in different texts (copies of a text count once), the last those where
-t stands within CONTEXT_WORDS of a mention of e,
+The patterns find base mentions. A protected entity is a mentioned value, or a class that values fall in: a mail domain, a network,
+the first digits of a number. Most values stand in one or two texts only, too few to tell anything; their classes stand in more.
+The corpus tells how much a term t says about an entity e: with N, df(t), df(e) and df(t, e) all counted in different texts
+(copies of a text count once), the last those where t stands within CONTEXT_WORDS of a mention of e,
 
     PMI(t; e) = log2(N * df(t, e) / (df(t) * df(e)))
 
-is set against the information of the entity itself, IC(e) = -log2(df(e) / N), its greatest possible value. A term
-seen with e in at least MIN_SUPPORT texts is removed where PMI reaches REMOVE_AT of IC, generalised to the entity's kind
+is set against the information of the entity itself, IC(e) = -log2(df(e) / N), its greatest possible value. For a class,
+SMOOTHING is added to df(t), as if the term had also been seen that often elsewhere: many values share a class, and a few
+coincidences should tell less than many. A term seen with e in at least MIN_SUPPORT texts is removed where PMI reaches REMOVE_AT of IC, generalised to the entity's kind
 where it reaches GENERALISE_AT. The decision holds for the term in every text, as the term alone would disclose.
 """
 
@@ -29,6 +31,9 @@ KINDS = ("email", "ip", "card", "phone", "term")
 CONTEXT_WORDS = 4
 MIN_SUPPORT = 3
 GENERALISE_AT, REMOVE_AT = 0.75, 0.95
+SMOOTHING = 1.0
+#: How classes are told from values.
+_CLASS = "^email:@|[.-]$"
 #: Terms that workers hold as a set, a few MB; with more, texts and terms are joined.
 HELD_TERMS = 100_000
 #: Text bytes whose terms are counted together.
@@ -97,6 +102,19 @@ def entity(text: str, span: tuple[int, int, int]) -> str:
     return f"{KINDS[kind]}:{value.lower() if kind == 0 else value if kind == 1 else _digits(value)}"
 
 
+def classes(value: str) -> list[str]:
+    """The classes that an entity falls in: the domain of an address and its last two names, the networks of an ip, the first
+    digits of a number. Each is written as an entity of its kind."""
+    kind, _, own = value.partition(":")
+    if kind == "email":
+        domain = own.rpartition("@")[2]
+        return [f"email:@{d}" for d in dict.fromkeys((domain, ".".join(domain.split(".")[-2:])))]
+    if kind == "ip":
+        parts = [p.lstrip("0") or "0" for p in own.split(".")]
+        return [f"ip:{'.'.join(parts[:k])}." for k in (3, 2)]
+    return [f"{kind}:{own[:k]}-" for k in ((6, 4) if kind == "card" else (4, 2))]
+
+
 def _covered(base: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
     """Where the stretches under mentions begin and end, in order and without overlap."""
     starts: list[int] = []
@@ -142,14 +160,16 @@ _ANY_DIGIT = re.compile("[0-9]")
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        out: list[tuple[str, str | None, bytes]] = []
+        out: set[tuple[str, str | None, bytes]] = set()
         for text, copy in zip(batch.column("text").to_pylist(), batch.column("copy").to_pylist(), strict=True):
             if not text or not _has_mark(text):
                 continue
             base = mentions(text)
             if not base:
                 continue
-            out += {(entity(text, span), t, copy) for span, terms in nearby(text, base) for t in (None, *terms)}
+            for span, terms in nearby(text, base):
+                value = entity(text, span)
+                out.update((e, t, copy) for e in (value, *classes(value)) for t in (None, *terms))
         columns = list(zip(*out, strict=True)) or [[], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.binary()), strict=True)], names=["entity", "term", "copy"])
 
@@ -189,7 +209,8 @@ def disclosing_terms(docs: DataFrame, min_support: int = MIN_SUPPORT, generalise
     once = once.unionByName(docs.join(small(repeated), "copy", "left_semi").dropDuplicates(["copy"]).select("text"))
     counts = map_arrow(once, _term_counts, "term string, texts long").join(small(wanted), "term", "left_semi").groupBy("term").agg(F.sum("texts").alias("texts"))
     total = F.lit(float(max(n, 1)))
-    pmi = F.log2(total * F.col("together") / (F.col("texts") * F.col("mentions")))
+    smoothing = F.when(F.col("entity").rlike(_CLASS), SMOOTHING).otherwise(0.0)
+    pmi = F.log2(total * F.col("together") / ((F.col("texts") + smoothing) * F.col("mentions")))
     information = -F.log2(F.col("mentions") / total)
     scored = linked.join(counts, "term").withColumn("disclosure", F.when(information > 0, pmi / information)).filter(F.col("disclosure") >= generalise_at)
     kind = F.substring_index("entity", ":", 1)
