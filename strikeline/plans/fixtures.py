@@ -69,6 +69,13 @@ class Tables:
         bands = {"band68_low": 0.75, "band68_high": 1.25, "band95_low": 0.5, "band95_high": 1.5}
         return base.select("underlying", "quote_ts", "exp_date", "horizon", "em_baseline", *[(F.col("em_baseline") * F.lit(x)).alias(b) for b, x in bands.items()])
 
+    @cached_property
+    def em_all(self) -> DataFrame:
+        """Forecasts of three horizons for each key, the shorter ones lower; the one of five days was made on every other day."""
+        shares = F.array(*[F.struct(F.lit(h).alias("h"), F.lit(x).alias("x")) for h, x in (("to_exp", 1.0), ("5d", 0.5), ("1d", 0.25))])
+        rows = self.em.withColumn("s", F.explode(shares)).filter("s.h <> '5d' or dayofmonth(quote_ts) % 2 = 0")
+        return rows.select("underlying", "quote_ts", "exp_date", F.col("s.h").alias("horizon"), *[(F.col(c) * F.col("s.x")).alias(c) for c in self.em.columns[4:]])
+
     @cached_property
     def em_a(self) -> DataFrame:
         """One of two stores: all but the last two days."""
@@ -117,6 +124,8 @@ vol AS (SELECT date, act_symbol AS symbol, floor(avg(vol) * 64) / 64 AS iv, floo
 em AS (SELECT act_symbol AS underlying, date AS quote_ts, expiration AS exp_date, 'to_exp' AS horizon, count(*) / 64e0 AS em_baseline,
     count(*) / 64e0 * 0.75e0 AS band68_low, count(*) / 64e0 * 1.25e0 AS band68_high, count(*) / 64e0 * 0.5e0 AS band95_low, count(*) / 64e0 * 1.5e0 AS band95_high
     FROM chain GROUP BY 1, 2, 3),
+em_all AS (SELECT underlying, quote_ts, exp_date, h AS horizon, em_baseline * x AS em_baseline, band68_low * x AS band68_low, band68_high * x AS band68_high, band95_low * x AS band95_low, band95_high * x AS band95_high
+    FROM em, (VALUES ('to_exp', 1e0), ('5d', 0.5e0), ('1d', 0.25e0)) AS s(h, x) WHERE h <> '5d' OR day(quote_ts) % 2 = 0),
 em_a AS (SELECT * FROM em WHERE quote_ts <= DATE '{AS_OF}' - 2),
 em_b AS (SELECT * FROM em WHERE quote_ts >= DATE '{AS_OF}' - 2),
 earnings AS (SELECT 'SYM' || CAST(c_custkey % 10 + 10 * (c_custkey // 400) AS VARCHAR) AS symbol, CAST(DATE '2022-01-03' + CAST(30 * (c_custkey % 400 // 10) AS INTEGER) AS DATE) AS date,

@@ -208,11 +208,11 @@ def train_split(t, part=0.85):
     """In time order, the first part for training; ordered by a distributed count of what comes before."""
     order = [C(k) for k in ("quote_ts", "underlying", "exp_date")]
     per_day = t.em.groupBy("quote_ts").agg(F.count("*").alias("n"))
-    total = per_day.agg(F.sum("n").alias("total"))
+    total = per_day.agg(F.sum("n")).scalar()
     running = per_day.withColumn("before", F.sum("n").over(Window.orderBy("quote_ts")) - C("n"))  # a row a day
     place = F.row_number().over(Window.partitionBy("quote_ts").orderBy(*order[1:])) + C("before")
-    rows = t.em.join(running.select("quote_ts", "before"), "quote_ts").withColumn("place", place).crossJoin(F.broadcast(total))
-    return rows.select("underlying", "quote_ts", "exp_date", (C("place") <= F.floor(C("total") * part)).alias("training"))
+    rows = t.em.join(running.select("quote_ts", "before"), "quote_ts").withColumn("place", place)
+    return rows.select("underlying", "quote_ts", "exp_date", (C("place") <= F.floor(total * part)).alias("training"))
 
 
 add("win16_time_split", train_split, "SELECT underlying, quote_ts, exp_date, row_number() OVER (ORDER BY quote_ts, underlying, exp_date) <= floor(count(*) OVER () * 0.85e0) AS training FROM em")
@@ -250,3 +250,26 @@ add("srt12_clustered", lambda t: sinks.clustered(t.chain, ["date", "act_symbol",
 add("srt13_page", lambda t: t.chain.orderBy("date", "act_symbol", "strike", "id").offset(200).limit(100).select("id"), "SELECT id FROM chain ORDER BY date, act_symbol, strike, id LIMIT 100 OFFSET 200")
 add("srt14_top_scores", lambda t: top(t.chain.groupBy("act_symbol").agg(F.max("ask").alias("score")), 3, F.desc("score"), F.desc("act_symbol")), "SELECT act_symbol, max(ask) AS score FROM chain GROUP BY 1 ORDER BY 2 DESC, 1 DESC LIMIT 3")
 add("srt15_sorted_strikes", lambda t: t.latest_chain.groupBy("act_symbol", "expiration").agg(F.array_join(F.array_sort(F.collect_set("strike")), ",").alias("strikes")), "SELECT act_symbol, expiration, array_to_string(list_sort(list(DISTINCT strike)), ',') AS strikes FROM latest_chain GROUP BY 1, 2")
+
+# several horizons of a key
+EM_ALL = "underlying, quote_ts, exp_date, horizon, em_baseline"
+OLDER = lambda t: t.em_all.filter(C("quote_ts") <= F.date_sub(t.as_of, 2))
+NEWER = lambda t: t.em_all.filter((C("quote_ts") >= F.date_sub(t.as_of, 2)) & (C("horizon") != "1d")).withColumn("em_baseline", C("em_baseline") + 1)
+SQL_SIDES = "a AS (SELECT em_all.* FROM em_all, clock WHERE quote_ts <= d - 2), b AS (SELECT em_all.* REPLACE (em_baseline + 1 AS em_baseline) FROM em_all, clock WHERE quote_ts >= d - 2 AND horizon <> '1d')"
+K4 = "(underlying, quote_ts, exp_date, horizon)"
+add("set01b_upsert_horizons", lambda t: sinks.keyed_union(OLDER(t), NEWER(t), EMKEY).select(*EMKEY, "em_baseline"), f"WITH {SQL_SIDES} SELECT {EM_ALL} FROM a WHERE {K4} NOT IN (SELECT {K4} FROM b) UNION ALL SELECT {EM_ALL} FROM b")
+add("set02b_first_source_horizons", lambda t: merging.first_source_wins(OLDER(t), NEWER(t), EMKEY).select(*EMKEY, "em_baseline"), f"WITH {SQL_SIDES} SELECT {EM_ALL} FROM a UNION ALL SELECT {EM_ALL} FROM b WHERE {K4} NOT IN (SELECT {K4} FROM a)")
+add("win02b_latest_by_horizon", lambda t: views.first_by_key(t.em_all, ["underlying", "exp_date", "horizon"], [F.desc("quote_ts")]).select(*EMKEY, "em_baseline"), f"SELECT {EM_ALL} FROM em_all QUALIFY row_number() OVER (PARTITION BY underlying, exp_date, horizon ORDER BY quote_ts DESC) = 1")
+add("srt02b_all_horizons", lambda t: top(t.em_all, 1000, F.desc("quote_ts"), "horizon", "underlying", "exp_date").select(*EMKEY), FROM_EM.replace(" em ", " em_all ").format("quote_ts DESC, horizon, underlying, exp_date", 1000))
+add("srv06b_history_horizons", lambda t: top(t.em_all.filter((C("underlying") == "SYM4") & (C("quote_ts") >= F.date_sub(t.as_of, 10))), 1000, F.desc("quote_ts"), "horizon", "exp_date").select(*EMKEY, "em_baseline"),
+    f"SELECT {EM_ALL} FROM em_all, clock WHERE underlying = 'SYM4' AND quote_ts >= d - 10 ORDER BY quote_ts DESC, horizon, exp_date LIMIT 1000")
+PRED_ALL = lambda t: t.em_all.filter("horizon = '5d'").select(*EMKEY, *[(C(b) + 2).alias(b) if b != "band95_high" else F.lit(None).cast("double").alias(b) for b in BANDS])
+add("jon04b_merge_horizons", lambda t: merging.merge_predictions(t.em_all, PRED_ALL(t), BANDS, exact_ts=True).select(*EMKEY, *BANDS), """SELECT e.underlying, e.quote_ts, e.exp_date, e.horizon, CASE WHEN horizon = '5d' THEN band68_low + 2 ELSE band68_low END AS band68_low,
+    CASE WHEN horizon = '5d' THEN band68_high + 2 ELSE band68_high END AS band68_high, CASE WHEN horizon = '5d' THEN band95_low + 2 ELSE band95_low END AS band95_low, band95_high FROM em_all e""")
+
+# at the sizes that the application asks for
+DEEP = lambda t: t.chain.filter("delta is not null").groupBy("act_symbol", "date").agg(*[F.avg(g).alias(f"avg_{g}") for g in GREEKS])
+add("agg17b_greeks_history", lambda t: views.top_per_group(DEEP(t), ["act_symbol"], [F.desc("date")], 100),
+    "SELECT act_symbol, date, avg(delta) AS avg_delta, avg(gamma) AS avg_gamma, avg(theta) AS avg_theta, avg(vega) AS avg_vega FROM chain WHERE delta IS NOT NULL GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY act_symbol ORDER BY date DESC) <= 100")
+add("win09b_strike_window", lambda t: strike_window(t, 5), """WITH s AS (SELECT act_symbol, expiration, strike, max(spot) AS spot, row_number() OVER (PARTITION BY act_symbol, expiration ORDER BY strike) AS k, count(*) OVER (PARTITION BY act_symbol, expiration) AS n FROM latest_chain GROUP BY 1, 2, 3),
+    c AS (SELECT *, coalesce(min(CASE WHEN strike >= spot THEN k END) OVER (PARTITION BY act_symbol, expiration), n + 1) AS a FROM s) SELECT act_symbol, expiration, strike FROM c WHERE k BETWEEN a - 5 AND a + 5""")

@@ -79,18 +79,18 @@ def _schema_text(t):
     path = scratch_path(t.spark, "schema")
     t.em.createOrReplaceTempView("em_forecasts")
     sinks.write_schema(t.spark, path, ["em_forecasts"])
-    return t.spark.read.text(path)
+    return t.spark.read.text(path).withColumn("rows", t.em.agg(F.count("*")).scalar())
 
 
 def _columns(t):
     t.em.createOrReplaceTempView("em_forecasts")
-    return readers.describe(t.spark, ["em_forecasts"])
+    return readers.described(t.spark, ["em_forecasts"])
 
 
 def _tables(t):
     for year in (2023, 2024):
         t.chain.filter(F.year("date") == year).createOrReplaceTempView(f"options_chain_{year}")
-    return readers.tables_like(t.spark, "options_chain_20*")
+    return readers.table_rows(t.spark, "options_chain_20*")
 
 
 def _export_view(t):
@@ -114,9 +114,9 @@ add("snk08_forecast_upsert", _upserted, "SELECT em_a.* FROM em_a, clock WHERE qu
 add("snk10_recent_table", lambda t: _recent_table(t, 7), "SELECT id, date, act_symbol, strike FROM chain WHERE date >= (SELECT max(date) FROM chain) - 7")
 add("snk12_export_metadata", _metadata, "SELECT CAST(count(*) AS VARCHAR) AS rows, CAST(min(date) AS VARCHAR) AS first_date, CAST(max(date) AS VARCHAR) AS last_date, 'zstd' AS compression FROM chain")
 EM_TYPES = {"underlying": "string", "quote_ts": "date", "exp_date": "date", "horizon": "string", "em_baseline": "double", "band68_low": "double", "band68_high": "double", "band95_low": "double", "band95_high": "double"}
-add("snk13_schema_text", _schema_text, f"SELECT 'em_forecasts ({', '.join(f'{c} {k}' for c, k in EM_TYPES.items())})' AS value")
-add("src24_columns", _columns, "SELECT * FROM (VALUES " + ", ".join(f"('em_forecasts', {k}, '{c}', '{kind}')" for k, (c, kind) in enumerate(EM_TYPES.items())) + ') AS v("table", position, "column", type)')
-add("src25_tables", _tables, """SELECT 'options_chain_2023' AS "table" UNION ALL SELECT 'options_chain_2024'""")
+add("snk13_schema_text", _schema_text, f"SELECT 'em_forecasts ({', '.join(f'{c} {k}' for c, k in EM_TYPES.items())})' AS value, count(*) AS rows FROM em")
+add("src24_columns", _columns, " UNION ALL ".join(f"""SELECT 'em_forecasts' AS "table", {k} AS position, '{c}' AS "column", '{kind}' AS type, count({c}) AS filled FROM em""" for k, (c, kind) in enumerate(EM_TYPES.items())))
+add("src25_tables", _tables, """SELECT 'options_chain_2023' AS "table", count(*) AS rows FROM chain WHERE year(date) = 2023 UNION ALL SELECT 'options_chain_2024', count(*) FROM chain WHERE year(date) = 2024""")
 add("src05_export_view", _export_view, "SELECT act_symbol, count(*) AS n, max(date) AS newest FROM chain WHERE year(date) = 2024 AND month(date) = 1 GROUP BY 1")
 add("src10_csv_summary", _csv, "SELECT count(*) AS rows, min(date) AS first_date FROM vol")
 add("src23_file_rows", lambda t: readers.file_summary(t.spark.read.parquet(_exported(t))).agg(F.sum("rows").alias("rows"), (F.min("bytes") > 0).alias("has_bytes")), "SELECT count(*) AS rows, true AS has_bytes FROM chain")
@@ -219,7 +219,16 @@ add("earn05_price_reaction", lambda t: chains.price_reactions(t.earnings.filter(
     LEFT JOIN s b ON b.symbol = e.symbol AND b.date = e.date - 1 LEFT JOIN s a ON a.symbol = e.symbol AND a.date = e.date + 1""")
 
 # models
-add("mlt01_target_column", lambda t: t.spark.createDataFrame([(modelling.target_column(LABELS(t).columns),)], "target string"), "SELECT 'realized_move' AS target")
+
+
+def _target(t):
+    """Which column is the target, and how many labels have it."""
+    labels = LABELS(t)
+    target = modelling.target_column(labels.columns)
+    return labels.agg(F.lit(target).alias("target"), F.count(target).alias("n"), F.max(target).alias("greatest"))
+
+
+add("mlt01_target_column", _target, "SELECT 'realized_move' AS target, count(*) AS n, max(em_baseline * 2 + 1) AS greatest FROM em")
 
 
 def _saved_model(t):

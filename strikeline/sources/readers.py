@@ -169,3 +169,25 @@ def describe(spark: SparkSession, tables: list[str]) -> DataFrame:
 def tables_like(spark: SparkSession, pattern: str) -> DataFrame:
     """Names of the session's tables and views that match a pattern of SHOW TABLES, such as 'options_chain_*'."""
     return spark.sql(f"SHOW TABLES LIKE '{pattern.replace(chr(39), '')}'").select(F.col("tableName").alias("table"))
+
+
+def described(spark: SparkSession, tables: list[str]) -> DataFrame:
+    """As `describe`, with how many rows have a value in each column: one run over each table."""
+    out = None
+    for t in tables:
+        df = spark.table(t)
+        counts = df.agg(F.map_from_arrays(F.array(*map(F.lit, df.columns)), F.array(*[F.count(F.col(f"`{c}`")) for c in df.columns])).alias("n"))
+        filled = counts.select(F.explode("n").alias("column", "filled"))
+        part = describe(spark, [t]).join(filled, "column")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def table_rows(spark: SparkSession, pattern: str) -> DataFrame:
+    """(table, rows) of the session's tables that match a pattern."""
+    names = [r.table for r in tables_like(spark, pattern).collect()]  # names of the catalogue
+    out = None
+    for n in names:
+        part = spark.table(n).agg(F.lit(n).alias("table"), F.count("*").alias("rows"))
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], "table string, rows long") if out is None else out
