@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strikeline.functions import expressions as X
-from strikeline.functions.fixed_values import HORIZON_FACTORS, RANK_MULTIPLIER, SECTOR_VOLATILITY, SYMBOL_VOLATILITY, lines
+from strikeline.functions.fixed_values import HORIZON_FACTORS, RANK_MULTIPLIER, SECTOR_VOLATILITY, SYMBOL_VOLATILITY
 
 LEGS = ["bid", "ask", "mid", "iv", "volume"]
 BY = ["act_symbol", "expiration"]
@@ -99,8 +99,8 @@ def live_straddle(chain: DataFrame, factor: float = 0.85) -> DataFrame:
 
 def volatility_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     names = "annual_vol double, avg_daily double, low double, high double, beta double, rank string"
-    symbols = [(s, sector, float(v), float(d), float(lo), float(hi), float(b), r) for s, v, sector, d, hi, lo, b, r in lines(SYMBOL_VOLATILITY)]
-    sectors = [(s, float(v), float(d), float(lo), float(hi), float(b), r) for s, v, d, lo, hi, b, r in lines(SECTOR_VOLATILITY)]
+    symbols = [(s, sector, v, d, lo, hi, b, r) for s, v, sector, d, hi, lo, b, r in SYMBOL_VOLATILITY]
+    sectors = list(SECTOR_VOLATILITY)
     return spark.createDataFrame(symbols, f"symbol string, sector string, {names}"), spark.createDataFrame(sectors, f"sector string, {names}")
 
 

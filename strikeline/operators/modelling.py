@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from strikeline.operators import boosting
+
 #: Where a label table may have its target, in order of preference.
 TARGETS = ("realized_move", "realized", "em_realized", "target")
 
@@ -78,18 +80,11 @@ class BandModel:
         from pyspark.ml.feature import VectorAssembler
         from pyspark.ml.regression import GBTRegressor
 
-        # The earliest days that hold the given part of the rows, found from counts per day.
-        days = frame.groupBy(time).agg(F.count("*").alias("n")).orderBy(time).collect()
-        total, seen, cut = sum(r.n for r in days), 0, None
-        for r in days:
-            if seen + r.n > part * total and cut is not None:
-                break
-            seen, cut = seen + r.n, r[time]
-        early, late = frame.filter(F.col(time) <= F.lit(cut)), frame.filter(F.col(time) > F.lit(cut))
+        early, late = boosting.early(frame, time, part)
         stages = [VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="keep"), GBTRegressor(featuresCol="_features", labelCol="target", predictionCol="em", maxIter=trees, maxDepth=depth, seed=42)]
         pipeline = Pipeline(stages=stages).fit(early.fillna(0.0, features))
         kept = pipeline.transform(late.fillna(0.0, features))
-        residual = F.percentile(F.col("target") - F.col("em"), F.array(*[F.lit(q) for q in cls.QUANTILES.values()]))
+        residual = F.percentile_approx(F.col("target") - F.col("em"), F.array(*[F.lit(q) for q in cls.QUANTILES.values()]), boosting.ACCURACY)
         bands = kept.groupBy("horizon").agg(residual.alias("q")).select("horizon", *[F.col("q")[k].alias(f"_{b}") for k, b in enumerate(cls.QUANTILES)])
         return cls(pipeline, bands)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strikeline.functions import expressions as X
 from strikeline.functions import pricing as P
-from strikeline.functions.fixed_values import CDF_A, CDF_P, IV_LEVELS, RANK_MULTIPLIER, SECTOR_VOLATILITY, SYMBOL_VOLATILITY, lines
+from strikeline.functions.fixed_values import CDF_A, CDF_P, IV_LEVELS, RANK_MULTIPLIER, SECTOR_VOLATILITY, SYMBOL_VOLATILITY
 from strikeline.operators import chain as chains
 from strikeline.operators import expected_move as em
 from strikeline.operators import ivstats, modelling
@@ -110,8 +110,8 @@ add("emv09_live_straddle", lambda t: em.live_straddle(t.latest_chain).select("ac
 NAMES = lambda: F.element_at(F.array(*map(F.lit, ("AAPL", "TSLA", "KO", "XYZ", "ABC"))), (C("c_custkey") % 5 + 1).cast("int"))
 SECTORS = lambda: F.when(C("c_custkey") % 3 == 0, "Energy").when(C("c_custkey") % 3 == 1, "Utilities")
 QUOTED = lambda t: t.read("customer").select(NAMES().alias("symbol"), SECTORS().alias("sector"), (100 + C("c_custkey")).cast("double").alias("price"))
-_values = lambda rows: ", ".join("(" + ", ".join(v if v.replace(".", "").isdigit() and v[0].isdigit() else f"'{v}'" for v in row) + ")" for row in rows)
-VOL_SQL = f"""WITH sym(symbol, av, sec_, ad, hi, lo, beta, rk) AS (VALUES {_values(lines(SYMBOL_VOLATILITY))}), sct(sector, av2, ad2, lo2, hi2, beta2, rk2) AS (VALUES {_values(lines(SECTOR_VOLATILITY))}),
+_values = lambda rows: ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else f"{v!r}e0" for v in row) + ")" for row in rows)
+VOL_SQL = f"""WITH sym(symbol, av, sec_, ad, hi, lo, beta, rk) AS (VALUES {_values(SYMBOL_VOLATILITY)}), sct(sector, av2, ad2, lo2, hi2, beta2, rk2) AS (VALUES {_values(SECTOR_VOLATILITY)}),
     q AS (SELECT ['AAPL', 'TSLA', 'KO', 'XYZ', 'ABC'][CAST(c_custkey % 5 + 1 AS INTEGER)] AS symbol, CASE WHEN c_custkey % 3 = 0 THEN 'Energy' WHEN c_custkey % 3 = 1 THEN 'Utilities' ELSE 'Technology' END AS sector, CAST(100 + c_custkey AS DOUBLE) AS price FROM customer),
     w AS (SELECT symbol, sector, price, CASE WHEN av IS NULL THEN 'sector' ELSE 'historical' END AS method, CAST(coalesce(av, av2) AS DOUBLE) AS annual_vol, CAST(coalesce(ad, ad2) AS DOUBLE) AS avg_daily,
       CAST(coalesce(lo, lo2) AS DOUBLE) AS low, CAST(coalesce(hi, hi2) AS DOUBLE) AS high, CAST(coalesce(beta, beta2) AS DOUBLE) AS beta, coalesce(rk, rk2) AS rank FROM q LEFT JOIN sym USING (symbol) LEFT JOIN sct USING (sector)) """
