@@ -275,8 +275,7 @@ def _landed_in_order(t, rows: DataFrame, name: str) -> replay.Frames:
 
 def _feed(t, service: replay.Service) -> DataFrame:
     live.register(t.spark)
-    options = {"url": service.url, "delayMs": "10", "framesPerPartition": "5000", "maxFramesPerBatch": str(max(1000, len(service.frames) // 3))}
-    return t.spark.readStream.format("frame_feed").options(**options).load()
+    return t.spark.readStream.format("frame_feed").options(url=service.url, delayMs="10", framesPerPartition="5000").load()
 
 
 def _stream(t):

@@ -9,7 +9,8 @@ frame_feed. The service answers GET <url>/latest with {"offset": n}, the number
 <url>/frames?from=a&to=b with these frames, one a line. A batch is cut into ranges of `framesPerPartition` offsets, each read by
 a task. A line that breaks is opened again at the first frame that is missing, after delayMs, twice that, and so on; a frame that
 arrives sets the count of attempts back, `attempts` failures in a row end the query. As offsets are checkpointed by Spark, a query
-that starts again goes on where it ended. `maxFramesPerBatch` bounds a batch.
+that starts again goes on where it ended. A batch takes all that is there: a source written in Python does not learn where its
+batch starts, so it cannot end it early; what bounds a task is its range.
 
 sql_http. A task asks GET <url>?q=<sql> for its range of the partition column, `pageRows` at a time in the order of that
 column, which must tell rows apart; without one there is one task and one page. Filters that SQL can express go into the query. An answer counts if its status is
@@ -93,21 +94,15 @@ class FrameReader(ds.DataSourceStreamReader):
         self.line = Line(options)
         self.first = int(options.get("startingOffset", 0))
         self.width = int(options.get("framesPerPartition", 20_000))
-        self.most = int(options.get("maxFramesPerBatch", 10_000_000))
-        self.reached = None
 
     def initialOffset(self) -> dict:
         return {"offset": self.first}
 
     def latestOffset(self) -> dict:
-        latest = int(self.line.get("/latest")["offset"])
-        # Where the last batch ended is known once there was one; the bound holds from there.
-        self.reached = latest if self.reached is None and latest - self.first <= self.most else min(latest, (self.first if self.reached is None else self.reached) + self.most)
-        return {"offset": self.reached}
+        return {"offset": int(self.line.get("/latest")["offset"])}
 
     def partitions(self, start: dict, end: dict) -> list[Frames]:
         a, b = start["offset"], end["offset"]
-        self.reached = b
         return [Frames(x, min(x + self.width, b)) for x in range(a, b, self.width)]
 
     def read(self, partition: Frames) -> Iterator[tuple[int, str]]:

@@ -2,7 +2,7 @@
 
 State lives in RocksDB, so it is not held on the heap. It ends by event time: when the watermark passes the end of a window or of
 a counter's life, a timer removes it. A batch of one key is held as plain numbers while it is put in order, or only as the newest
-rows; batches are bounded by the source (`maxFilesPerTrigger`, `maxFramesPerBatch`). Counters of one name are split over shards,
+rows; batches are bounded by the source (`maxFilesPerTrigger`). Counters of one name are split over shards,
 so that the busiest day is many keys.
 """
 

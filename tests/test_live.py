@@ -66,17 +66,6 @@ def test_errors_of_the_caller_are_not_repeated(frames, monkeypatch):
             live.Line({"url": s.url}).get("/nothing")
 
 
-def test_batches_are_bounded(frames):
-    with replay.Service(frames=frames) as s:
-        r = reader(s.url, maxFramesPerBatch="200")
-        seen, at = [], r.initialOffset()
-        while (end := r.latestOffset()) != at:
-            r.partitions(at, end)
-            seen.append(end["offset"])
-            at = end
-        assert seen == [200, 400, 500]
-
-
 def test_stream_goes_on_from_its_checkpoint(spark, frames):
     live.register(spark)
     out, state = scratch_path(spark, "out"), scratch_path(spark, "state")
