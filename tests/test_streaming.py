@@ -159,3 +159,63 @@ def test_subscriptions_by_time(spark):
     bars = spark.createDataFrame([("a", k, at(k)) for k in (5, 10, 15, 20, 39, 40, 50)] + [("b", k, at(k)) for k in (0, 29, 30, 31)] + [("c", 1, at(1))], "sym string, id long, window_end timestamp")
     got = sorted((r.sym, r.id) for r in feed.subscribed_over_time(bars, controls, lease="30 minutes").collect())
     assert got == [("a", 10), ("a", 15), ("a", 20), ("a", 39), ("b", 0), ("b", 29)]
+
+
+def _given(n):
+    import datetime
+    import random
+
+    rng, start = random.Random(n), datetime.datetime(2024, 1, 1)
+    at = lambda: start + datetime.timedelta(minutes=rng.randint(0, 3000))
+    controls = [(rng.choice("abc"), at(), k, rng.random() < 0.6) for k in range(n)]
+    bars = [(rng.choice("abcd"), k, at(), None if k % 5 else 'x"é') for k in range(n)]
+    lease = datetime.timedelta(minutes=90)
+    want = set()
+    for sym, k, t, _ in bars:
+        seen = [(a, i, s) for c, a, i, s in controls if c == sym and t - lease < a <= t]
+        if seen and max(seen)[2]:
+            want.add(k)
+    return bars, controls, want
+
+
+BAR, CONTROL = "sym string, id long, window_end timestamp, note string", "sym string, at timestamp, id long, subscribe boolean"
+
+
+def test_subscriptions_of_streams_meet_no_pairs(spark):
+    """A row looks one control up: the state is a few packed pieces a contract, not its rows, and what was decided leaves it."""
+    import datetime
+
+    from strikeline.session import scratch_path
+    from strikeline.streaming import state
+
+    bars, controls, want = _given(600)
+    left, right, out, check = (scratch_path(spark, n) for n in ("bars", "controls", "out", "check"))
+    bars_df, controls_df = spark.createDataFrame(bars, BAR), spark.createDataFrame(controls, CONTROL)
+    cut = datetime.datetime(2024, 1, 2)
+    end = datetime.datetime(2024, 2, 1)
+    steps = [(bars_df.filter(F.col("window_end") < cut), controls_df.filter(F.col("at") < cut)), (bars_df.filter(F.col("window_end") >= cut), controls_df.filter(F.col("at") >= cut)),
+             (spark.createDataFrame([("end", -1, end, None)], BAR), spark.createDataFrame([("end", end, -1, False)], CONTROL))]
+    held = []
+    for b, c in steps:
+        b.coalesce(1).write.mode("append").parquet(left)
+        c.coalesce(1).write.mode("append").parquet(right)
+        with state.rocksdb(spark):
+            df = feed.subscribed_over_time(spark.readStream.schema(BAR).parquet(left), spark.readStream.schema(CONTROL).parquet(right), lease="90 minutes")
+            q = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start()
+            q.awaitTermination()
+        held.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
+    got = spark.read.schema(BAR).parquet(out).collect()
+    assert {r.id for r in got} == want and len(got) == len(want)
+    notes = {k: (t, note) for _, k, t, note in bars}
+    assert all((r.window_end, r.note) == notes[r.id] for r in got)
+    assert max(held) < 60
+
+
+def test_subscriptions_of_tables(spark):
+    bars, controls, want = _given(400)
+    got = feed.subscribed_over_time(spark.createDataFrame(bars, BAR), spark.createDataFrame(controls, CONTROL), lease="90 minutes")
+    assert sorted(r.id for r in got.collect()) == sorted(want)
+    # Pairs of one contract: 60,000 times 60,000 before.
+    many = spark.range(60_000).selectExpr("'a' AS sym", "timestamp_millis(id * 100 + 50) AS at", "id", "id % 2 = 0 AS subscribe")
+    rows = spark.range(60_000).selectExpr("'a' AS sym", "id", "timestamp_millis(id * 100 + 100) AS window_end", "'' AS note")
+    assert feed.subscribed_over_time(rows, many).count() == 30_000
