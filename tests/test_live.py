@@ -152,3 +152,25 @@ def test_a_range_of_frames_is_read_from_where_it_begins(spark, monkeypatch):
     for a in range(0, 3000, 7):
         assert list(frames.between(a, a + 5)) == want[a : a + 5]
     assert frames.read < 430 * 2000 < sum(map(len, want)) * 430 // 4
+
+
+def test_wide_ranges_are_cut():
+    options = {"url": "http://x", "table": "t", "partitionColumn": "a", "lowerBound": "0", "numPartitions": "8", "partitionWidth": "50000"}
+    cut = lambda high: live.SqlReader(live.T.StructType([]), options | {"upperBound": str(high)}).partitions()
+    assert len(cut(1000)) == 8
+    pieces = cut(6_000_000)
+    assert len(pieces) == 120 and max(p.high - p.low for p in pieces[1:-1]) <= 50_000
+    assert pieces[0].low is None and pieces[-1].high is None and all(a.high == b.low for a, b in zip(pieces, pieces[1:]))
+
+
+def test_a_stored_table_answers_alike(spark, sf_dir):
+    """Texts in JSON as before, from a table in the order of its pages."""
+    sql = "SELECT event_id, ts, event_type, value, value > 50 AS high, nullif(event_type, 'view') AS other FROM events WHERE event_id > 10 ORDER BY event_id LIMIT 50"
+    with replay.Service(sf_dir=sf_dir, tables=("events",), order="event_id") as s, replay.Service(sf_dir=sf_dir, tables=("events",)) as plain:
+        got = [live.Line({"url": x.url}).get(f"?q={live.quote(sql)}") for x in (s, plain)]
+        assert got[0] == got[1] and got[0]["query_execution_status"] == "Success"
+        rows = got[0]["rows"]
+        assert [r["event_id"] for r in rows] == [str(k) for k in range(11, 61)] and {r["high"] for r in rows} <= {"true", "false"}
+        assert s.db.execute("SELECT table_type FROM information_schema.tables").fetchall() == [("BASE TABLE",)]
+        assert table(spark, s.url, partitionColumn="event_id", lowerBound="0", upperBound="1000", numPartitions="2", partitionWidth="300", pageRows="64").count() == spark.read.parquet(f"{sf_dir}/events.parquet").count()
+        assert len({q.split("WHERE")[1].split("ORDER")[0] for q in asked(s) if "LIMIT 64" in q and '"event_id" > ' not in q}) == 4
